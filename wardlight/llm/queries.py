@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .piece_codec import encode_documents
+from . import quality_rules as rules
 
 #: Where the public tokenizers are; a parameter of the operator.
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -20,15 +21,22 @@ def piece_model_file() -> str:
     return public_tokenizers.path(PIECE_MODEL)
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_rules(table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), piece_model_file())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_rules": op1_quality_rules,
         "op10_sentencepiece": op10_sentencepiece,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_quality_rules": rules.oracle(),
+    }
