@@ -117,3 +117,28 @@ def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def byte_codes(data: np.ndarray) -> np.ndarray:
     return _BYTE_CODES[data]
+
+
+class Tables:
+    """Parquet tables in the shared checkpoint folder, for intermediate results that later steps read more than once."""
+
+    def __init__(self, spark: SparkSession):
+        import uuid
+
+        self.spark, self.root, self.n = spark, f"{checkpoint_dir(spark)}/wardlight-{uuid.uuid4().hex}", 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Writes df as a table and reads it back."""
+        self.n += 1
+        path = f"{self.root}/{self.n}"
+        df.write.parquet(path)
+        got = self.spark.read.schema(df.schema).parquet(path)
+        got.wardlight_path = path
+        return got
+
+    def drop(self, df: DataFrame) -> None:
+        """Deletes a table of keep() that nothing reads any more."""
+        if path := getattr(df, "wardlight_path", None):
+            jvm = self.spark._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)

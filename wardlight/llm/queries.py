@@ -11,6 +11,7 @@ from .common import table
 from .piece_codec import encode_documents
 from . import minhash
 from . import quality_rules as rules
+from . import suffix_index
 
 #: Where the public tokenizers are; a parameter of the operator.
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -26,6 +27,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_index.remove_repeats(table(spark, sf_dir, "documents"), match=400)
+
+
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
@@ -37,6 +42,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op3_minhash_dedup": op3_minhash_dedup,
         "op10_sentencepiece": op10_sentencepiece,
     }
