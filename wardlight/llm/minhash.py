@@ -37,6 +37,8 @@ BANDS, ROWS = 32, 4
 SLACK = 0.15
 #: Star rounds before the rest of the pairs across components is compared exhaustively.
 STAR_ROUNDS = 6
+#: Ids of candidate pairs that are sent to all tasks at most (8 bytes each), so that the texts needn't be shuffled.
+MOST_SENT = 200_000
 
 
 def _minima(sets: list[np.ndarray], n: int) -> np.ndarray:
@@ -113,7 +115,9 @@ def _screened(pairs: DataFrame, marks: DataFrame, least: float, minima: int) ->
 def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs (a, b) with 100 * intersection >= percent * union of the full sets, made anew from the texts of these ids alone."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = docs.join(dealt_anew(ids), docs["id"] == ids["id"], "left_semi").select("id", "text")
+    ids = cut(ids)
+    few = ids.count() <= MOST_SENT
+    texts = docs.join(F.broadcast(ids) if few else dealt_anew(ids), "id", "left_semi").select("id", "text")
     sets = cut(texts.mapInArrow(_full_sets(width), "id long, shingles array<long>"))
     with_b = pairs.join(sets.withColumnsRenamed({"id": "b", "shingles": "y"}), "b")
     both = with_b.join(sets.withColumnsRenamed({"id": "a", "shingles": "x"}), "a")
