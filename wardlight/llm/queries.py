@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .piece_codec import encode_documents
+from . import language_profiles as languages
 from . import minhash
 from . import quality_rules as rules
 from . import suffix_index
+from . import toxicity
 
 #: Where the public tokenizers are; a parameter of the operator.
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -35,6 +37,14 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), piece_model_file())
 
@@ -44,6 +54,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": op1_quality_rules,
         "op2_suffix_dedup": op2_suffix_dedup,
         "op3_minhash_dedup": op3_minhash_dedup,
+        "op4_toxicity": op4_toxicity,
+        "op5_language_id": op5_language_id,
         "op10_sentencepiece": op10_sentencepiece,
     }
 

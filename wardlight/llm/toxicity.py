@@ -1,6 +1,6 @@
 """Toxicity: a linear classifier on character n-grams, each scaled by its naive Bayes log-count ratio.
 
-Grams are the 3- to 5-byte strings of the text with A-Z lowered, hashed to 2^20 slots; a document has a gram or not.
+Grams are the strings of 4, 6 and 8 bytes of the text with A-Z lowered, hashed to 2^20 slots; a document has a gram or not.
 On a bounded sample of labelled texts (labelled.MOST_LABELLED) Spark counts in how many toxic and other documents each
 slot occurs; the slots that tell the classes apart best are kept (FEATURES), their log-count ratios scale them, and a
 logistic regression with an L2 penalty is fitted on the sample's kept slots. Whole texts are then scored by one
@@ -24,7 +24,7 @@ from .common import U64, byte_codes, crc_fold, cut, steps, text_bytes, window_ha
 from .labelled import MOST_LABELLED, labelled_sample, sigmoid
 from .word_shingles import _LOWER
 
-SIZES = (3, 4, 5)
+SIZES = (4, 6, 8)
 SLOT_BITS = 20
 FEATURES = 3000
 #: Documents that a slot must occur in.
