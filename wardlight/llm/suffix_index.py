@@ -11,7 +11,7 @@ against every level; equal-sized levels merge into the next, as a binary counter
 Suffixes are counted, so a string that millions of documents share is one row of a level.
 
 Resolution. Runs that repeat as a whole are spans at once. The text of other runs whose k repeats goes to their k's
-group, where windows are compared one by one; groups of over GROUP runs are dealt out by window fingerprint instead.
+group, where windows are compared one by one; groups of over GROUP runs are dealt out by the content of blocks of windows.
 Fingerprints have 64 bits for k and 64 more for r or for a window.
 
 Rows: strings are UTF-8 bytes, matches never cross texts. Null text is empty; texts below `match` bytes stay whole.
@@ -31,10 +31,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_windows import Windows
-from .common import U64, Tables, steps, text_bytes
+from .common import U64, Tables, mix, steps, text_bytes
 from .components import dealt_anew
 
-#: Runs of one k that one task compares; larger groups are dealt out by window fingerprint.
+#: Runs of one k that one task compares; larger groups are dealt out by content, see _compare_blocks.
 GROUP = 256
 #: Rows that a task takes together while it walks through groups.
 TOGETHER = 2000
@@ -146,13 +146,13 @@ def _open(squeezed: list[bytes], sizes: list[int]) -> list[bytes]:
 def _pieces(match: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [], [], [], [], [], [], []
+            out = [], [], [], [], [], [], [], []
             for u1, u2, text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _open(batch.column(2).to_pylist(), batch.column(3).to_pylist()), batch.column(4).to_pylist(), strict=True):
                 for x in runs:
                     first, last = _unpack(x["pack"])
-                    for to, value in zip(out, (u1, u2, first, x["k"], x["runs"], x["whole"], text[first : last + match]), strict=True):
+                    for to, value in zip(out, (u1, u2, first, x["k"], x["runs"], x["whole"], (x["pack"] >> 24) - first, text[first : last + match]), strict=True):
                         to.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], ["u1", "u2", "first", "k", "runs", "whole", "piece"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()), strict=True)], ["u1", "u2", "first", "k", "runs", "whole", "reach", "piece"])
 
     return run
 
@@ -216,18 +216,66 @@ def _compare_groups(match: int):
     return run
 
 
-def _window_rows(match: int):
+def _block_rows(match: int, size: int, ratio: int):
+    """Blocks of `size` windows, counted from the anchor: what all of a block's windows share, and what they cover together.
+
+    Blocks that the piece has in part cover nothing that another could equal; their outer hash is their own.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, TOGETHER):
-                part = batch.slice(at, TOGETHER)
-                piece, within, print_ = _piece_windows(part.column("piece").to_pylist(), match)
-                column = lambda name: part.column(name).to_numpy(zero_copy_only=False)[piece]  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.array(print_.view(np.int64)), *(pa.array(x) for x in (column("u1"), column("u2"), column("first") + within, column("whole")))], ["w", "u1", "u2", "start", "whole"])
+                part = batch.slice(at, TOGETHER).to_pydict()
+                pieces = part["piece"]
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in pieces])])
+                rows, blocks, whole = [], [], []
+                for i, (text, reach, parents, flag) in enumerate(zip(pieces, part["reach"], part["parents"], part["whole"], strict=True)):
+                    low, high = reach - (len(text) - match), reach
+                    wanted = [(c, flag) for c in range(low // size, high // size + 1)] if parents is None else [(c, x["whole"]) for x in parents for c in range(x["block"] * ratio, x["block"] * ratio + ratio) if low < (c + 1) * size and c * size <= high]
+                    rows += [i] * len(wanted)
+                    blocks += [c for c, _ in wanted]
+                    whole += [x for _, x in wanted]
+                rows, blocks = np.array(rows, np.int64), np.array(blocks, np.int64)
+                near, far = blocks * size, blocks * size + size - 1
+                reach = np.array(part["reach"], np.int64)[rows]
+                lengths = np.diff(offsets)[rows]
+                complete = (far <= reach) & (near >= reach - (lengths - match))
+                windows = Windows(np.frombuffer(b"".join(pieces), np.uint8), offsets, match)
+                anchor = offsets[rows] + reach
+                salt = np.array(part["k"], np.int64)[rows].view(U64) * U64(0x9E3779B97F4A7C15) + blocks.astype(U64)
+                inner = mix(windows.hash(anchor - near, anchor - far + match, 7) ^ salt)
+                first, u1, u2 = (np.array(part[c], np.int64)[rows] for c in ("first", "u1", "u2"))
+                outer = mix(windows.hash(np.where(complete, anchor - far, anchor), np.where(complete, anchor - near + match, anchor), 8) ^ salt)
+                outer = np.where(complete, outer, mix(mix(mix(u1.view(U64)) ^ u2.view(U64)) ^ (first << 12 | blocks).view(U64)))
+                start = first + reach - far
+                columns = (inner.view(np.int64), outer.view(np.int64), u1, u2, first, blocks, start, first + reach - near + match)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in columns), pa.array(whole, pa.bool_())], ["inner", "outer", "u1", "u2", "first", "block", "start", "stop", "whole"])
 
     return run
 
 
+def _compare_blocks(pieces: DataFrame, match: int, tables: Tables) -> DataFrame:
+    """Spans in the pieces of large groups, dealt out by content: blocks of 32 windows, then of 4, then single windows.
+
+    A block that covers the same bytes as another repeats as a whole; one whose shared bytes come nowhere else has no
+    repeated window; only the others are opened. One of each repeated block goes on, for others to be compared with.
+    """
+    at = ["u1", "u2", "first"]
+    spans, todo = None, pieces.withColumn("parents", F.lit(None).cast("array<struct<block:long,whole:boolean>>"))
+    for size, ratio in ((32, 0), (4, 8), (1, 4)):
+        rows = tables.keep(todo.select(*at, "k", "reach", "piece", "whole", "parents").mapInArrow(_block_rows(match, size, ratio), "inner long, outer long, u1 long, u2 long, first long, block long, start long, stop long, whole boolean"))
+        shared = rows.groupBy("inner").agg(F.count("*").alias("n")).where("n > 1").select("inner")
+        same = rows.groupBy("outer").agg(F.count("*").alias("n"), F.min(F.struct(*at, "block")).alias("one")).where("n > 1").select("outer", "one")
+        marked = rows.join(dealt_anew(same), "outer", "left")
+        found = marked.where("one IS NOT NULL AND NOT whole").select("u1", "u2", "start", "stop")
+        spans = found if spans is None else spans.union(found)
+        if size > 1:
+            going_on = marked.where(F.col("one").isNull() | (F.col("one") == F.struct(*at, "block"))).join(dealt_anew(shared), "inner", "left_semi")
+            parents = going_on.groupBy(*at).agg(F.collect_set(F.struct("block", (F.col("whole") | F.col("one").isNotNull()).alias("whole"))).alias("parents"))
+            todo = pieces.join(parents, at)
+    return spans
+
+
 def _removed(batches: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = [], [], [], []
@@ -276,13 +324,11 @@ def repeated_spans(docs: DataFrame, match: int, batches: int = 4, id_col: str =
     squeezed = texts.select("u1", "u2", "id", "text").mapInArrow(_squeezed, f"u1 long, u2 long, id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, squeezed binary")
     once = squeezed.select("u1", "u2", "squeezed", "n_bytes")
     pieces = tables.keep(
-        by_text.join(once, ["u1", "u2"]).select("u1", "u2", "squeezed", "n_bytes", "found").mapInArrow(_pieces(match), "u1 long, u2 long, first long, k long, runs long, whole boolean, piece binary")
+        by_text.join(once, ["u1", "u2"]).select("u1", "u2", "squeezed", "n_bytes", "found").mapInArrow(_pieces(match), "u1 long, u2 long, first long, k long, runs long, whole boolean, reach long, piece binary")
     )
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     small = pieces.where(F.col("runs") <= GROUP).repartition(n, "k").sortWithinPartitions("k").mapInArrow(_compare_groups(match), SPAN)
-    windows = pieces.where(F.col("runs") > GROUP).mapInArrow(_window_rows(match), "w long, u1 long, u2 long, start long, whole boolean")
-    again = windows.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")
-    large = windows.where("NOT whole").join(dealt_anew(again), "w").select("u1", "u2", "start", (F.col("start") + match).alias("stop"))
+    large = _compare_blocks(pieces.where(F.col("runs") > GROUP), match, tables)
     return whole.union(small).union(large)
 
 
