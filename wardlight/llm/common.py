@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 #: Bytes of text that one vectorised step handles; a longer text is a step of its own.
-STEP_BYTES = 1 << 21
+STEP_BYTES = 1 << 19
 
 U64 = np.uint64
 
