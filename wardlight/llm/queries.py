@@ -11,6 +11,7 @@ from .common import table
 from .piece_codec import encode_documents
 from . import language_profiles as languages
 from . import minhash
+from . import quality_gam
 from . import quality_rules as rules
 from . import suffix_index
 from . import toxicity
@@ -45,6 +46,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gam.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), piece_model_file())
 
@@ -56,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_minhash_dedup": op3_minhash_dedup,
         "op4_toxicity": op4_toxicity,
         "op5_language_id": op5_language_id,
+        "op6_quality_gam": op6_quality_gam,
         "op10_sentencepiece": op10_sentencepiece,
     }
 
