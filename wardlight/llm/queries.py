@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .piece_codec import encode_documents
 from . import language_profiles as languages
-from . import minhash
+from . import minhash, mixing
 from . import quality_gam
 from . import quality_rules as rules
 from . import suffix_index
@@ -50,6 +50,10 @@ def op6_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), piece_model_file())
 
@@ -62,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": op4_toxicity,
         "op5_language_id": op5_language_id,
         "op6_quality_gam": op6_quality_gam,
+        "op9_source_mixing": op9_source_mixing,
         "op10_sentencepiece": op10_sentencepiece,
     }
 
