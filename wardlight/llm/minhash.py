@@ -5,12 +5,12 @@
 2. Buckets (equal band hashes) that hold two classes or more are kept. Each member is paired with the bucket's
    least member: a row per member, never all pairs of a bucket.
 3. Pairs whose signatures agree too little for the threshold are dropped; the others are confirmed on the full sets.
-4. Large-star and small-star alternate over the confirmed links. Members of one bucket that are still in different
-   components are paired again, with further pivots, until no bucket has an untested pair across components: at
-   the end of the rounds all members outside a bucket's main component are compared with all of the bucket. So a
-   pair that shares a bucket and could join two components is always tested, however large the bucket is.
+4. Large-star and small-star alternate over the confirmed links. Where a bucket's members are still in different
+   components, those outside its largest one are compared with the whole bucket: as pairs where they are few, else
+   after a second star and as blocks of texts against blocks of texts. So a pair that shares a bucket and could join
+   two components is always tested, however large the bucket is.
 
-With 32 bands of 4 a pair at similarity 0.8 shares no bucket with a chance of 5e-8.
+With 40 bands of 6 a pair at similarity 0.8 shares no bucket with a chance of 5e-6, and one at 0.3 shares one with 0.03.
 
 Rows: null texts and texts without words have the empty set and stand alone. Equal rows share a class; rows that
 repeat one doc_id get one component and are kept or not together. A null doc_id takes no part as representative:
@@ -32,11 +32,13 @@ from .components import connected_components, dealt_anew
 from .word_shingles import shingle_sets
 
 #: Bands and minima of a band.
-BANDS, ROWS = 32, 4
-#: A pair's signatures may agree this much less than the threshold; four standard deviations at 128 minima.
-SLACK = 0.15
-#: Star rounds before the rest of the pairs across components is compared exhaustively.
-STAR_ROUNDS = 6
+BANDS, ROWS = 40, 6
+#: A pair's signatures may agree this much less than the threshold; five standard deviations at 240 minima.
+SLACK = 0.13
+#: Members outside a bucket's largest component that are compared with all of the bucket at once.
+OUTSIDE = 4
+#: Texts of a block, about, where larger remainders are compared block against block.
+BLOCK = 64
 #: Ids of candidate pairs that are sent to all tasks at most (8 bytes each), so that the texts needn't be shuffled.
 MOST_SENT = 200_000
 
@@ -125,6 +127,59 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
     return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b").distinct()
 
 
+def _across(shared: DataFrame, links: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
+    """Members (bucket, id, component) of buckets that hold several components, and per such bucket its largest component,
+    a member of that and of another, and how many members are outside. None if there is no such bucket."""
+    if links is None:
+        now = shared.withColumn("component", F.col("id"))
+    else:
+        labels = connected_components(links)
+        now = shared.join(labels, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    mixed = now.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
+    members = cut(now.join(dealt_anew(mixed), "bucket", "left_semi"))
+    if members.isEmpty():
+        return None, None
+    parts = members.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.max("id").alias("one"))
+    whole = F.struct("n", "component", "one")
+    sizes = parts.groupBy("bucket").agg(F.max(whole).alias("main"), F.min(whole).alias("least"), F.sum("n").alias("all"))
+    return members, cut(sizes.select("bucket", F.col("main.component").alias("main"), F.col("main.one").alias("hub"), F.col("least.one").alias("other"), (F.col("all") - F.col("main.n")).alias("outside")))
+
+
+def _compared_in_blocks(placed: DataFrame, docs: DataFrame, marks: DataFrame, width: int, percent: int, least: float) -> DataFrame:
+    """Links between what is outside the largest component of its buckets and all members of these buckets.
+
+    placed: (bucket, id, component, main). Outside texts are a set of queries against all members, block against block of
+    about BLOCK texts; the compared texts' full sets are in the blocks, so only links come out.
+    """
+    own = placed.select("main", "id", "component").distinct()
+    ids = cut(own.select("id").distinct())
+    texts = docs.join(F.broadcast(ids) if ids.count() <= MOST_SENT else dealt_anew(ids), "id", "left_semi").select("id", "text")
+    sets = cut(texts.mapInArrow(_full_sets(width), "id long, shingles array<long>"))
+    counts = dealt_anew(own.groupBy("main").agg(F.count("*").alias("n")))
+    rows = cut(own.join(counts, "main").join(sets, "id").join(marks, "id").withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK))))
+    block = F.collect_list(F.struct("id", "component", "shingles", "mark"))
+    asks = rows.where("component <> main").groupBy("main", "part").agg(block.alias("asks"))
+    held = rows.groupBy("main", "part").agg(block.alias("held")).select("main", "held")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                asks, held = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+                signs = np.array([np.frombuffer(x["mark"], np.uint8) for x in held])
+                of = np.array([x["component"] for x in held])
+                found = []
+                for x in asks:
+                    near = (signs == np.frombuffer(x["mark"], np.uint8)).mean(axis=1) >= least
+                    for i in np.flatnonzero(near & (of != x["component"])):
+                        y = held[i]
+                        common = len(np.intersect1d(x["shingles"], y["shingles"], assume_unique=True))
+                        if 100 * common >= percent * (len(x["shingles"]) + len(y["shingles"]) - common):
+                            found.append((min(x["id"], y["id"]), max(x["id"], y["id"])))
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+
+    return asks.join(dealt_anew(held), "main").select("asks", "held").mapInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -147,50 +202,29 @@ def near_duplicates(
     ends = rows_of.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").select("bucket", "pivot")
     shared = cut(rows_of.join(dealt_anew(ends), "bucket").select("bucket", "id", "pivot").distinct())
 
-    tested = links = None
-    members = None
-    for turn in range(STAR_ROUNDS + 1):
-        if turn == 0:
-            found = shared.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
-        else:
-            labels = connected_components(links) if links is not None else None
-            now = shared.select("bucket", "id")
-            if labels is not None:
-                now = now.join(labels, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-            else:
-                now = now.withColumn("component", F.col("id"))
-            mixed = now.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
-            members = cut(now.join(dealt_anew(mixed), "bucket", "left_semi"))
-            parts = members.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id")).alias("one"))
-            sizes = parts.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("main"), F.max_by("one", F.struct("n", "component")).alias("hub"), F.sum("n").alias("all"))
-            sizes = cut(sizes.select("bucket", F.col("main.component").alias("main"), F.col("hub.id").alias("hub"), F.col("all"), (F.col("all") - F.col("main.n")).alias("outside")))
-            work, there = sizes.agg(F.sum(F.col("all") * F.col("outside")), F.sum("all")).first()
-            if not there:
-                break
-            placed = members.join(sizes, "bucket")
-            outside = placed.where("component <> main")
-            if turn == STAR_ROUNDS or work <= 4 * there:
-                # Everything outside a bucket's main component against the whole bucket: no pair across components is left.
-                found = outside.select("bucket", F.col("id").alias("a"), F.col("component").alias("c")).join(members, "bucket").where("c <> component").select("a", F.col("id").alias("b"))
-                turn = STAR_ROUNDS
-            else:
-                found = outside.select(F.col("hub").alias("a"), F.col("id").alias("b")).union(
-                    placed.where("component = main").join(dealt_anew(parts.join(sizes.select("bucket", "main"), "bucket").where("component <> main").groupBy("bucket").agg(F.min("one").alias("other")).select("bucket", F.col("other.id").alias("other"))), "bucket").select(F.col("other"), "id")
-                )
+    least, marks = percent / 100 - SLACK, speakers.select("id", "mark")
+
+    def tested(found: DataFrame, links: DataFrame | None, before: DataFrame | None) -> tuple[DataFrame | None, DataFrame]:
         found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-        if tested is not None:
-            found = found.join(tested, ["a", "b"], "left_anti")
-        found = cut(found)
-        close = cut(_screened(found, speakers.select("id", "mark"), percent / 100 - SLACK, bands * rows))
-        if close.isEmpty():
-            fresh = None
-        else:
+        found = cut(found.join(before, ["a", "b"], "left_anti") if before is not None else found)
+        close = cut(_screened(found, marks, least, bands * rows))
+        if not close.isEmpty():
             fresh = cut(_confirmed(close, texts, width, percent))
-        tested = found if tested is None else tested.union(found)
-        if fresh is not None:
             links = fresh if links is None else links.union(fresh)
-        if turn == STAR_ROUNDS:
-            break
+        return links, found
+
+    links, stars = tested(shared.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")), None, None)
+    members, sizes = _across(shared.select("bucket", "id"), links)
+    if members is not None:
+        small, large = sizes.where(F.col("outside") <= OUTSIDE), sizes.where(F.col("outside") > OUTSIDE)
+        alone = members.join(dealt_anew(small.select("bucket", "main")), "bucket").where("component <> main").select("bucket", F.col("id").alias("a"), F.col("component").alias("c"))
+        pairs = alone.join(members, "bucket").where("c <> component").select("a", F.col("id").alias("b"))
+        rest = cut(members.join(dealt_anew(large), "bucket"))
+        links, _ = tested(pairs.union(rest.select(F.when(F.col("component") == F.col("main"), F.col("other")).otherwise(F.col("hub")).alias("a"), F.col("id").alias("b"))), links, stars)
+        members, sizes = _across(rest.select("bucket", "id"), links) if not rest.isEmpty() else (None, None)
+        if members is not None:
+            fresh = cut(_compared_in_blocks(members.join(dealt_anew(sizes.select("bucket", "main")), "bucket"), texts, marks, width, percent, least))
+            links = fresh if links is None else links.union(fresh)
 
     out = seen.select("doc_id", *keys)
     if links is not None:
