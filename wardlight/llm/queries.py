@@ -14,7 +14,7 @@ from . import language_profiles as languages
 from . import minhash, mixing
 from . import quality_gam
 from . import quality_rules as rules
-from . import suffix_index, topk, toxicity
+from . import suffix_index, topk, toxicity, warc
 
 #: Where the public tokenizers are; a parameter of the operator.
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -50,6 +50,10 @@ def op6_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), least_bytes=0)
+
+
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
 
@@ -70,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": op4_toxicity,
         "op5_language_id": op5_language_id,
         "op6_quality_gam": op6_quality_gam,
+        "op7_warc_archives": op7_warc_archives,
         "op8_exact_topk": op8_exact_topk,
         "op9_source_mixing": op9_source_mixing,
         "op10_sentencepiece": op10_sentencepiece,
@@ -80,5 +85,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": rules.oracle(),
         "op3_minhash_dedup": minhash.oracle(),
+        "op7_warc_archives": warc.oracle(),
         "op8_exact_topk": topk.oracle(),
     }
