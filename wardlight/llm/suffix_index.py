@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .byte_windows import Windows
 from .common import U64, Tables, mix, steps, text_bytes
@@ -40,11 +41,11 @@ GROUP = 256
 TOGETHER = 2000
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Texts with a key of two longs that tells rows apart unless they are equal."""
+def _texts(docs: DataFrame, id_col: str, text_col: str, carried: str | None = None) -> DataFrame:
+    """Texts with a key of two longs that tells rows apart unless they are equal; id is the carried column."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     known = F.col(id_col).cast("long")
-    return docs.select(F.coalesce(known, F.lit(0)).alias("u1"), F.xxhash64(text, known.isNull()).alias("u2"), F.col(id_col).alias("id"), text.alias("text"))
+    return docs.select(F.coalesce(known, F.lit(0)).alias("u1"), F.xxhash64(text, known.isNull()).alias("u2"), F.col(carried or id_col).alias("id"), text.alias("text"))
 
 
 def _suffixes(match: int):
@@ -332,13 +333,19 @@ def repeated_spans(docs: DataFrame, match: int, batches: int = 4, id_col: str =
     return whole.union(small).union(large)
 
 
-def remove_repeats(docs: DataFrame, match: int = 400, batches: int = 4, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with keep_text what is left (characters cut in two are dropped)."""
+def remove_repeats(docs: DataFrame, match: int = 400, batches: int = 4, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, carried: str | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with keep_text what is left (characters cut in two are dropped).
+
+    With `carried` that column, of any type, stands in the place of doc_id.
+    """
     tables = Tables(docs.sparkSession)
     spans = repeated_spans(docs, match, batches, id_col, text_col, tables)
     by_text = tables.keep(spans.distinct().groupBy("u1", "u2").agg(F.collect_list(F.struct("start", "stop")).alias("spans")))
-    id_type = docs.schema[id_col].dataType.simpleString()
-    squeezed = _texts(docs, id_col, text_col).select("u1", "u2", "id", "text").mapInArrow(_squeezed, f"u1 long, u2 long, id {id_type}, n_bytes long, squeezed binary")
+    out = carried or id_col
+    kind = docs.schema[out].dataType
+    squeezed = _texts(docs, id_col, text_col, carried).select("u1", "u2", "id", "text").mapInArrow(_squeezed, T.StructType().add("u1", "long").add("u2", "long").add("id", kind).add("n_bytes", "long").add("squeezed", "binary"))
     joined = squeezed.join(by_text, ["u1", "u2"], "left").select("id", "squeezed", "n_bytes", "spans")
-    schema = f"id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep_text
-    return joined.mapInArrow(lambda batches: _removed(batches, keep_text), schema).withColumnRenamed("id", id_col)
+    schema = T.StructType().add("id", kind).add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string")
+    if keep_text:
+        schema = schema.add("kept_text", "string")
+    return joined.mapInArrow(lambda batches: _removed(batches, keep_text), schema).withColumnRenamed("id", out)
