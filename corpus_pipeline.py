@@ -50,7 +50,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes its words, rounded up or down by a hash of its id; documents without an id stay once."""
     taken = mixing.mix_sources(docs).where("doc_id IS NOT NULL AND taken > 0")
     chance = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1 << 20)) / (1 << 20)
-    copies = taken.select("doc_id", F.floor(F.col("taken") / F.col("size") + chance).cast("int").alias("copies")).where("copies > 0")
+    copies = taken.select("doc_id", F.floor(F.try_divide("taken", "size") + chance).cast("int").alias("copies")).where("copies > 0")
     mixed = docs.join(copies, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return mixed.select(*docs.columns).union(docs.where(F.col("doc_id").isNull()))
 
