@@ -7,7 +7,7 @@
 3. Pairs whose signatures agree too little for the threshold are dropped; the others are confirmed on the full sets.
 4. Large-star and small-star alternate over the confirmed links. Where a bucket's members are still in different
    components, those outside its largest one are compared with the whole bucket: as pairs where they are few, else
-   after a second star and as blocks of texts against blocks of texts. So a pair that shares a bucket and could join
+   as blocks of texts against blocks of texts. So a pair that shares a bucket and could join
    two components is always tested, however large the bucket is.
 
 With 40 bands of 6 a pair at similarity 0.8 shares no bucket with a chance of 5e-6, and one at 0.3 shares one with 0.03.
@@ -38,7 +38,7 @@ SLACK = 0.13
 #: Members outside a bucket's largest component that are compared with all of the bucket at once.
 OUTSIDE = 4
 #: Texts of a block, about, where larger remainders are compared block against block.
-BLOCK = 64
+BLOCK, SALTS = 64, 8
 #: Ids of candidate pairs that are sent to all tasks at most (8 bytes each), so that the texts needn't be shuffled.
 MOST_SENT = 200_000
 
@@ -128,8 +128,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
 
 
 def _across(shared: DataFrame, links: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
-    """Members (bucket, id, component) of buckets that hold several components, and per such bucket its largest component,
-    a member of that and of another, and how many members are outside. None if there is no such bucket."""
+    """Members (bucket, id, component) of buckets that hold several components, and per such bucket its largest component
+    and how many members are outside it. None if there is no such bucket."""
     if links is None:
         now = shared.withColumn("component", F.col("id"))
     else:
@@ -139,27 +139,26 @@ def _across(shared: DataFrame, links: DataFrame | None) -> tuple[DataFrame | Non
     members = cut(now.join(dealt_anew(mixed), "bucket", "left_semi"))
     if members.isEmpty():
         return None, None
-    parts = members.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.max("id").alias("one"))
-    whole = F.struct("n", "component", "one")
-    sizes = parts.groupBy("bucket").agg(F.max(whole).alias("main"), F.min(whole).alias("least"), F.sum("n").alias("all"))
-    return members, cut(sizes.select("bucket", F.col("main.component").alias("main"), F.col("main.one").alias("hub"), F.col("least.one").alias("other"), (F.col("all") - F.col("main.n")).alias("outside")))
+    parts = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    sizes = parts.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all"))
+    return members, cut(sizes.select("bucket", F.col("main.component").alias("main"), (F.col("all") - F.col("main.n")).alias("outside")))
 
 
-def _compared_in_blocks(placed: DataFrame, docs: DataFrame, marks: DataFrame, width: int, percent: int, least: float) -> DataFrame:
+def _compared_in_blocks(own: DataFrame, docs: DataFrame, marks: DataFrame, width: int, percent: int, least: float) -> DataFrame:
     """Links between what is outside the largest component of its buckets and all members of these buckets.
 
-    placed: (bucket, id, component, main). Outside texts are a set of queries against all members, block against block of
-    about BLOCK texts; the compared texts' full sets are in the blocks, so only links come out.
+    own: distinct (main, id, component). Outside texts are a set of queries against all members, block against block of
+    about BLOCK texts; the compared texts' full sets are in the blocks, so only links come out. The blocks of one main
+    component are dealt out over SALTS tasks.
     """
-    own = placed.select("main", "id", "component").distinct()
     ids = cut(own.select("id").distinct())
     texts = docs.join(F.broadcast(ids) if ids.count() <= MOST_SENT else dealt_anew(ids), "id", "left_semi").select("id", "text")
     sets = cut(texts.mapInArrow(_full_sets(width), "id long, shingles array<long>"))
-    counts = dealt_anew(own.groupBy("main").agg(F.count("*").alias("n")))
-    rows = cut(own.join(counts, "main").join(sets, "id").join(marks, "id").withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK))))
+    parts = own.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    rows = cut(own.join(dealt_anew(parts), "main").join(sets, "id").join(marks, "id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))))
     block = F.collect_list(F.struct("id", "component", "shingles", "mark"))
-    asks = rows.where("component <> main").groupBy("main", "part").agg(block.alias("asks"))
-    held = rows.groupBy("main", "part").agg(block.alias("held")).select("main", "held")
+    asks = rows.where("component <> main").groupBy("main", "part", "parts").agg(block.alias("asks")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.least(F.lit(SALTS), F.col("parts")) - 1)))
+    held = rows.groupBy("main", "part").agg(block.alias("held")).select("main", F.pmod("part", F.lit(SALTS)).alias("salt"), "held")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,7 +176,7 @@ def _compared_in_blocks(placed: DataFrame, docs: DataFrame, marks: DataFrame, wi
                             found.append((min(x["id"], y["id"]), max(x["id"], y["id"])))
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
-    return asks.join(dealt_anew(held), "main").select("asks", "held").mapInArrow(run, "a long, b long").distinct()
+    return asks.join(dealt_anew(held), ["main", "salt"]).select("asks", "held").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(
@@ -219,11 +218,10 @@ def near_duplicates(
         small, large = sizes.where(F.col("outside") <= OUTSIDE), sizes.where(F.col("outside") > OUTSIDE)
         alone = members.join(dealt_anew(small.select("bucket", "main")), "bucket").where("component <> main").select("bucket", F.col("id").alias("a"), F.col("component").alias("c"))
         pairs = alone.join(members, "bucket").where("c <> component").select("a", F.col("id").alias("b"))
-        rest = cut(members.join(dealt_anew(large), "bucket"))
-        links, _ = tested(pairs.union(rest.select(F.when(F.col("component") == F.col("main"), F.col("other")).otherwise(F.col("hub")).alias("a"), F.col("id").alias("b"))), links, stars)
-        members, sizes = _across(rest.select("bucket", "id"), links) if not rest.isEmpty() else (None, None)
-        if members is not None:
-            fresh = cut(_compared_in_blocks(members.join(dealt_anew(sizes.select("bucket", "main")), "bucket"), texts, marks, width, percent, least))
+        links, _ = tested(pairs, links, stars)
+        rest = cut(members.join(dealt_anew(large.select("bucket", "main")), "bucket").select("main", "id", "component").distinct())
+        if not rest.isEmpty():
+            fresh = cut(_compared_in_blocks(rest, texts, marks, width, percent, least))
             links = fresh if links is None else links.union(fresh)
 
     out = seen.select("doc_id", *keys)
