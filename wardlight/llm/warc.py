@@ -94,31 +94,34 @@ def _header(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
 CANDIDATES = "file string, at long, successor long, leaves long, size long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    number = lambda x: int(x) if x is not None else None
-    for batch in batches:
-        for file, content in zip(batch.column(0), batch.column(1), strict=True):
-            data = content.as_buffer().to_pybytes()
-            rows, at = [], data.find(MAGIC)
-            while at >= 0:
-                if head := _header(data, at):
-                    fields, body = head
-                    stop = body + int(fields["content-length"])
-                    if stop + 4 <= len(data) and data[stop : stop + 4] == b"\r\n\r\n":
-                        revisit = fields["warc-type"] == "revisit"
-                        payload = data[data.find(b"\r\n\r\n", body, stop) + 4 : stop]
-                        digest = fields.get("warc-payload-digest", "").removeprefix("sha1:") if revisit else base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                        size = number(fields.get("x-payload-length")) if revisit else len(payload)
-                        rows.append((at, stop + 4, number(fields.get("x-page-id")), size, digest, fields["warc-type"], number(fields.get("x-refers-to-page-id"))))
-                at = data.find(MAGIC, at + 1)
-            # Where each chain leaves its block, from the last candidate backwards.
-            leaves: dict[int, int] = {}
-            for at, successor, *_ in reversed(rows):
-                leaves[at] = leaves.get(successor, successor) if successor // BLOCK_BYTES == at // BLOCK_BYTES else successor
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            columns = [[file.as_py()] * len(rows), columns[0], columns[1], [leaves[a] for a in columns[0]], [len(data)] * len(rows), *columns[2:]]
-            types = (pa.string(), *[pa.int64()] * 6, pa.string(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], ["file", "at", "successor", "leaves", "size", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+def _candidates(block_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = lambda x: int(x) if x is not None else None
+        for batch in batches:
+            for file, content in zip(batch.column(0), batch.column(1), strict=True):
+                data = content.as_buffer().to_pybytes()
+                rows, at = [], data.find(MAGIC)
+                while at >= 0:
+                    if head := _header(data, at):
+                        fields, body = head
+                        stop = body + int(fields["content-length"])
+                        if stop + 4 <= len(data) and data[stop : stop + 4] == b"\r\n\r\n":
+                            revisit = fields["warc-type"] == "revisit"
+                            payload = data[data.find(b"\r\n\r\n", body, stop) + 4 : stop]
+                            digest = fields.get("warc-payload-digest", "").removeprefix("sha1:") if revisit else base64.b32encode(hashlib.sha1(payload).digest()).decode()
+                            size = number(fields.get("x-payload-length")) if revisit else len(payload)
+                            rows.append((at, stop + 4, number(fields.get("x-page-id")), size, digest, fields["warc-type"], number(fields.get("x-refers-to-page-id"))))
+                    at = data.find(MAGIC, at + 1)
+                # Where each chain leaves its block, from the last candidate backwards.
+                leaves: dict[int, int] = {}
+                for at, successor, *_ in reversed(rows):
+                    leaves[at] = leaves.get(successor, successor) if successor // block_bytes == at // block_bytes else successor
+                columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
+                columns = [[file.as_py()] * len(rows), columns[0], columns[1], [leaves[a] for a in columns[0]], [len(data)] * len(rows), *columns[2:]]
+                types = (pa.string(), *[pa.int64()] * 6, pa.string(), pa.string(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], ["file", "at", "successor", "leaves", "size", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+
+    return run
 
 
 def reachable_entries(jumps: DataFrame, starts: DataFrame, most_rounds: int = 64) -> DataFrame:
@@ -136,11 +139,11 @@ def reachable_entries(jumps: DataFrame, starts: DataFrame, most_rounds: int = 64
     raise RuntimeError(f"chains did not end in {most_rounds} rounds")
 
 
-def read_archives(spark: SparkSession, folder: str) -> DataFrame:
+def read_archives(spark: SparkSession, folder: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of each true record."""
     files = spark.read.format("binaryFile").load(folder).where("length > 0").select(F.col("path").alias("file"), "content")
-    found = cut(files.mapInArrow(_candidates, CANDIDATES))
-    block = F.floor(F.col("at") / BLOCK_BYTES)
+    found = cut(files.mapInArrow(_candidates(block_bytes), CANDIDATES))
+    block = F.floor(F.col("at") / block_bytes)
     entries = reachable_entries(found, found.where("at = 0"))
 
     def walked(rows: pd.DataFrame) -> pd.DataFrame:
@@ -157,11 +160,11 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     return found.join(true, ["file", "at"], "left_semi").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
+def round_trip(pages: DataFrame, least_bytes: int = 0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Writes all pages as archives in the shared folder and reads them back."""
     folder = f"{Tables(pages.sparkSession).root}/archives"
     write_archives(pages, folder, least_bytes=least_bytes)
-    return read_archives(pages.sparkSession, folder)
+    return read_archives(pages.sparkSession, folder, block_bytes)
 
 
 def oracle() -> str:
