@@ -32,7 +32,15 @@ class Windows:
         self.up, self.down = _powers(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, U64)
         np.cumsum(codes * self.up[: len(data)], dtype=U64, out=self.sums[1:])
-        self.places = window_hashes(codes, [ANCHOR])[ANCHOR] if len(data) >= ANCHOR else np.zeros(0, U64)
+        self._codes, self._places = codes, None
+
+    @property
+    def places(self) -> np.ndarray:
+        """The hash of the anchor's width at each place."""
+        if self._places is None:
+            self._places = window_hashes(self._codes, [ANCHOR])[ANCHOR] if len(self.data) >= ANCHOR else np.zeros(0, U64)
+            self._codes = None
+        return self._places
 
     def hash(self, starts: np.ndarray, ends: np.ndarray, kind: int) -> np.ndarray:
         """64-bit hashes of data[starts:ends], apart for each kind."""

@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame
 #: What SentencePiece writes for a blank.
 BLANK = "▁"
 #: Cuts that one task keeps encoded; beyond it the memo starts anew.
-MEMO = 700_000
+MEMO = 350_000
 #: Border tests that one task keeps.
-PAIR_MEMO = 600_000
+PAIR_MEMO = 300_000
 #: Longer cuts are not kept.
 MEMO_CHARS = 48
 

@@ -32,13 +32,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .byte_windows import Windows
-from .common import U64, Tables, mix, steps, text_bytes
+from .common import U64, Tables, mix, slices, steps, text_bytes
 from .components import dealt_anew
 
 #: Runs of one k that one task compares; larger groups are dealt out by content, see _compare_blocks.
 GROUP = 256
 #: Rows that a task takes together while it walks through groups.
-TOGETHER = 2000
+TOGETHER = 500
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str, carried: str | None = None) -> DataFrame:
@@ -134,7 +134,7 @@ class SuffixFamily:
 def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts in compressed form, to be shuffled."""
     codec = pa.Codec("zstd", compression_level=1)
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         raw = [(x.as_py() or "").encode() for x in batch.column(3)]
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([len(x) for x in raw], pa.int64()), pa.array([codec.compress(x, asbytes=True) for x in raw], pa.binary())], ["u1", "u2", "id", "n_bytes", "squeezed"])
 
@@ -146,7 +146,7 @@ def _open(squeezed: list[bytes], sizes: list[int]) -> list[bytes]:
 
 def _pieces(match: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             out = [], [], [], [], [], [], [], []
             for u1, u2, text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _open(batch.column(2).to_pylist(), batch.column(3).to_pylist()), batch.column(4).to_pylist(), strict=True):
                 for x in runs:
@@ -278,7 +278,7 @@ def _compare_blocks(pieces: DataFrame, match: int, tables: Tables) -> DataFrame:
 
 
 def _removed(batches: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         out = [], [], [], []
         for text, spans in zip(_open(batch.column(1).to_pylist(), batch.column(2).to_pylist()), batch.column(3).to_pylist(), strict=True):
             kept, at, n = [], 0, 0
