@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -39,6 +40,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def hint_cleaning(spark: SparkSession) -> None:
+    """Lets Spark's cleaner see that shuffles behind a checkpoint are garbage; it acts on the driver's collections only."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def crc_fold(column: str, folds: int):
     """crc32 of the id as text, modulo folds; null ids fall in fold 0."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % folds, F.lit(0)).cast("int")

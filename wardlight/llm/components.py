@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, hint_cleaning
 
 
 def dealt_anew(df: DataFrame) -> DataFrame:
@@ -35,6 +35,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
         down = dealt_anew(large.groupBy("hi").agg(F.min("lo").alias("m")))
         small = large.join(down, "hi")
         now = cut(_pairs(small.select("hi", "m").union(small.select(F.col("lo"), "m")), "hi", "m"))
+        del both, least, large, down, small
+        hint_cleaning(edges.sparkSession)
         seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("lo", "hi"))).first()
         if seen == stamp:
             break

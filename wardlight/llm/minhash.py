@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, cut, mix, steps, text_bytes
+from .common import U64, cut, hint_cleaning, mix, steps, text_bytes
 from .components import connected_components, dealt_anew
 from .word_shingles import shingle_sets
 
@@ -127,13 +127,12 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
     return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b").distinct()
 
 
-def _across(shared: DataFrame, links: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
+def _across(shared: DataFrame, labels: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
     """Members (bucket, id, component) of buckets that hold several components, and per such bucket its largest component
     and how many members are outside it. None if there is no such bucket."""
-    if links is None:
+    if labels is None:
         now = shared.withColumn("component", F.col("id"))
     else:
-        labels = connected_components(links)
         now = shared.join(labels, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
     mixed = now.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
     members = cut(now.join(dealt_anew(mixed), "bucket", "left_semi"))
@@ -210,10 +209,13 @@ def near_duplicates(
         if not close.isEmpty():
             fresh = cut(_confirmed(close, texts, width, percent))
             links = fresh if links is None else links.union(fresh)
+        hint_cleaning(docs.sparkSession)
         return links, found
 
     links, stars = tested(shared.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")), None, None)
-    members, sizes = _across(shared.select("bucket", "id"), links)
+    if links is not None:  # from here on each component is a star
+        links = cut(connected_components(links)).toDF("a", "b")
+    members, sizes = _across(shared.select("bucket", "id"), links.toDF("node", "component") if links is not None else None)
     if members is not None:
         small, large = sizes.where(F.col("outside") <= OUTSIDE), sizes.where(F.col("outside") > OUTSIDE)
         alone = members.join(dealt_anew(small.select("bucket", "main")), "bucket").where("component <> main").select("bucket", F.col("id").alias("a"), F.col("component").alias("c"))
