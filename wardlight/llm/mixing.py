@@ -171,6 +171,7 @@ def _taken(sized: DataFrame, drawn: DataFrame, block: int, seed: int) -> DataFra
     indexes = F.sequence(F.floor(F.col("at") / block), F.floor((end - 1) / block))
     parts = placed.select("id", "tie", "size", "source", "known", "at", F.explode(indexes).alias("block"))
     held_words = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block) - F.greatest("at", F.col("block") * block)
-    joined = parts.withColumn("words", held_words).join(drawn, ["source", "known", "block"], "left")
+    # Without the hint Spark takes the few rows of the shard plan for the size of what is drawn from it, and would broadcast that.
+    joined = parts.withColumn("words", held_words).join(drawn.hint("merge"), ["source", "known", "block"], "left")
     found = joined.groupBy("id", "tie", "source", "known", "size", "at").agg(F.sum(F.col("words") * F.coalesce("drawn", F.lit(0))).alias("taken"))
     return found.select("id", "source", "known", "size", F.col("taken").cast("long"))
