@@ -32,8 +32,8 @@ LEAST_DOCS = 4
 PENALTY = 1.0
 
 
-def _slots(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Per gram size: the slot at each place, and the last place in each text's range plus one."""
+def _slots(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Per gram size the slot of the gram at each place."""
     hashes = window_hashes(byte_codes(_LOWER[data]), list(SIZES))
     for n in SIZES:
         yield n, ((hashes[n] * U64(2 * n + 1)) >> U64(64 - SLOT_BITS)).astype(np.int32)
@@ -42,7 +42,7 @@ def _slots(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
 def _found(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (text, feature) where wanted[slot] is a feature's number plus one, or 0."""
     keys = []
-    for n, slots in _slots(data, offsets):
+    for n, slots in _slots(data):
         feature = wanted[slots]
         at = np.flatnonzero(feature)
         text = np.searchsorted(offsets, at, "right") - 1
