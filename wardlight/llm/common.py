@@ -132,6 +132,17 @@ def byte_codes(data: np.ndarray) -> np.ndarray:
     return _BYTE_CODES[data]
 
 
+#: Rows of texts that Spark sends to Python together at most; its default of 10,000 can be a hundred MB, several times over.
+TEXTS_TOGETHER = 2000
+
+
+def send_fewer_texts(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch size to TEXTS_TOGETHER if it is larger (or unlimited)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= TEXTS_TOGETHER:
+        spark.conf.set(key, str(TEXTS_TOGETHER))
+
+
 class Tables:
     """Parquet tables in the shared checkpoint folder, for intermediate results that later steps read more than once."""
 

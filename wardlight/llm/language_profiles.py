@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, cut
+from .common import crc_fold, cut, send_fewer_texts
 
 RANKS = 300
 LEAST_GRAM, LEAST_LANGUAGE = 1 / 20_000, 1 / 1000
@@ -108,6 +108,7 @@ def learn_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
 
 def predict(docs: DataFrame, profiles: list[tuple[str, list[int]]], id_cols: list[str], text_col: str = "text", ranks: int = RANKS, keep_row: bool = False) -> DataFrame:
     """The id columns (with keep_row all columns), lang_pred and score."""
+    send_fewer_texts(docs.sparkSession)
     langs = [lang for lang, _ in profiles]
     grams = np.unique(np.array([g for _, p in profiles for g in p], np.int64))
     place = np.full((len(langs), len(grams) + 1), ranks, np.int64)

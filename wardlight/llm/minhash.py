@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, cut, hint_cleaning, mix, steps, text_bytes
+from .common import U64, cut, hint_cleaning, mix, send_fewer_texts, steps, text_bytes
 from .components import connected_components, dealt_anew
 from .word_shingles import shingle_sets
 
@@ -188,6 +188,7 @@ def near_duplicates(
     rows: int = ROWS,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
+    send_fewer_texts(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     seen = cut(texts.mapInArrow(_features(width, bands, rows), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, mark binary"))
     keys = ["k1", "k2", "n_shingles"]

@@ -23,6 +23,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import send_fewer_texts
+
 #: What SentencePiece writes for a blank.
 BLANK = "▁"
 #: Cuts that one task keeps encoded; beyond it the memo starts anew.
@@ -254,6 +256,7 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", t
 
     One narrow pass: no shuffle, and memory bounded by the memo and the longest text.
     """
+    send_fewer_texts(docs.sparkSession)
     key = f"{model_file}"
     model = docs.sparkSession.sparkContext.broadcast(read_model(model_file))
     id_type = docs.schema[id_col].dataType.simpleString()

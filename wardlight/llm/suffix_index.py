@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .byte_windows import Windows
-from .common import U64, Tables, mix, slices, steps, text_bytes
+from .common import Tables, U64, mix, send_fewer_texts, slices, steps, text_bytes
 from .components import dealt_anew
 
 #: Runs of one k that one task compares; larger groups are dealt out by content, see _compare_blocks.
@@ -304,6 +304,7 @@ def repeated_spans(docs: DataFrame, match: int, batches: int = 4, id_col: str =
         raise ValueError("match is from 128 to 4095 bytes")
     spark = docs.sparkSession
     tables = tables or Tables(spark)
+    send_fewer_texts(spark)
     texts = _texts(docs, id_col, text_col)
     suffixes = tables.keep(texts.select("u1", "u2", "text").mapInArrow(_suffixes(match), "u1 long, u2 long, pack long, k long, r long"))
     family = SuffixFamily(spark, tables)
