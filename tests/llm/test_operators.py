@@ -254,6 +254,44 @@ def test_warc_round_trip(spark, tmp_path):
     assert {r.page_id: r.record_type for r in warc.read_archives(spark, folder).collect()}[3] == "response"
 
 
+@pytest.mark.parametrize("place", [0, 1])
+def test_warc_long_urls(spark, place):
+    pages = [(1, "http://a/", "one"), (2, "http://b/", "two"), (3, "u", "one")]
+    pages.insert(place, (9, "data:," + "x" * 100_000, "nine"))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    got = warc.round_trip(df).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.record_type) for r in got) == [(1, 3, "revisit"), (2, 3, "response"), (3, 3, "response"), (9, 4, "response")]
+
+
+def test_warc_lost_records_fail(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "u", "one"), (2, "u", "two")], "page_id long, url string, html string")
+    read = warc.read_archives
+    monkeypatch.setattr(warc, "read_archives", lambda *a: read(*a).where("page_id > 1"))
+    with pytest.raises(RuntimeError, match="2 records were written and 1 read"):
+        warc.round_trip(df)
+
+
+def test_warc_headers_of_any_bytes():
+    def plain(data):
+        for m in re.finditer(re.escape(warc.MAGIC), data):
+            end = data.find(b"\r\n\r\n", m.start())
+            lines = [x.partition(b":") for x in data[m.end() : end].split(b"\r\n")] if end >= 0 else [(b"", b"", b"")]
+            own = {k.decode().lower(): v.strip().decode() for k, _, v in lines if k.decode().lower() in warc.FIELDS}
+            if all(colon for _, colon, _ in lines) and own.get("content-length", "").isdecimal() and "warc-type" in own:
+                yield m.start(), own, end + 4
+
+    rng, found = random.Random(3), 0
+    pieces = [warc.MAGIC, warc.MAGIC, b"\r\n", b"\r\n", b"\r", b"\n", b"x: ", b"no", b"Content-Length: 5\r\n", b"content-length: 7\r\n", b"WARC-Type: response\r\n", b"X-Page-ID: 1\r\n", b":"]
+    for _ in range(20_000):
+        data = b"".join(rng.choices(pieces, k=rng.randint(0, 12)))
+        want = list(plain(data))
+        assert list(warc._headers(data)) == want
+        found += len(want)
+    assert found > 100
+    laden = b"x: WARC/1.0\r\n" * 300_000 + b"WARC-Type: a\r\nContent-Length: 1\r\n\r\n"  # minutes, if each magic read all lines behind it
+    assert sum(1 for _ in warc._headers(laden)) == 300_000
+
+
 def test_topk(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(300, 16)) / 4

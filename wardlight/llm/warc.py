@@ -30,6 +30,8 @@ from .common import Tables, cut
 from .components import dealt_anew
 
 MAGIC = b"WARC/1.0\r\n"
+#: Header fields that reading needs.
+FIELDS = {"content-length", "warc-type", "warc-payload-digest", "x-page-id", "x-payload-length", "x-refers-to-page-id"}
 #: Size of an archive, about, and of the blocks in which chains are followed locally.
 ARCHIVE_BYTES, BLOCK_BYTES = 16 << 20, 1 << 20
 #: Repeated payloads that are sent to all tasks at most.
@@ -50,7 +52,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     known = pages.select(F.col(id_col).cast("long").alias("page_id"), F.regexp_replace(F.col(url_col), "[\r\n]", " ").alias("url"), payload.alias("payload"))
     known = known.withColumns({"n": F.octet_length("payload").cast("long"), "digest": payload_digest(F.col("payload").cast("binary"))})
     keys = cut(known.where(F.col("n") >= least_bytes).groupBy("digest", "n").agg(F.max("page_id").alias("response"), F.count("*").alias("pages")))
-    records = known.agg(F.count("*"), F.sum("n")).first()
+    records = known.agg(F.count("*"), F.sum(F.col("n") + F.coalesce(F.octet_length("url"), F.lit(0)))).first()
     repeated = keys.where("pages > 1 AND response IS NOT NULL").select("digest", "n", "response")
     few = repeated.count() <= MOST_SENT
     rows = known.join(F.broadcast(repeated) if few else dealt_anew(repeated), ["digest", "n"], "left")
@@ -77,18 +79,32 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     return records[0]
 
 
-def _header(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
-    """Fields of the header whose magic stands at that offset, and where its block begins."""
-    end = data.find(b"\r\n\r\n", at)
-    if end < 0 or end - at > 64_000:
-        return None
-    fields = {}
-    for x in data[at + len(MAGIC) : end].split(b"\r\n"):
-        key, colon, value = x.partition(b":")
-        if not colon:
-            return None
-        fields[key.decode("utf-8", "replace").lower()] = value.strip().decode("utf-8", "replace")
-    return (fields, end + 4) if fields.get("content-length", "").isdecimal() and "warc-type" in fields else None
+def _headers(data: bytes) -> Iterator[tuple[int, dict[str, str], int]]:
+    """For each place where the magic stands and a header follows: its offset, the header's fields, and where its block begins.
+
+    A header may be of any length. Magics before the same blank line share its lines, which are read once, from the last
+    backwards, so the time is linear however many magics a payload holds. Of a repeated field the last counts.
+    """
+    at, end = data.find(MAGIC), -1
+    while at >= 0:
+        if end < at:
+            end = data.find(b"\r\n\r\n", at)
+            if end < 0:
+                return
+            low, stop, whole = at + len(MAGIC), end, end  # all lines from `whole` on have a colon
+            fields: dict[str, tuple[int, str]] = {}
+            while stop >= low:
+                start = max(low, data.rfind(b"\r\n", low, stop) + 2)
+                if (colon := data.find(b":", start, stop)) < 0:
+                    break
+                if (key := data[start:colon].decode("utf-8", "replace").lower()) in FIELDS:
+                    fields.setdefault(key, (start, data[colon + 1 : stop].strip().decode("utf-8", "replace")))
+                whole, stop = start, start - 2
+        if at + len(MAGIC) >= whole:
+            own = {key: value for key, (start, value) in fields.items() if start >= at + len(MAGIC)}
+            if own.get("content-length", "").isdecimal() and "warc-type" in own:
+                yield at, own, end + 4
+        at = data.find(MAGIC, at + 1)
 
 
 CANDIDATES = "file string, at long, successor long, leaves long, size long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -100,18 +116,15 @@ def _candidates(block_bytes: int):
         for batch in batches:
             for file, content in zip(batch.column(0), batch.column(1), strict=True):
                 data = content.as_buffer().to_pybytes()
-                rows, at = [], data.find(MAGIC)
-                while at >= 0:
-                    if head := _header(data, at):
-                        fields, body = head
-                        stop = body + int(fields["content-length"])
-                        if stop + 4 <= len(data) and data[stop : stop + 4] == b"\r\n\r\n":
-                            revisit = fields["warc-type"] == "revisit"
-                            payload = data[data.find(b"\r\n\r\n", body, stop) + 4 : stop]
-                            digest = fields.get("warc-payload-digest", "").removeprefix("sha1:") if revisit else base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                            size = number(fields.get("x-payload-length")) if revisit else len(payload)
-                            rows.append((at, stop + 4, number(fields.get("x-page-id")), size, digest, fields["warc-type"], number(fields.get("x-refers-to-page-id"))))
-                    at = data.find(MAGIC, at + 1)
+                rows = []
+                for at, fields, body in _headers(data):
+                    stop = body + int(fields["content-length"])
+                    if stop + 4 <= len(data) and data[stop : stop + 4] == b"\r\n\r\n":
+                        revisit = fields["warc-type"] == "revisit"
+                        payload = data[data.find(b"\r\n\r\n", body, stop) + 4 : stop]
+                        digest = fields.get("warc-payload-digest", "").removeprefix("sha1:") if revisit else base64.b32encode(hashlib.sha1(payload).digest()).decode()
+                        size = number(fields.get("x-payload-length")) if revisit else len(payload)
+                        rows.append((at, stop + 4, number(fields.get("x-page-id")), size, digest, fields["warc-type"], number(fields.get("x-refers-to-page-id"))))
                 # Where each chain leaves its block, from the last candidate backwards.
                 leaves: dict[int, int] = {}
                 for at, successor, *_ in reversed(rows):
@@ -161,10 +174,13 @@ def read_archives(spark: SparkSession, folder: str, block_bytes: int = BLOCK_BYT
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Writes all pages as archives in the shared folder and reads them back."""
+    """Writes all pages as archives in the shared folder and reads them back; fails if not as many records come back."""
     folder = f"{Tables(pages.sparkSession).root}/archives"
-    write_archives(pages, folder, least_bytes=least_bytes)
-    return read_archives(pages.sparkSession, folder, block_bytes)
+    written = write_archives(pages, folder, least_bytes=least_bytes)
+    found = cut(read_archives(pages.sparkSession, folder, block_bytes))
+    if (n := found.count()) != written:
+        raise RuntimeError(f"{written} records were written and {n} read")
+    return found
 
 
 def oracle() -> str:
