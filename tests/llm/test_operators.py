@@ -230,6 +230,26 @@ def test_languages(spark, docs):
         assert language_profiles.top_grams(text).tolist() == [g for g, _ in sorted(grams.items(), key=lambda x: (-x[1], x[0]))[:300]]
 
 
+def test_rare_languages_are_learned(spark):
+    rng = random.Random(2)
+    rows = [(i, sentence(rng, 400), "en" if i % 2 else "fr") for i in range(400)] + [(900, "Ο ήλιος λάμπει πάνω από τα βουνά και η θάλασσα είναι ήρεμη σήμερα", "el"), (901, "12 !!", "xx")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    size = Counter()
+    for _, text, lang in rows:
+        size[lang] += len(language_profiles.gram_codes(text))
+    assert size["el"] < 0.0005 * sum(size.values())
+    profiles = language_profiles.learn_profiles(df)
+    assert [lang for lang, _ in profiles] == ["el", "en", "fr"]
+    for lang, profile in profiles:
+        grams = Counter(g for _, t, x in rows if x == lang for g in language_profiles.gram_codes(t).tolist())
+        assert profile == [g for g, _ in sorted(grams.items(), key=lambda x: (-x[1], x[0]))[:300]]
+    for r in language_profiles.predict(df, profiles, ["doc_id", "text"]).collect():
+        own = language_profiles.top_grams(r.c1).tolist()
+        far = [(sum(abs(p.index(g) - i) if g in p else 300 for i, g in enumerate(own)), lang) for lang, p in profiles]
+        assert (r.lang_pred, r.score) == ((min(far)[1], 1.0 - min(far)[0] / (300 * len(own))) if own else ("und", 0.0))
+        assert r.c0 != 900 or r.lang_pred == "el"
+
+
 def test_additive_model(spark, docs, labels):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 5))

@@ -27,3 +27,11 @@ def test_stages(spark, tmp_path):
     assert not any(passage in r.text for r in kept["suffix_dedup"]) and len(kept["suffix_dedup"]) == len(kept["near_dedup"])
     assert set(ids["source_mix"]) <= set(ids["suffix_dedup"]) and len(ids["sentencepiece"]) == len(ids["source_mix"])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(ids["sentencepiece"])
+
+
+def test_rare_script_is_kept(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice("the of house walks slowly green river over hills".split()) for _ in range(1000)), "en", "s", 1) for i in range(60)]
+    rows.append((99, "Ο ήλιος λάμπει πάνω από τα βουνά", "el", "s", 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline.language_id(spark, docs, "").where("doc_id = 99").count() == 1

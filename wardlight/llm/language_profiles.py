@@ -1,12 +1,11 @@
 """Language identification by rank-order profiles of character n-grams.
 
 A profile is a language's 300 most frequent 1- to 3-grams of letters (a blank stands for what borders a word), counted
-over all training documents; grams with under 1/20000 of a language's grams never enter it, so a bounded table
-reaches the driver. A document's own 300 most frequent grams are compared with each profile by out-of-place distance:
+over all training documents. Every language that has a gram is learned, however small its share is; grams are ranked in
+Spark, so 300 rows a language reach the driver. A document's own 300 most frequent grams are compared with each profile by out-of-place distance:
 the difference of ranks, or 300 for a gram that the profile lacks. The nearest profile wins, ties by name.
 
-score is 1 minus the distance's share of the greatest possible. Languages with under 1/1000 of the training grams are
-not learned.
+score is 1 minus the distance's share of the greatest possible.
 
 Rows: a null text, or one without letters, is `und` with score 0, as is every text where nothing could be learned.
 Null languages don't train; a null id counts as fold 0. Repeated rows are predicted alike; an empty table gives an
@@ -19,13 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc_fold, cut, send_fewer_texts
 
 RANKS = 300
-LEAST_GRAM, LEAST_LANGUAGE = 1 / 20_000, 1 / 1000
 UNKNOWN = "und"
 _HELD = 400_000  # distinct grams that a training task holds before it passes them on
 
@@ -96,10 +94,8 @@ def learn_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
     """(language, grams by rank) of each language, from all given documents."""
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     counts = cut(rows.mapInArrow(_gram_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    everything = totals.agg(F.sum("total")).first()[0] or 0
-    learned = totals.where(F.col("total") >= everything * LEAST_LANGUAGE).limit(int(1 / LEAST_LANGUAGE))
-    frequent = counts.join(F.broadcast(learned), "lang").where(F.col("n") >= F.col("total") * LEAST_GRAM).select("lang", "gram", "n").collect()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    frequent = counts.withColumn("place", place).where(F.col("place") <= ranks).select("lang", "gram", "n").collect()
     found: dict[str, list[tuple[int, int]]] = {}
     for lang, gram, n in frequent:
         found.setdefault(lang, []).append((-n, gram))
@@ -110,19 +106,24 @@ def predict(docs: DataFrame, profiles: list[tuple[str, list[int]]], id_cols: lis
     """The id columns (with keep_row all columns), lang_pred and score."""
     send_fewer_texts(docs.sparkSession)
     langs = [lang for lang, _ in profiles]
-    grams = np.unique(np.array([g for _, p in profiles for g in p], np.int64))
-    place = np.full((len(langs), len(grams) + 1), ranks, np.int64)
-    for k, (_, profile) in enumerate(profiles):
-        place[k, np.searchsorted(grams, profile)] = np.arange(len(profile))
+    # Who has a gram, and at which rank: entries sorted by gram, from bounds[k] to bounds[k + 1] those of the k-th.
+    codes = np.array([g for _, p in profiles for g in p], np.int64)
+    order = np.argsort(codes, kind="stable")
+    grams, first = np.unique(codes[order], return_index=True)
+    bounds = np.append(first, len(codes))
+    whose = np.array([k for k, (_, p) in enumerate(profiles) for _ in p], np.int64)[order]
+    rank = np.array([i for _, p in profiles for i in range(len(p))], np.int64)[order]
 
     def nearest(text: str | None) -> tuple[str, float]:
         own = top_grams(text, ranks)
         if not len(own) or not langs:
             return UNKNOWN, 0.0
-        at = np.searchsorted(grams, own)
-        at[grams[np.minimum(at, len(grams) - 1)] != own] = len(grams)
-        ranked = place[:, at]
-        far = np.where(ranked == ranks, ranks, np.abs(ranked - np.arange(len(own)))).sum(axis=1)
+        at = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
+        known = np.flatnonzero(grams[at] == own)
+        begin, n = bounds[at[known]], bounds[at[known] + 1] - bounds[at[known]]
+        entry = np.arange(n.sum()) + np.repeat(begin - (np.cumsum(n) - n), n)
+        near = ranks - np.abs(rank[entry] - np.repeat(known, n))
+        far = ranks * len(own) - np.bincount(whose[entry], near, len(langs))
         k = int(far.argmin())
         return langs[k], 1.0 - float(far[k]) / (ranks * len(own))
 
