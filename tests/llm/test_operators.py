@@ -94,6 +94,19 @@ def test_quality_rules_part_junk_from_prose(spark):
     assert quality_rules.quality_rules(df.withColumn("lang", F.lit(None).cast("string"))).where("kept").count() == 43
 
 
+@pytest.mark.parametrize("most_sent", [100_000, 0])
+def test_quality_rules_keep_rare_languages(spark, monkeypatch, most_sent):
+    monkeypatch.setattr(quality_rules, "MOST_SENT", most_sent)
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice("the of and to house walks slowly in a green river over hills with it".split()) for _ in range(2000)), "en") for i in range(60)]
+    rows.append((99, " ".join(rng.choice("talo kulkee hitaasti vihreä joki yli mäkien kanssa leipä vesi kivi pilvi".split()) for _ in range(100)), "fi"))
+    rows += [(1000 + i, f"word{i}", f"l{i}") for i in range(250)]  # more languages than the 200 of a literal
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality_rules.quality_rules(df).collect()}
+    assert len(got) == len(rows) and all(got[i].kept for i in range(60))
+    assert got[99].kept and got[99].char_distance == got[99].word_distance == 0
+
+
 def brute_spans(texts, match):
     seen = Counter(t[i : i + match] for t in texts for i in range(len(t) - match + 1))
     out = []

@@ -6,9 +6,10 @@ Jensen-Shannon distances (base 2, from 0 to 1) are within the limits. Histograms
 compared (minimum-length guards), so short texts face the base counts alone.
 
 One pass over the texts: counts go to the checkpoint folder (about 400 bytes a document), references are
-summed from there, and the verdict is computed from the same rows. Only languages with at least 1/200 of all
-words become references, so the literal that the verdict carries has at most 200 entries. Without any
-reference no document is judged too far.
+summed from there, and the verdict is computed from the same rows. Every language that has words becomes a
+reference, however small its share is; all of them are one row (about 1 KB a language), broadcast behind a count
+(`MOST_SENT`). Without any reference no document is judged too far. The SQL still leaves out languages with under
+1/200 of all words, so it gives the same rows only where there are none.
 
 Rows: a null or blank text has no words and fails the base; a null language feeds no reference; rows with equal
 ids are judged one by one; an empty table gives an empty result. Other columns are ignored, whatever their names.
@@ -48,6 +49,8 @@ MAX_CHAR_DISTANCE = 0.30
 MAX_WORD_DISTANCE = 0.34
 MIN_CHARS = 400
 MIN_WORDS = 80
+#: Languages whose references are sent to all tasks at most.
+MOST_SENT = 100_000
 
 
 def _repeat_words(words: str, windows: str) -> tuple[Column, Column]:
@@ -98,24 +101,17 @@ def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def language_references(counts: DataFrame, least_share: float = 1 / 200) -> list[dict]:
-    """Summed histograms of each language that has at least that share of all words; at most 1 / least_share rows."""
+def language_references(counts: DataFrame) -> DataFrame:
+    """(lang, chars, words): shares of the summed histograms of each language that has words."""
     chars, words = len(CHAR_CLASSES) + 1, len(WORD_BINS) + 1
     sums = counts.where("lang IS NOT NULL").groupBy("lang").agg(
         *[F.sum(F.col("char_hist")[i]).alias(f"c{i}") for i in range(chars)],
         *[F.sum(F.col("word_hist")[i]).alias(f"w{i}") for i in range(words)],
     )
-    sums = cut(sums)
-    everything = sums.select(F.sum(sum((F.col(f"w{i}") for i in range(words)), F.lit(0)))).first()[0] or 0
-    own = sum((F.col(f"w{i}") for i in range(words)), F.lit(0))
-    found = sums.where((own > 0) & (own >= F.lit(everything * least_share))).orderBy("lang").limit(int(1 / least_share)).collect()
-    share = lambda row, p, n: [row[f"{p}{i}"] / (sum(row[f"{p}{j}"] for j in range(n)) or 1) for i in range(n)]
-    return [{"lang": r["lang"], "chars": share(r, "c", chars), "words": share(r, "w", words)} for r in found]
-
-
-def _literal(refs: list[dict]) -> str:
-    numbers = lambda xs: "array(" + ", ".join(f"double('{x!r}')" for x in xs) + ")"
-    return "array(" + ", ".join(f"struct({numbers(r['chars'])} AS chars, {numbers(r['words'])} AS words)" for r in refs) + ")"
+    sums = sums.select("lang", F.array(*[f"c{i}" for i in range(chars)]).alias("c"), F.array(*[f"w{i}" for i in range(words)]).alias("w"))
+    sums = cut(sums.withColumns({f"{k}_all": F.expr(f"aggregate({k}, 0L, (s, x) -> s + x)") for k in "cw"}))
+    share = lambda k: F.expr(f"transform({k}, x -> x / greatest({k}_all, 1L))")
+    return sums.where("w_all > 0").select("lang", share("c").alias("chars"), share("w").alias("words"))
 
 
 def _distance(shares: str, reference: str) -> str:
@@ -137,19 +133,18 @@ def quality_rules(
     """doc_id, base counts, base_failed, kept, and the least distances (null where too short, or without references)."""
     counts = cut(text_counts(docs, id_col, text_col, lang_col))
     refs = language_references(counts)
+    few = refs.count() <= MOST_SENT
+    refs = refs.agg(F.collect_list(F.struct("chars", "words")).alias("refs"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     out = counts.withColumns({
         "base_failed": failed,
         "char_share": F.when(F.col("word_chars") >= min_chars, F.expr("transform(char_hist, x -> x / word_chars)")),
         "word_share": F.when(F.col("n_words") >= min_words, F.expr("transform(word_hist, x -> x / n_words)")),
     })
-    if refs:
-        compared = f"transform({_literal(refs)}, r -> struct({_distance('char_share', 'r.chars')} AS c, {_distance('word_share', 'r.words')} AS w))"
-        out = out.withColumn("far", F.expr(compared))
-        near = F.expr(f"exists(far, d -> coalesce(d.c, 0D) <= {max_char_distance}D AND coalesce(d.w, 0D) <= {max_word_distance}D)")
-        least = [F.expr("array_min(far.c)"), F.expr("array_min(far.w)")]
-    else:
-        near, least = F.lit(True), [F.lit(None).cast("double")] * 2
+    compared = f"transform(refs, r -> struct({_distance('char_share', 'r.chars')} AS c, {_distance('word_share', 'r.words')} AS w))"
+    out = out.crossJoin(F.broadcast(refs) if few else refs).withColumn("far", F.expr(compared)).drop("refs")
+    near = F.expr(f"size(far) = 0 OR exists(far, d -> coalesce(d.c, 0D) <= {max_char_distance}D AND coalesce(d.w, 0D) <= {max_word_distance}D)")
+    least = [F.expr("array_min(far.c)"), F.expr("array_min(far.w)")]
     return out.select(
         F.col("doc_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & near).alias("kept"), least[0].alias("char_distance"), least[1].alias("word_distance"),
