@@ -342,13 +342,18 @@ def test_topk(spark):
     assert [(r.vec_id, r.score) for r in topk.top_k(huge, F.col("vec_id") == 0, k=5).orderBy("rank").collect()] == [(1, (64 * 30_000_000) ** 2 + 64 * 128), (2, -((64 * 30_000_000) ** 2) + 64 * 320)]
 
 
-def test_mixing(spark, docs):
+@pytest.mark.parametrize("together,shard,left", [(10_000, 4096, 1_000_000), (2, 8, 0), (10_000, 16, 1_000_000)])
+def test_mixing(spark, docs, monkeypatch, together, shard, left):
+    """Targets by resharing, and what is taken by walking each source's stream and permuted blocks, row by row."""
+    monkeypatch.setattr(mixing, "TOGETHER", together)
+    monkeypatch.setattr(mixing, "MOST_LEFT", left)
+    monkeypatch.setattr(mixing.draw_plan, "__defaults__", (shard,))
     got = mixing.mix_sources(docs).collect()
     assert len(got) == docs.count() and by_id(mixing.mix_sources(docs.repartition(7))) == by_id(mixing.mix_sources(docs.coalesce(1)))
-    rows = corpus()
     size = Counter()
-    for _, t, _, s, _ in rows:
-        size[s] += len(WORD.findall(t or ""))
+    hashed = docs.select("doc_id", "text", "source", F.xxhash64(F.col("doc_id"), F.xxhash64("text"), F.lit(17)).alias("h"), F.xxhash64("text").alias("tie")).collect()
+    for r in hashed:
+        size[r.source] += len(WORD.findall(r.text or ""))
     order = sorted((s for s in size if s is not None)) + [None]
     weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
     left, target, free = 1.5 * sum(size.values()), {}, set(order)
@@ -358,13 +363,35 @@ def test_mixing(spark, docs):
             free.discard(s)
         left = 1.5 * sum(size.values()) - sum(target.values())
     target |= {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
-    taken, seen = Counter(), {(r.source_size, round(r.target, 6)) for r in got}
-    assert seen == {(size[s], round(target[s], 6)) for s in order}
-    for r in got:
-        assert 0 <= r.taken <= 2 * r.size
-        taken[round(r.target, 6)] += r.taken
-    for s in order:
-        assert abs(taken[round(target[s], 6)] - target[s]) <= 0.05 * target[s] + 4 * mixing.BLOCK
+    want = []
+    for k, s in enumerate(order):
+        blocks = -(-size[s] // mixing.BLOCK)
+        slots = np.arange(min(round(target[s] * blocks / size[s]), 2 * blocks))
+        drawn = Counter(mixing._permuted(slots % blocks, slots // blocks, blocks, 17 + 1000 * k).tolist())
+        buckets, at = max(1, len(hashed) // mixing.BUCKET), 0
+        own = [(r.h % buckets, r.h, repr(r.doc_id), r.tie or 0, r.doc_id, len(WORD.findall(r.text or ""))) for r in hashed if r.source == s]
+        for *_, doc_id, n in sorted(own):
+            want.append((doc_id, n, size[s], round(target[s], 6), sum(drawn[w // mixing.BLOCK] for w in range(at, at + n))))
+            at += n
+    assert sorted(((r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken) for r in got), key=repr) == sorted(want, key=repr)
+    assert all(0 <= r.taken <= 2 * r.size for r in got)
+
+
+def test_mixing_draws(spark):
+    """Every source gives its quota, in slots numbered without gaps; shards are full, and their counts vary as draws do."""
+    quotas = {0: 5000, 1: 37, 2: 0, 3: 900, 4: 1}
+    rows = mixing.draw_plan(spark.createDataFrame(list(quotas.items()), "k long, quota long"), 5, 64).collect()
+    for k, n in quotas.items():
+        assert sorted(x for r in rows if r.k == k for x in range(r.first, r.first + r.n)) == list(range(n))
+    shards = Counter()
+    for r in rows:
+        shards[r.shard] += r.n
+    total = sum(quotas.values())
+    assert [shards[i] for i in range(total // 64)] == [total * (i + 1) // (total // 64) - total * i // (total // 64) for i in range(total // 64)]
+    own = [sum(r.n for r in rows if r.k == 3 and r.shard == i) for i in range(total // 64)]
+    p = 900 / total
+    assert 0.4 < np.var(own) / (64 * p * (1 - p)) < 2.0
+    assert mixing.draw_plan(spark.createDataFrame([(0, 0)], "k long, quota long"), 5).where("n > 0").count() == 0
 
 
 def test_permutations():

@@ -1,13 +1,15 @@
 """Mixing sources to target weights, block by block.
 
-A source's texts, in an order drawn by hash, are one stream of words that is cut into blocks of BLOCK words. The mix
-is dealt to output shards. A shard's source counts are a multinomial draw of low variance: its whole share of every
-source's slots is given, and only the remainders are drawn. A source's slots of all shards, numbered in a row, walk
-through its blocks epoch by epoch, each epoch in the order of a pseudorandom permutation of the block indexes, and are
-joined to the texts by block index. How often a block is drawn times how much of it a text holds is what is taken.
+A source's texts, in an order drawn by hash, are one stream of words that is cut into blocks of BLOCK words; its target
+is a quota of slots of that size. The mix is dealt to output shards. A shard's source counts are a multinomial draw with
+the quotas as weights. What is drawn beyond a source's quota, counted by running sums over the shards, is drawn anew
+from the sources that still lack slots; the few slots left after MULTINOMIAL_ROUNDS are drawn without replacement, so
+each source gets its quota exactly. A source's slots of all shards, numbered in a row, walk through its blocks epoch by
+epoch, each epoch in the order of a pseudorandom permutation of the block indexes, and are joined to the texts by block
+index. How often a block is drawn times how much of it a text holds is what is taken.
 
 Stream places come from sums per (source, bucket) and, inside a bucket, a running sum, so a source of any size is
-spread over many tasks. What reaches one place is a row per source (statistics and targets), never per document.
+spread over many tasks. Nothing is collected: what meets in one task is at most a row per source or per shard.
 
 Targets: sources in order of code points, null last, weigh WEIGHTS in turn and share `share` of all words by weight;
 a target stops at `most` times its source's words, and the excess is shared anew until none is above. A block is
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -34,11 +36,15 @@ BLOCK = 64
 WEIGHTS = (3, 1, 2)
 #: Documents per bucket, about; and buckets of a source at most, as their sums are run through in one window.
 BUCKET, MOST_BUCKETS = 256, 65_536
-#: Slots per output shard, about; and shards at most, as their first slots are listed on the driver.
-SHARD, MOST_SHARDS = 4096, 10_000
+#: Slots per output shard, about; and shards at most, as a source's slots are numbered along them in one window.
+SHARD, MOST_SHARDS = 4096, 65_536
+#: Sources that share shards at most; further ones have shards of their own.
+TOGETHER = 10_000
+#: Rounds of multinomial draws, and how many slots may be left for the last draw at most (else there are further rounds).
+MULTINOMIAL_ROUNDS, MOST_LEFT = 2, 1_000_000
 #: Sources whose statistics are sent to all tasks at most.
 MOST_SENT = 10_000
-_TOGETHER = 1 << 20
+_SLOTS = 1 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -69,32 +75,87 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return rows.select("source", "known", "source_size", target.alias("target"))
 
 
-def _draws(sources: list[tuple[str | None, bool, int, int]], shards: int, seed: int, most: int):
-    """Slots of each shard: (source, known, block) with the number of times it is drawn there."""
-    wanted = np.array([n for _, _, n, _ in sources], float)
-    blocks = np.array([b for *_, b in sources], np.int64)
-    exact = wanted / shards
-    floor = np.floor(exact).astype(np.int64)
-    left = exact - floor
-    extra = int(round(left.sum()))
+COUNTS = "family long, shard long, k long, n long"
 
-    def counts(shard: int) -> np.ndarray:
-        if not extra:
-            return floor
-        return floor + np.random.default_rng([seed, shard]).multinomial(extra, left / left.sum())
+
+def _counts(family: int, shards: list[int], drawn: list[np.ndarray], ks: np.ndarray) -> pa.RecordBatch:
+    table = np.array(drawn, np.int64).reshape(len(shards), len(ks))
+    row, column = np.nonzero(table)
+    columns = np.full(len(row), family), np.array(shards, np.int64)[row], ks[column], table[row, column]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["family", "shard", "k", "n"])
+
+
+def _multinomial(seed: int, turn: int):
+    """Each open shard's slots, dealt to the sources in proportion to what they lack."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.to_pylist():
+                ks, left = (np.array([y[c] for y in x["lacking"]], np.int64) for c in ("k", "left"))
+                rng = np.random.default_rng([seed, turn, x["family"], x["shard"]])
+                yield _counts(x["family"], [x["shard"]], [rng.multinomial(x["slots"], left / left.sum())], ks)
+
+    return run
+
+
+def _without_replacement(seed: int):
+    """All open shards of a family, one after the other; exact, for few slots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = counts(shard)
-                for k, (source, known, _, _) in enumerate(sources):
-                    last = min(before[k] + int(own[k]), int(blocks[k]) * most)
-                    for at in range(before[k], last, _TOGETHER):
-                        epoch, place = np.divmod(np.arange(at, min(at + _TOGETHER, last)), blocks[k])
-                        block, n = np.unique(_permuted(place, epoch, int(blocks[k]), seed + 1000 * k), return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array([source] * len(block), pa.string()), pa.array([known] * len(block)), pa.array(block), pa.array(n.astype(np.int64))], ["source", "known", "block", "drawn"])
+            for x in batch.to_pylist():
+                ks, left = (np.array([y[c] for y in x["lacking"]], np.int64) for c in ("k", "left"))
+                rng = np.random.default_rng([seed, x["family"]])
+                drawn = []
+                for y in x["open"]:
+                    drawn.append(rng.multivariate_hypergeometric(left, y["slots"]))
+                    left = left - drawn[-1]
+                yield _counts(x["family"], [y["shard"] for y in x["open"]], drawn, ks)
 
-    return counts, run
+    return run
+
+
+def draw_plan(quotas: DataFrame, seed: int, shard_slots: int = SHARD) -> DataFrame:
+    """(family, k, shard, first, n): source k gives the n slots from `first` on, in its own count, to a shard.
+
+    quotas: (k, quota), k from 0. Over all shards each source gives its quota, no more and no less.
+    """
+    lacking = cut(quotas.where("quota > 0").select(F.floor(F.col("k") / TOGETHER).alias("family"), "k", "quota", F.col("quota").alias("left")))
+    sums = lacking.groupBy("family").agg(F.sum("quota").alias("total")).withColumn("shards", F.greatest(F.lit(1), F.least(F.lit(MOST_SHARDS), F.expr(f"total div {shard_slots}"))))
+    shards = sums.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
+    open_ = cut(shards.select("family", "shard", F.expr("total * (shard + 1) div shards - total * shard div shards").alias("slots")))
+    n = int(quotas.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    plan, turn = None, 0
+    while slots := open_.agg(F.sum("slots")).first()[0]:
+        arrays = lacking.where("left > 0").groupBy("family").agg(F.sort_array(F.collect_list(F.struct("k", "left"))).alias("lacking"))
+        if turn >= MULTINOMIAL_ROUNDS and slots <= MOST_LEFT:
+            rows = open_.groupBy("family").agg(F.sort_array(F.collect_list(F.struct("shard", "slots"))).alias("open"))
+            drawn = rows.join(arrays, "family").mapInArrow(_without_replacement(seed), COUNTS)
+        else:
+            drawn = open_.repartition(n).join(arrays, "family").mapInArrow(_multinomial(seed, turn), COUNTS)
+        before = F.coalesce(F.sum("n").over(W.partitionBy("family", "k").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        kept = F.greatest(F.lit(0), F.least(F.col("n"), F.col("left") - F.col("before")))
+        placed = cut(drawn.withColumn("before", before).join(lacking, ["family", "k"]).select("family", "k", "shard", (F.col("quota") - F.col("left") + F.col("before")).alias("first"), kept.alias("n"), (F.col("n") - kept).alias("beyond")))
+        plan = placed.where("n > 0") if plan is None else plan.union(placed.where("n > 0"))
+        open_ = cut(placed.where("beyond > 0").groupBy("family", "shard").agg(F.sum("beyond").alias("slots")))
+        given = placed.groupBy("family", "k").agg(F.sum("n").alias("given"))
+        lacking = cut(lacking.join(given, ["family", "k"], "left").select("family", "k", "quota", (F.col("left") - F.coalesce("given", F.lit(0))).alias("left")))
+        turn += 1
+    return plan.drop("beyond") if plan is not None else cut(lacking.select("family", "k", F.lit(0).cast("long").alias("shard"), F.lit(0).cast("long").alias("first"), "left").toDF("family", "k", "shard", "first", "n"))
+
+
+def _blocks(seed: int):
+    """The blocks of each row's slots: (k, block) with the number of times it is drawn there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, first, n, blocks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for at in range(first, first + n, _SLOTS):
+                    epoch, place = np.divmod(np.arange(at, min(at + _SLOTS, first + n)), blocks)
+                    block, times = np.unique(_permuted(place, epoch, blocks, seed + 1000 * k), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(block), k)), pa.array(block), pa.array(times.astype(np.int64))], ["k", "block", "drawn"])
+
+    return run
 
 
 def _permuted(place: np.ndarray, epoch: np.ndarray, n: int, seed: int) -> np.ndarray:
@@ -131,47 +192,36 @@ def mix_sources(
     spark = docs.sparkSession
     source = F.col(source_col).cast("string")
     sized = cut(docs.select(F.col(id_col).alias("id"), F.coalesce(source, F.lit("")).alias("source"), source.isNotNull().alias("known"), words_of(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("tie")))
-    named = targets(sized, weights, share, most)
-    blocks = F.ceil(F.col("source_size") / block)
-    named = cut(named.withColumns({"blocks": blocks, "slots": F.when(F.col("source_size") > 0, F.col("target") * blocks / F.col("source_size")).otherwise(F.lit(0.0))}))
-    # One row a source: names, targets and block numbers are the mix's settings, as many as there are sources.
-    settings = [(r["source"], r["known"], r["slots"], r["blocks"]) for r in named.where("source_size > 0").orderBy(F.col("known").desc(), "source").collect()]
-    few = F.broadcast(named) if len(settings) <= MOST_SENT and named.count() <= MOST_SENT else named
-    none = sized.where("size = 0").select("id", "source", "known", "size", F.lit(0).cast("long").alias("taken"))
-    if settings:
-        drawn = _drawn_blocks(spark, settings, seed, int(np.ceil(most)))
-        none = none.union(_taken(sized, drawn, block, seed))
-    return none.join(few, ["source", "known"]).select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
-
-
-def _drawn_blocks(spark: SparkSession, settings: list, seed: int, most: int) -> DataFrame:
-    """(source, known, block, drawn) of all shards together."""
-    shards = min(MOST_SHARDS, max(1, int(sum(s[2] for s in settings) // SHARD)))
-    counts, run = _draws(settings, shards, seed, most)
-    before, starts = np.zeros(len(settings), np.int64), []
-    for shard in range(shards):
-        starts.append((shard, before.tolist()))
-        before = before + counts(shard)
+    named = targets(sized, weights, share, most).withColumn("blocks", F.ceil(F.col("source_size") / block))
+    quota = F.when(F.col("source_size") > 0, F.least(F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long"), F.floor(F.col("blocks") * most))).otherwise(F.lit(0))
+    in_turn = W.orderBy(F.col("known").desc(), F.col("source"))
+    named = cut(named.withColumns({"quota": quota, "k": (F.row_number().over(in_turn) - 1).cast("long")}))
+    few = F.broadcast(named) if named.count() <= MOST_SENT else named
+    plan = draw_plan(named.select("k", "quota"), seed)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    plan = spark.createDataFrame(starts, "shard long, before array<long>").repartition(min(n, shards))
-    return plan.mapInArrow(run, "source string, known boolean, block long, drawn long").groupBy("source", "known", "block").agg(F.sum("drawn").alias("drawn"))
+    slots = plan.join(few.select("k", "blocks"), "k").select("k", "first", "n", "blocks").repartition(n)
+    drawn = slots.mapInArrow(_blocks(seed), "k long, block long, drawn long").groupBy("k", "block").agg(F.sum("drawn").alias("drawn"))
+    numbered = sized.join(few.select("source", "known", "k"), ["source", "known"])
+    none = numbered.where("size = 0").select("id", "k", "size", F.lit(0).cast("long").alias("taken"))
+    out = none.union(_taken(numbered, drawn, block, seed))
+    return out.join(few.select("k", "source_size", "target"), "k").select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
 
 
 def _taken(sized: DataFrame, drawn: DataFrame, block: int, seed: int) -> DataFrame:
     """Places of the texts in their sources' streams, cut at block borders and joined to the drawn blocks by index."""
-    keys = ["source", "known", "bucket"]
+    keys = ["k", "bucket"]
     buckets = min(MOST_BUCKETS, max(1, sized.count() // BUCKET))
     dealt = sized.where("size > 0").withColumn("h", F.xxhash64("id", "tie", F.lit(seed))).withColumn("bucket", F.pmod("h", F.lit(buckets)))
     so_far = W.unboundedPreceding, -1
     held = dealt.groupBy(*keys).agg(F.sum("size").alias("held"))
-    firsts = cut(held.withColumn("base", F.sum("held").over(W.partitionBy("source", "known").orderBy("bucket").rowsBetween(*so_far))).select(*keys, F.coalesce("base", F.lit(0)).alias("base")))
+    firsts = cut(held.withColumn("base", F.sum("held").over(W.partitionBy("k").orderBy("bucket").rowsBetween(*so_far))).select(*keys, F.coalesce("base", F.lit(0)).alias("base")))
     inside = F.sum("size").over(W.partitionBy(*keys).orderBy("h", "id", "tie", "size").rowsBetween(*so_far))
     placed = dealt.withColumn("inside", F.coalesce(inside, F.lit(0))).join(firsts, keys).withColumn("at", F.col("inside") + F.col("base"))
     end = F.col("at") + F.col("size")
     indexes = F.sequence(F.floor(F.col("at") / block), F.floor((end - 1) / block))
-    parts = placed.select("id", "tie", "size", "source", "known", "at", F.explode(indexes).alias("block"))
+    parts = placed.select("id", "tie", "size", "k", "at", F.explode(indexes).alias("block"))
     held_words = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block) - F.greatest("at", F.col("block") * block)
-    # Without the hint Spark takes the few rows of the shard plan for the size of what is drawn from it, and would broadcast that.
-    joined = parts.withColumn("words", held_words).join(drawn.hint("merge"), ["source", "known", "block"], "left")
-    found = joined.groupBy("id", "tie", "source", "known", "size", "at").agg(F.sum(F.col("words") * F.coalesce("drawn", F.lit(0))).alias("taken"))
-    return found.select("id", "source", "known", "size", F.col("taken").cast("long"))
+    # Without the hint Spark takes the few rows of the plan for the size of what is drawn from it, and would broadcast that.
+    joined = parts.withColumn("words", held_words).join(drawn.hint("merge"), ["k", "block"], "left")
+    found = joined.groupBy("id", "tie", "k", "size", "at").agg(F.sum(F.col("words") * F.coalesce("drawn", F.lit(0))).alias("taken"))
+    return found.select("id", "k", "size", F.col("taken").cast("long"))
