@@ -342,6 +342,30 @@ def test_topk(spark):
     assert [(r.vec_id, r.score) for r in topk.top_k(huge, F.col("vec_id") == 0, k=5).orderBy("rank").collect()] == [(1, (64 * 30_000_000) ** 2 + 64 * 128), (2, -((64 * 30_000_000) ** 2) + 64 * 320)]
 
 
+def test_topk_takes_fewer_products():
+    v = np.random.default_rng(3).normal(size=(10_000, 64))
+    v = np.floor(v / np.linalg.norm(v, axis=1)[:, None] * 64).astype(np.int64)
+    q = v[::20][:100]
+    heads = topk._list_heads(q, v)
+    cutoffs = np.array([np.sort(v[np.setdiff1d(heads[i], [20 * i])] @ q[i])[-20] for i in range(len(q))], float)
+    taken = topk.multiply_adds(q, v, cutoffs)
+    assert taken < 0.95 * len(q) * len(v) * v.shape[1]
+    i, j, so_far, _ = topk.sufficient(q.astype(float), v.astype(float), cutoffs)
+    assert set(zip(*np.nonzero(q @ v.T >= cutoffs[:, None]))) <= set(zip(i, j))
+    assert (topk.resolved(q.astype(float), v.astype(float), i, j, so_far)[0] == (q @ v.T)[i, j]).all()
+
+
+def test_topk_odd_tables(spark):
+    """Repeated ids, columns of clashing names, more wanted than there are, and vectors shorter than there are groups."""
+    rows = [(0, [1.0, 0.5], "x"), (0, [0.5, 0.5], "x"), (1, [1.0, 1.0], "x"), (1, [1.0, 1.0], "x"), (2, [-1.0, 0.0], "x"), (40, [1.0], "x"), (41, [2.0], "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string").withColumns({c: F.lit("mine") for c in ("dim", "rank", "ids", "v", "id", "asks", "query_id", "label")})
+    got = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 20 == 0, k=9).collect())
+    of = lambda q: sorted(((-sum(64 * 64 * a * b for a, b in zip(q, v)), i) for i, v, _ in rows if i in (1, 2) and len(v) == len(q)))
+    both = sorted(of(rows[0][1]) + of(rows[1][1]))
+    assert [(r[0], r[2], r[3]) for r in got if r[0] == 0 and r[1] <= 9] == [(0, i, int(-s)) for s, i in both][:9]
+    assert [r for r in got if r[0] == 40] == [(40, 1, 41, 64 * 128)]
+
+
 @pytest.mark.parametrize("together,shard,left", [(10_000, 4096, 1_000_000), (2, 8, 0), (10_000, 16, 1_000_000)])
 def test_mixing(spark, docs, monkeypatch, together, shard, left):
     """Targets by resharing, and what is taken by walking each source's stream and permuted blocks, row by row."""
