@@ -273,11 +273,23 @@ def test_additive_model(spark, docs, labels):
     assert len(got) == docs.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
 
 
-def test_warc_round_trip(spark, tmp_path):
-    inner = "WARC/1.0\r\nWARC-Type: response\r\nX-Page-ID: 99\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
-    pages = [(1, "http://a/", "<p>x</p>"), (2, "http://b/\r\nX-Evil: 1", "<p>x</p>"), (3, None, None), (4, "u", ""), (5, "u", "é漢🙂"), (6, "u", f"before {inner} after {inner}"), (7, "u", inner), (8, "u", "WARC/1.0\r\n"), (9, "u", "\r\n\r\n"), (None, "u", "no id"), (10, "u", "y" * 5000)]
-    df = spark.createDataFrame(pages, "page_id long, url string, html string")
-    got = {tuple(r) for r in warc.round_trip(df.coalesce(1), block_bytes=300).collect()}
+def pages_table(spark, rows):
+    return spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+@pytest.fixture(params=["128m", "300b", "90b"])
+def ranges(spark, request):
+    """Bytes of the ranges that files are read in."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", request.param)
+    yield request.param
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_warc_round_trip(spark, tmp_path, ranges):
+    inner = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x:99>\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
+    pages = [(1, "http://a/", "<p>x</p>"), (2, "http://b/\r\nX-Evil: 1", "<p>x</p>"), (3, None, None), (4, "u", ""), (5, "u", "é漢🙂"), (6, "u", f"before {inner} after {inner}"), (7, "u", inner), (8, "u", "WARC/1.0\r\n"), (9, "u", "\r\n\r\n"), (None, "u", "no id"), (10, "u", "y" * 5000), (11, "u", "a: b\r\n" * 60), (12, "u", "\r\n" * 200), (-5, "u", "é\r\n" * 100)]
+    df = pages_table(spark, pages).withColumns({c: F.lit("mine") for c in ("digest", "n", "response", "payload", "file", "at")})
+    got = {tuple(r) for r in warc.round_trip(df.coalesce(1)).collect()}
     digest = lambda s: base64.b32encode(hashlib.sha1(s.encode()).digest()).decode()
     last = {h or "": i for i, _, h in pages if i is not None}
     want = {(i, len((h or "").encode()), digest(h or ""), "response" if i is None or last[h or ""] == i else "revisit", None if i is None or last[h or ""] == i else last[h or ""]) for i, _, h in pages}
@@ -288,14 +300,50 @@ def test_warc_round_trip(spark, tmp_path):
 
 
 @pytest.mark.parametrize("place", [0, 1])
-def test_warc_long_urls(spark, place):
+def test_warc_long_urls(spark, place, ranges):
     pages = [(1, "http://a/", "one"), (2, "http://b/", "two"), (3, "u", "one")]
-    pages.insert(place, (9, "data:," + "x" * 100_000, "nine"))
-    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
-    got = warc.round_trip(df).collect()
+    pages.insert(place, (9, "data:," + "x" * 70_000, "nine"))
+    got = warc.round_trip(pages_table(spark, pages).coalesce(1)).collect()
     assert sorted((r.page_id, r.payload_bytes, r.record_type) for r in got) == [(1, 3, "revisit"), (2, 3, "response"), (3, 3, "response"), (9, 4, "response")]
 
 
+def test_warc_is_of_the_format(spark, tmp_path, monkeypatch):
+    """Each file starts with a warcinfo record and has as many pages as it may; revisits carry what the format asks for."""
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 2000)
+    pages = [(i, f"http://x/{i}", f"text {i % 10}") for i in range(40)] + [(7, "u", "text 7"), (7, "u", "text 7"), (39, "v", "text 9")]
+    warc.write_archives(pages_table(spark, pages).repartition(2), str(tmp_path / "w"))
+    files = [x.read_bytes() for x in (tmp_path / "w").iterdir() if x.name.startswith("part-") and x.stat().st_size]
+    assert len(files) > 4
+    kinds = Counter()
+    for data in files:
+        at = 0
+        while at < len(data):
+            header, _, _ = data[at:].partition(b"\r\n\r\n")
+            first, *lines = header.decode().split("\r\n")
+            fields = dict(x.split(": ", 1) for x in lines)
+            assert first == "WARC/1.0" and {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"} <= set(fields) and (fields["WARC-Type"] == "warcinfo") == (at == 0)
+            assert ("WARC-Profile" in fields) == ("WARC-Refers-To" in fields) == (fields["WARC-Type"] == "revisit")
+            kinds[fields["WARC-Type"]] += 1
+            at += len(header) + 4 + int(fields["Content-Length"])
+            assert data[at : at + 4] == b"\r\n\r\n"
+            at += 4
+    assert kinds == {"warcinfo": len(files), "response": 11, "revisit": 32}
+    got = warc.read_archives(spark, str(tmp_path / "w")).collect()
+    assert Counter(r.record_type for r in got) == {"response": 11, "revisit": 32} and all(r.payload_bytes == 6 and r.refers_to == 30 + r.page_id % 10 for r in got if r.record_type == "revisit")
+
+
+@pytest.mark.parametrize("harm", ["cut", "payload", "length"])
+def test_warc_broken_archives_fail(spark, tmp_path, harm):
+    folder = tmp_path / "w"
+    warc.write_archives(pages_table(spark, [(i, "u", f"text number {i}") for i in range(20)]).coalesce(1), str(folder))
+    file = next(x for x in folder.iterdir() if x.name.startswith("part-"))
+    data = file.read_bytes()
+    file.write_bytes(data[:-300] if harm == "cut" else data.replace(b"number 7", b"number 8") if harm == "payload" else data.replace(b"Content-Length: 73", b"Content-Length: 72", 1))
+    (folder / f".{file.name}.crc").unlink()
+    with pytest.raises(RuntimeError, match="digest" if harm == "payload" else "does not end"):
+        warc.read_archives(spark, str(folder)).count()
+
+
 def test_warc_lost_records_fail(spark, monkeypatch):
     df = spark.createDataFrame([(1, "u", "one"), (2, "u", "two")], "page_id long, url string, html string")
     read = warc.read_archives
@@ -314,7 +362,7 @@ def test_warc_headers_of_any_bytes():
                 yield m.start(), own, end + 4
 
     rng, found = random.Random(3), 0
-    pieces = [warc.MAGIC, warc.MAGIC, b"\r\n", b"\r\n", b"\r", b"\n", b"x: ", b"no", b"Content-Length: 5\r\n", b"content-length: 7\r\n", b"WARC-Type: response\r\n", b"X-Page-ID: 1\r\n", b":"]
+    pieces = [warc.MAGIC, warc.MAGIC, b"\r\n", b"\r\n", b"\r", b"\n", b"x: ", b"no", b"Content-Length: 5\r\n", b"content-length: 7\r\n", b"WARC-Type: response\r\n", b"WARC-Refers-To: 1\r\n", b":"]
     for _ in range(20_000):
         data = b"".join(rng.choices(pieces, k=rng.randint(0, 12)))
         want = list(plain(data))
