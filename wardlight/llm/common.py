@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import re
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the session names; only where it names none, as in tests, one of our own."""
+    """The shared folder the session names; where it names none, a local master, as in tests, gets one of its own."""
     set_already = spark.sparkContext._jsc.sc().getCheckpointDir()
     if set_already.isDefined():
         return set_already.get()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wardlight-checkpoints-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="wardlight-checkpoints-")
     spark.sparkContext.setCheckpointDir(folder)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -143,6 +149,21 @@ def send_fewer_texts(spark: SparkSession) -> None:
         spark.conf.set(key, str(TEXTS_TOGETHER))
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def tidied(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """run; when it ends, its worker gives back the memory that Arrow and the C library hold for later. Workers serve many tasks."""
+
+    def own(batches: Batches) -> Batches:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return own
+
+
 class Tables:
     """Parquet tables in the shared checkpoint folder, for intermediate results that later steps read more than once."""
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_fold, cut, send_fewer_texts
+from .common import crc_fold, cut, send_fewer_texts, tidied
 
 RANKS = 300
 UNKNOWN = "und"
@@ -93,7 +93,7 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", ranks: int = RANKS) -> list[tuple[str, list[int]]]:
     """(language, grams by rank) of each language, from all given documents."""
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    counts = cut(rows.mapInArrow(_gram_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    counts = cut(rows.mapInArrow(tidied(_gram_counts), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     frequent = counts.withColumn("place", place).where(F.col("place") <= ranks).select("lang", "gram", "n").collect()
     found: dict[str, list[tuple[int, int]]] = {}
@@ -137,7 +137,7 @@ def predict(docs: DataFrame, profiles: list[tuple[str, list[int]]], id_cols: lis
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score"])
 
     schema = rows.drop("t").schema.add("lang_pred", "string").add("score", "double")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidied(run), schema)
 
 
 def identify_languages(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

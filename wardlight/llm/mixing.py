@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, tidied
 
 BLOCK = 64
 WEIGHTS = (3, 1, 2)
@@ -130,9 +130,9 @@ def draw_plan(quotas: DataFrame, seed: int, shard_slots: int = SHARD) -> DataFra
         arrays = lacking.where("left > 0").groupBy("family").agg(F.sort_array(F.collect_list(F.struct("k", "left"))).alias("lacking"))
         if turn >= MULTINOMIAL_ROUNDS and slots <= MOST_LEFT:
             rows = open_.groupBy("family").agg(F.sort_array(F.collect_list(F.struct("shard", "slots"))).alias("open"))
-            drawn = rows.join(arrays, "family").mapInArrow(_without_replacement(seed), COUNTS)
+            drawn = rows.join(arrays, "family").mapInArrow(tidied(_without_replacement(seed)), COUNTS)
         else:
-            drawn = open_.repartition(n).join(arrays, "family").mapInArrow(_multinomial(seed, turn), COUNTS)
+            drawn = open_.repartition(n).join(arrays, "family").mapInArrow(tidied(_multinomial(seed, turn)), COUNTS)
         before = F.coalesce(F.sum("n").over(W.partitionBy("family", "k").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
         kept = F.greatest(F.lit(0), F.least(F.col("n"), F.col("left") - F.col("before")))
         placed = cut(drawn.withColumn("before", before).join(lacking, ["family", "k"]).select("family", "k", "shard", (F.col("quota") - F.col("left") + F.col("before")).alias("first"), kept.alias("n"), (F.col("n") - kept).alias("beyond")))
@@ -200,7 +200,7 @@ def mix_sources(
     plan = draw_plan(named.select("k", "quota"), seed)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     slots = plan.join(few.select("k", "blocks"), "k").select("k", "first", "n", "blocks").repartition(n)
-    drawn = slots.mapInArrow(_blocks(seed), "k long, block long, drawn long").groupBy("k", "block").agg(F.sum("drawn").alias("drawn"))
+    drawn = slots.mapInArrow(tidied(_blocks(seed)), "k long, block long, drawn long").groupBy("k", "block").agg(F.sum("drawn").alias("drawn"))
     numbered = sized.join(few.select("source", "known", "k"), ["source", "known"])
     none = numbered.where("size = 0").select("id", "k", "size", F.lit(0).cast("long").alias("taken"))
     out = none.union(_taken(numbered, drawn, block, seed))

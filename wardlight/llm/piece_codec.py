@@ -23,14 +23,14 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import send_fewer_texts
+from .common import send_fewer_texts, tidied
 
 #: What SentencePiece writes for a blank.
 BLANK = "▁"
-#: Cuts that one task keeps encoded; beyond it the memo starts anew.
-MEMO = 350_000
+#: Cuts that one task keeps encoded in each of two generations; when the young one is full, it becomes the old one.
+MEMO = 100_000
 #: Border tests that one task keeps.
-PAIR_MEMO = 300_000
+PAIR_MEMO = 250_000
 #: Longer cuts are not kept.
 MEMO_CHARS = 48
 
@@ -77,6 +77,7 @@ class PrefixEncoder:
         self.left_spine: dict[str, list[tuple[int, str]]] = {}
         self.outside = re.compile("([^" + re.escape("".join(sorted(self.chars))) + "])")
         self.memo: dict[str, str] = {}
+        self.old: dict[str, str] = {}
         self.byte_of = {i: b for b, i in enumerate(self.byte_ids)}
 
     def _last_merge(self, piece: str) -> tuple[str, str] | None:
@@ -209,10 +210,11 @@ class PrefixEncoder:
         long = {}
         if missing:
             if len(memo) + len(missing) > MEMO:
-                memo.clear()
-                missing = set(cuts)
+                self.old, self.memo = memo, {}
+                memo, missing = self.memo, set(cuts)
+            old = self.old
             for cut in missing:
-                (memo if len(cut) <= MEMO_CHARS else long)[cut] = self._entry(cut)
+                (memo if len(cut) <= MEMO_CHARS else long)[cut] = old.get(cut) or self._entry(cut)
         if " " in missing or " " in memo and " " in cuts:
             parts = list(self._with_runs(cuts, memo | long if long else memo))
         elif long:
@@ -281,4 +283,4 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = f"`{id_col}` {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(tidied(run), schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, _join, crc_fold, steps, text_bytes
+from .common import U64, _join, crc_fold, steps, text_bytes, tidied
 from .labelled import MOST_LABELLED, labelled_sample, sigmoid
 from .word_shingles import words
 
@@ -211,7 +211,7 @@ def fit(sample: DataFrame) -> AdditiveModel | Constant:
                 x = text_features(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
                 yield pa.RecordBatch.from_arrays([batch.column(2).slice(at, to - at), *(pa.array(c) for c in x.T)], ["y", *FEATURES])
 
-    rows = sample.mapInArrow(run, "y double, " + ", ".join(f"{f} double" for f in FEATURES)).orderBy("y", *FEATURES).toArrow()
+    rows = sample.mapInArrow(tidied(run), "y double, " + ", ".join(f"{f} double" for f in FEATURES)).orderBy("y", *FEATURES).toArrow()
     y = rows["y"].to_numpy()
     if not len(y) or y.min() == y.max():
         return Constant(float(y.mean()) if len(y) else 1.0)
@@ -230,7 +230,7 @@ def score(docs: DataFrame, model: AdditiveModel | Constant, id_col: str = "doc_i
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], ["i", "score"])
 
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(run, f"i {docs.schema[id_col].dataType.simpleString()}, score double").withColumnRenamed("i", id_col)
+    return rows.mapInArrow(tidied(run), f"i {docs.schema[id_col].dataType.simpleString()}, score double").withColumnRenamed("i", id_col)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 4, held_out_fold: int = 2, threshold: float = 0.7, most_labelled: int = MOST_LABELLED) -> DataFrame:

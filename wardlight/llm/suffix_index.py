@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .byte_windows import Windows
-from .common import Tables, U64, mix, send_fewer_texts, slices, steps, text_bytes
+from .common import Tables, U64, mix, send_fewer_texts, slices, steps, text_bytes, tidied
 from .components import dealt_anew
 
 #: Runs of one k that one task compares; larger groups are dealt out by content, see _compare_blocks.
@@ -264,7 +264,7 @@ def _compare_blocks(pieces: DataFrame, match: int, tables: Tables) -> DataFrame:
     at = ["u1", "u2", "first"]
     spans, todo = None, pieces.withColumn("parents", F.lit(None).cast("array<struct<block:long,whole:boolean>>"))
     for size, ratio in ((32, 0), (4, 8), (1, 4)):
-        rows = tables.keep(todo.select(*at, "k", "reach", "piece", "whole", "parents").mapInArrow(_block_rows(match, size, ratio), "inner long, outer long, u1 long, u2 long, first long, block long, start long, stop long, whole boolean"))
+        rows = tables.keep(todo.select(*at, "k", "reach", "piece", "whole", "parents").mapInArrow(tidied(_block_rows(match, size, ratio)), "inner long, outer long, u1 long, u2 long, first long, block long, start long, stop long, whole boolean"))
         shared = rows.groupBy("inner").agg(F.count("*").alias("n")).where("n > 1").select("inner")
         same = rows.groupBy("outer").agg(F.count("*").alias("n"), F.min(F.struct(*at, "block")).alias("one")).where("n > 1").select("outer", "one")
         marked = rows.join(dealt_anew(same), "outer", "left")
@@ -306,7 +306,7 @@ def repeated_spans(docs: DataFrame, match: int, batches: int = 4, id_col: str =
     tables = tables or Tables(spark)
     send_fewer_texts(spark)
     texts = _texts(docs, id_col, text_col)
-    suffixes = tables.keep(texts.select("u1", "u2", "text").mapInArrow(_suffixes(match), "u1 long, u2 long, pack long, k long, r long"))
+    suffixes = tables.keep(texts.select("u1", "u2", "text").mapInArrow(tidied(_suffixes(match)), "u1 long, u2 long, pack long, k long, r long"))
     family = SuffixFamily(spark, tables)
     for i in range(batches):
         family.add(suffixes.where(F.pmod(F.hash("u1", "u2"), F.lit(batches)) == i))
@@ -323,13 +323,13 @@ def repeated_spans(docs: DataFrame, match: int, batches: int = 4, id_col: str =
     one = known.where("whole AND runs > 1").groupBy("k", "r", "runs").agg(F.min(F.struct("u1", "u2", "pack")).alias("x")).select("x.u1", "x.u2", "x.pack", "k", "runs", F.lit(True).alias("whole"))
     open_runs = known.where("NOT whole").select("u1", "u2", "pack", "k", "runs", "whole").union(one)
     by_text = open_runs.groupBy("u1", "u2").agg(F.collect_list(F.struct("pack", "k", "runs", "whole")).alias("found"))
-    squeezed = texts.select("u1", "u2", "id", "text").mapInArrow(_squeezed, f"u1 long, u2 long, id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, squeezed binary")
+    squeezed = texts.select("u1", "u2", "id", "text").mapInArrow(tidied(_squeezed), f"u1 long, u2 long, id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, squeezed binary")
     once = squeezed.select("u1", "u2", "squeezed", "n_bytes")
     pieces = tables.keep(
-        by_text.join(once, ["u1", "u2"]).select("u1", "u2", "squeezed", "n_bytes", "found").mapInArrow(_pieces(match), "u1 long, u2 long, first long, k long, runs long, whole boolean, reach long, piece binary")
+        by_text.join(once, ["u1", "u2"]).select("u1", "u2", "squeezed", "n_bytes", "found").mapInArrow(tidied(_pieces(match)), "u1 long, u2 long, first long, k long, runs long, whole boolean, reach long, piece binary")
     )
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    small = pieces.where(F.col("runs") <= GROUP).repartition(n, "k").sortWithinPartitions("k").mapInArrow(_compare_groups(match), SPAN)
+    small = pieces.where(F.col("runs") <= GROUP).repartition(n, "k").sortWithinPartitions("k").mapInArrow(tidied(_compare_groups(match)), SPAN)
     large = _compare_blocks(pieces.where(F.col("runs") > GROUP), match, tables)
     return whole.union(small).union(large)
 
@@ -344,9 +344,9 @@ def remove_repeats(docs: DataFrame, match: int = 400, batches: int = 4, id_col:
     by_text = tables.keep(spans.distinct().groupBy("u1", "u2").agg(F.collect_list(F.struct("start", "stop")).alias("spans")))
     out = carried or id_col
     kind = docs.schema[out].dataType
-    squeezed = _texts(docs, id_col, text_col, carried).select("u1", "u2", "id", "text").mapInArrow(_squeezed, T.StructType().add("u1", "long").add("u2", "long").add("id", kind).add("n_bytes", "long").add("squeezed", "binary"))
+    squeezed = _texts(docs, id_col, text_col, carried).select("u1", "u2", "id", "text").mapInArrow(tidied(_squeezed), T.StructType().add("u1", "long").add("u2", "long").add("id", kind).add("n_bytes", "long").add("squeezed", "binary"))
     joined = squeezed.join(by_text, ["u1", "u2"], "left").select("id", "squeezed", "n_bytes", "spans")
     schema = T.StructType().add("id", kind).add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string")
     if keep_text:
         schema = schema.add("kept_text", "string")
-    return joined.mapInArrow(lambda batches: _removed(batches, keep_text), schema).withColumnRenamed("id", out)
+    return joined.mapInArrow(tidied(lambda batches: _removed(batches, keep_text)), schema).withColumnRenamed("id", out)

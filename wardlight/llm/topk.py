@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, tidied
 
 GROUPS = 4
 #: One row of so many is in a list's head (LEAST_HEAD at least); and bits of the code that lists are ordered by.
@@ -193,20 +193,20 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id
     value = F.col(vector_col).cast("array<double>")
     sound = F.col(vector_col).isNotNull() & F.col(id_col).isNotNull() & (F.size(value) > 0) & F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.where(sound).select(F.col(id_col).cast("long").alias("id"), F.transform(value, lambda x: F.floor(x * scale)).alias("v"), is_query.alias("asks"))
-    blocks = cut(rows.select("id", "v").repartition(n).mapInArrow(_packed(ROW_BLOCK), BLOCKS).withColumn("shard", F.pmod(F.spark_partition_id(), F.lit(n))))
+    blocks = cut(rows.select("id", "v").repartition(n).mapInArrow(tidied(_packed(ROW_BLOCK)), BLOCKS).withColumn("shard", F.pmod(F.spark_partition_id(), F.lit(n))))
     asked = rows.where("asks").groupBy("id", "v").agg(F.lit(1)).select("id", "v")
-    queries = cut(asked.mapInArrow(_packed(QUERY_BLOCK), BLOCKS).toDF("dim", "q_ids", "q_vectors").withColumn("block", F.monotonically_increasing_id()))
+    queries = cut(asked.mapInArrow(tidied(_packed(QUERY_BLOCK)), BLOCKS).toDF("dim", "q_ids", "q_vectors").withColumn("block", F.monotonically_increasing_id()))
     # Every query block meets every shard: the stated query set against all rows, block by block.
     sent = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     met = sent.join(blocks, ["shard", "dim"])
-    heads = met.select("dim", "q_ids", "q_vectors", "ids", "vectors").mapInArrow(_phase_one(k), "query_id long, dim int, totals array<long>")
+    heads = met.select("dim", "q_ids", "q_vectors", "ids", "vectors").mapInArrow(tidied(_phase_one(k)), "query_id long, dim int, totals array<long>")
     every = heads.select("query_id", "dim", F.explode("totals").alias("total"))
     place = F.row_number().over(W.partitionBy("query_id", "dim").orderBy(F.desc("total")))
     cutoffs = cut(every.withColumn("place", place).where(F.col("place") == k).select("query_id", "dim", F.col("total").alias("cutoff")))
-    ids_of = queries.mapInArrow(_query_ids, "block long, dim int, query_id long")
+    ids_of = queries.mapInArrow(tidied(_query_ids), "block long, dim int, query_id long")
     known = ids_of.join(cutoffs, ["query_id", "dim"]).groupBy("block").agg(F.map_from_entries(F.collect_set(F.struct("query_id", "cutoff"))).alias("cutoffs"))
     again = sent.join(known, "block", "left").join(blocks, ["shard", "dim"])
-    found = again.select("dim", "q_ids", "q_vectors", "cutoffs", "ids", "vectors").mapInArrow(_phases_two_and_three(k), "query_id long, vec_id long, score long")
+    found = again.select("dim", "q_ids", "q_vectors", "cutoffs", "ids", "vectors").mapInArrow(tidied(_phases_two_and_three(k)), "query_id long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, byte_codes, crc_fold, cut, steps, text_bytes, window_hashes
+from .common import U64, byte_codes, crc_fold, cut, steps, text_bytes, window_hashes, tidied
 from .labelled import MOST_LABELLED, labelled_sample, sigmoid
 from .word_shingles import _LOWER
 
@@ -80,7 +80,7 @@ def fit(sample: DataFrame) -> dict:
     n1, n0 = classes.get(1.0, 0), classes.get(0.0, 0)
     if not n1 or not n0:
         return {"slots": np.zeros(0, np.int64), "weights": np.zeros(0), "base": -40.0 if not n1 else 40.0}
-    counts = sample.mapInArrow(_slot_counts, "slot long, toxic long, other long").groupBy("slot").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    counts = sample.mapInArrow(tidied(_slot_counts), "slot long, toxic long, other long").groupBy("slot").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     p, q, seen = F.col("toxic") / n1, F.col("other") / n0, F.col("toxic") + F.col("other")
     overall = seen / (n1 + n0)
     apart = (p - q) * (p - q) / (overall * (1 - overall) + F.lit(1e-6))
@@ -100,7 +100,7 @@ def fit(sample: DataFrame) -> dict:
                 bounds = np.searchsorted(text, np.arange(to - at + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(2).slice(at, to - at), pa.ListArray.from_arrays(pa.array(bounds), pa.array(feature.astype(np.int32)))], ["y", "features"])
 
-    rows = sample.mapInArrow(own_features, "y double, features array<int>").toArrow()
+    rows = sample.mapInArrow(tidied(own_features), "y double, features array<int>").toArrow()
     y, lists = rows["y"].to_numpy(), rows["features"].combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     columns, bounds = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
@@ -140,7 +140,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigmoid(out))], ["i", "score"])
 
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(run, f"i {docs.schema[id_col].dataType.simpleString()}, score double").withColumnRenamed("i", id_col)
+    return rows.mapInArrow(tidied(run), f"i {docs.schema[id_col].dataType.simpleString()}, score double").withColumnRenamed("i", id_col)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held_out_fold: int = 0, most_labelled: int = MOST_LABELLED) -> DataFrame:

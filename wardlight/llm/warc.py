@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Tables, cut
+from .common import Tables, cut, tidied
 from .components import dealt_anew
 
 MAGIC = b"WARC/1.0\r\n"
@@ -220,7 +220,7 @@ def _found(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(ranges with their base, the offset at which their first line begins; candidates with offsets in the file)."""
     types = pa.schema([*_arrow("file string, start long, n_bytes long, head binary, goes_on boolean, tail_at long, tail binary"), ("found", pa.list_(pa.struct(_arrow(CANDIDATE))))])
     make = lambda file, start, own: [_range(file, start, b"\r\n".join(own) + b"\r\n")]
-    seen = cut(lines.mapInArrow(_of_ranges(make, types), RANGES))
+    seen = cut(lines.mapInArrow(tidied(_of_ranges(make, types)), RANGES))
     in_file = W.partitionBy("file").orderBy("start")
     base = F.coalesce(F.sum("n_bytes").over(in_file.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     ranges = cut(seen.select("file", "start", "n_bytes", "goes_on", "head", "tail_at", "tail").withColumn("base", base))
@@ -229,7 +229,7 @@ def _found(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         more, still = F.lead("own", further).over(in_file), F.lead("open", further).over(in_file) & F.lead("own", further + 1).over(in_file).isNotNull()
         heads, further = cut(heads.withColumns({"head": F.when(F.col("goes_on"), F.concat("head", more)).otherwise(F.col("head")), "goes_on": F.col("goes_on") & F.coalesce(still, F.lit(False))})), further + 1
     opened = heads.withColumn("after", F.lead("head").over(in_file)).where("tail IS NOT NULL AND after IS NOT NULL")
-    whole = opened.select("file", "start", F.col("base") + F.col("tail_at"), "tail", "after").mapInArrow(_completed, f"file string, start long, base long, {CANDIDATE}")
+    whole = opened.select("file", "start", F.col("base") + F.col("tail_at"), "tail", "after").mapInArrow(tidied(_completed), f"file string, start long, base long, {CANDIDATE}")
     own = seen.select("file", "start", F.inline("found")).join(_sent(ranges.select("file", "start", "base")), ["file", "start"])
     offsets = {c: F.col(c) + F.col("base") for c in ("at", "successor", "leaves", "body")}
     return ranges, cut(own.unionByName(whole).withColumns(offsets).drop("base"))
@@ -250,7 +250,7 @@ def _payloads(lines: DataFrame, ranges: DataFrame, wanted: DataFrame) -> DataFra
         return out
 
     ddl = "file string, start long, offset long, line binary"
-    rows = lines.mapInArrow(_of_ranges(placed, _arrow(ddl)), ddl).join(_sent(by_range), ["file", "start"])
+    rows = lines.mapInArrow(tidied(_of_ranges(placed, _arrow(ddl))), ddl).join(_sent(by_range), ["file", "start"])
     rows = rows.withColumn("offset", F.col("offset") + F.col("base")).select("file", "offset", "line", F.explode("records").alias("x"))
     inside = rows.where((F.col("offset") < F.col("x.stop")) & (F.col("offset") + F.octet_length("line") + 2 > F.col("x.body")))
     whole = inside.groupBy("file", "x").agg(F.sort_array(F.collect_list(F.struct("offset", F.col("line").cast("string").alias("line")))).alias("lines"))
