@@ -172,10 +172,12 @@ def test_minhash(spark, docs, monkeypatch, width, outside):
     assert with_null.count() == docs.count() and {tuple(r) for r in with_null.where("doc_id IS NOT NULL").collect()} == got
 
 
-def test_minhash_large_buckets(spark, monkeypatch):
+@pytest.mark.parametrize("most_sent", [0, 200_000])
+def test_minhash_large_buckets(spark, monkeypatch, most_sent):
     """Near copies of one text that are not all near each other: every remainder goes through blocks."""
     monkeypatch.setattr(minhash, "OUTSIDE", 0)
-    monkeypatch.setattr(minhash, "BLOCK", 8)
+    for name, value in (("BLOCK", 4), ("ASKING", 2), ("HELD", 3), ("MOST_SENT", most_sent)):  # many shares of one group
+        monkeypatch.setattr(minhash, name, value)
     rng = random.Random(3)
     base = [f"w{i}" for i in range(60)]
     rows = []
@@ -277,7 +279,7 @@ def pages_table(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string")
 
 
-@pytest.fixture(params=["128m", "300b", "90b"])
+@pytest.fixture(params=["128m", "150b"])
 def ranges(spark, request):
     """Bytes of the ranges that files are read in."""
     spark.conf.set("spark.sql.files.maxPartitionBytes", request.param)

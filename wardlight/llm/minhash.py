@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, cut, hint_cleaning, mix, send_fewer_texts, steps, text_bytes
+from .common import U64, cut, hint_cleaning, mix, send_fewer_texts, steps, text_bytes, tidied
 from .components import connected_components, dealt_anew
 from .word_shingles import shingle_sets
 
@@ -37,8 +37,9 @@ BANDS, ROWS = 40, 6
 SLACK = 0.13
 #: Members outside a bucket's largest component that are compared with all of the bucket at once.
 OUTSIDE = 4
-#: Texts of a block, about, where larger remainders are compared block against block.
-BLOCK, SALTS = 64, 8
+#: Texts of a block, about, where larger remainders are compared block against block; a task's share of a group is at most
+#: so many blocks that ask and so many that are held against them, so a larger group is more shares, not larger ones.
+BLOCK, ASKING, HELD = 64, 64, 16
 #: Ids of candidate pairs that are sent to all tasks at most (8 bytes each), so that the texts needn't be shuffled.
 MOST_SENT = 200_000
 
@@ -111,7 +112,7 @@ def _screened(pairs: DataFrame, marks: DataFrame, least: float, minima: int) ->
             yield pa.RecordBatch.from_arrays([c.filter(pa.array((x == y).mean(axis=1) >= least)) for c in batch.columns[:2]], ["a", "b"])
 
     a, b = (marks.select(F.col("id").alias(k), F.col("mark").alias(f"mark_{k}")) for k in "ab")
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "mark_a", "mark_b").mapInArrow(run, "a long, b long")
+    return pairs.join(b, "b").join(a, "a").select("a", "b", "mark_a", "mark_b").mapInArrow(tidied(run), "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -120,7 +121,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
     ids = cut(ids)
     few = ids.count() <= MOST_SENT
     texts = docs.join(F.broadcast(ids) if few else dealt_anew(ids), "id", "left_semi").select("id", "text")
-    sets = cut(texts.mapInArrow(_full_sets(width), "id long, shingles array<long>"))
+    sets = cut(texts.mapInArrow(tidied(_full_sets(width)), "id long, shingles array<long>"))
     with_b = pairs.join(sets.withColumnsRenamed({"id": "b", "shingles": "y"}), "b")
     both = with_b.join(sets.withColumnsRenamed({"id": "a", "shingles": "x"}), "a")
     common = F.size(F.array_intersect("x", "y"))
@@ -143,39 +144,49 @@ def _across(shared: DataFrame, labels: DataFrame | None) -> tuple[DataFrame | No
     return members, cut(sizes.select("bucket", F.col("main.component").alias("main"), (F.col("all") - F.col("main.n")).alias("outside")))
 
 
-def _compared_in_blocks(own: DataFrame, docs: DataFrame, marks: DataFrame, width: int, percent: int, least: float) -> DataFrame:
+def _opened(block: pa.StructArray, minima: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """ids, components, signatures, and all shingles with the bounds of each text's."""
+    lists = block.field("shingles")
+    bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+    marks = np.frombuffer(b"".join(block.field("mark").to_pylist()), np.uint8).reshape(-1, minima)
+    return block.field("id").to_numpy(), block.field("component").to_numpy(), marks, lists.flatten().to_numpy(), bounds
+
+
+def _compared_in_blocks(own: DataFrame, docs: DataFrame, marks: DataFrame, width: int, percent: int, least: float, minima: int) -> DataFrame:
     """Links between what is outside the largest component of its buckets and all members of these buckets.
 
     own: distinct (main, id, component). Outside texts are a set of queries against all members, block against block of
     about BLOCK texts; the compared texts' full sets are in the blocks, so only links come out. The blocks of one main
-    component are dealt out over SALTS tasks.
+    component are dealt out in shares of ASKING by HELD blocks.
     """
     ids = cut(own.select("id").distinct())
     texts = docs.join(F.broadcast(ids) if ids.count() <= MOST_SENT else dealt_anew(ids), "id", "left_semi").select("id", "text")
-    sets = cut(texts.mapInArrow(_full_sets(width), "id long, shingles array<long>"))
-    parts = own.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    rows = cut(own.join(dealt_anew(parts), "main").join(sets, "id").join(marks, "id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))))
-    block = F.collect_list(F.struct("id", "component", "shingles", "mark"))
-    asks = rows.where("component <> main").groupBy("main", "part", "parts").agg(block.alias("asks")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.least(F.lit(SALTS), F.col("parts")) - 1)))
-    held = rows.groupBy("main", "part").agg(block.alias("held")).select("main", F.pmod("part", F.lit(SALTS)).alias("salt"), "held")
+    sets = cut(texts.mapInArrow(tidied(_full_sets(width)), "id long, shingles array<long>"))
+    parts = own.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).alias("parts"), F.ceil(F.count_if(F.col("component") != F.col("main")) / BLOCK).alias("asking"))
+    rows = cut(own.join(dealt_anew(parts), "main").join(sets, "id").join(marks, "id"))
+    block, part_of = F.collect_list(F.struct("id", "component", "shingles", "mark")), lambda n: F.pmod(F.xxhash64("id"), F.col(n)).alias("part")
+    share = lambda n, size: F.floor(n / size)
+    every = lambda n, size: F.explode(F.sequence(F.lit(0).cast("long"), share(F.col(n) - 1, size)))
+    asks = rows.where("component <> main").groupBy("main", part_of("asking"), "parts").agg(block.alias("asks")).select("main", share(F.col("part"), ASKING).alias("chunk"), every("parts", HELD).alias("salt"), "asks")
+    held = rows.where("asking > 0").groupBy("main", part_of("parts"), "asking").agg(block.alias("held")).select("main", share(F.col("part"), HELD).alias("salt"), every("asking", ASKING).alias("chunk"), "held")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                asks, held = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
-                signs = np.array([np.frombuffer(x["mark"], np.uint8) for x in held])
-                of = np.array([x["component"] for x in held])
+                x_ids, x_of, x_marks, x, x_at = _opened(batch.column(0)[k].values, minima)
+                y_ids, y_of, y_marks, y, y_at = _opened(batch.column(1)[k].values, minima)
                 found = []
-                for x in asks:
-                    near = (signs == np.frombuffer(x["mark"], np.uint8)).mean(axis=1) >= least
-                    for i in np.flatnonzero(near & (of != x["component"])):
-                        y = held[i]
-                        common = len(np.intersect1d(x["shingles"], y["shingles"], assume_unique=True))
-                        if 100 * common >= percent * (len(x["shingles"]) + len(y["shingles"]) - common):
-                            found.append((min(x["id"], y["id"]), max(x["id"], y["id"])))
+                for i in range(len(x_ids)):
+                    near = ((y_marks == x_marks[i]).mean(axis=1) >= least) & (y_of != x_of[i])
+                    mine = x[x_at[i] : x_at[i + 1]]
+                    for j in np.flatnonzero(near):
+                        theirs = y[y_at[j] : y_at[j + 1]]
+                        common = len(np.intersect1d(mine, theirs, assume_unique=True))
+                        if 100 * common >= percent * (len(mine) + len(theirs) - common):
+                            found.append(sorted((int(x_ids[i]), int(y_ids[j]))))
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
-    return asks.join(dealt_anew(held), ["main", "salt"]).select("asks", "held").mapInArrow(run, "a long, b long").distinct()
+    return asks.join(dealt_anew(held), ["main", "salt", "chunk"]).select("asks", "held").mapInArrow(tidied(run), "a long, b long").distinct()
 
 
 def near_duplicates(
@@ -190,7 +201,7 @@ def near_duplicates(
     """doc_id, n_shingles, component_id, kept."""
     send_fewer_texts(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    seen = cut(texts.mapInArrow(_features(width, bands, rows), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, mark binary"))
+    seen = cut(texts.mapInArrow(tidied(_features(width, bands, rows)), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, mark binary"))
     keys = ["k1", "k2", "n_shingles"]
     some = seen.where("n_shingles > 0")
     classes = cut(some.groupBy(*keys).agg(F.min("doc_id").alias("rep")))
@@ -224,7 +235,7 @@ def near_duplicates(
         links, _ = tested(pairs, links, stars)
         rest = cut(members.join(dealt_anew(large.select("bucket", "main")), "bucket").select("main", "id", "component").distinct())
         if not rest.isEmpty():
-            fresh = cut(_compared_in_blocks(rest, texts, marks, width, percent, least))
+            fresh = cut(_compared_in_blocks(rest, texts, marks, width, percent, least, bands * rows))
             links = fresh if links is None else links.union(fresh)
 
     out = seen.select("doc_id", *keys)
