@@ -129,15 +129,47 @@ def test_suffix_dedup(spark, docs, monkeypatch, group, batches):
     assert got == want and sum(w[2] for w in want) > 1000
 
 
-def test_suffix_family_levels(spark):
+def test_suffix_family_levels(spark, monkeypatch):
+    """Each batch meets every level, and what these scans find is the result: without one of them it is not complete."""
+    batch = lambda *ks: spark.createDataFrame([(k // 3, k) for k in ks], "head long, k long")
     family = suffix_index.SuffixFamily(spark)
-    batch = lambda *ks: spark.createDataFrame([(k, k) for k in ks], "k long, r long")
     assert family.add(batch(1, 2)).count() == 0
     assert [r.k for r in family.add(batch(2, 3)).collect()] == [2] and sorted(family.levels) == [1]
-    family.add(batch(4))
-    assert sorted(family.levels) == [0, 1]
-    family.add(batch(5, 1))
-    assert sorted(family.levels) == [2] and sorted(r.k for r in family.matches()[0].collect()) == [1, 2]
+    assert [r.k for r in family.add(batch(4, 4)).collect()] == [4] and sorted(family.levels) == [0, 1]
+    assert sorted(r.k for r in family.add(batch(5, 1, 4)).collect()) == [1, 4] and sorted(family.levels) == [2]
+    assert sorted(r.k for r in family.matches().collect()) == [1, 2, 4]
+    assert sorted(tuple(r) for r in family.levels[2].collect()) == [(0, 1, 2), (0, 2, 2), (1, 3, 1), (1, 4, 3), (1, 5, 1)]
+    for k in (1, 2):
+        scan = suffix_index.SuffixFamily.merge_scan
+        with monkeypatch.context() as m:
+            m.setattr(suffix_index.SuffixFamily, "merge_scan", staticmethod(lambda array, level, k=k, scan=scan: scan(array, level.where(F.col("k") != k))))
+            partial = suffix_index.SuffixFamily(spark)
+            for ks in ((1, 2), (2, 3), (4, 4), (5, 1, 4)):
+                partial.add(batch(*ks))
+            assert k not in {r.k for r in partial.matches().collect()}
+
+
+def test_suffix_order(spark):
+    """Anchors' arrays are in the order of their suffixes' first bytes."""
+    rng = random.Random(7)
+    text = "".join(rng.choice("abcé漢\n z") for _ in range(6000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    rows = suffix_index._texts(df, "doc_id", "text").select("u1", "u2", "text").mapInArrow(suffix_index._suffixes(200), "u1 long, u2 long, pack long, head long, k long, r long").collect()
+    data = text.encode()
+    assert len(rows) > 50
+    assert [data[r["pack"] >> 24 :][:8] for r in sorted(rows, key=lambda r: r["head"])] == sorted(data[r["pack"] >> 24 :][:8] for r in rows)
+
+
+def test_suffix_dedup_of_long_texts(spark):
+    """Texts beyond the step of 256 KB, with passages that repeat at their far ends."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    passage = " ".join(word() for _ in range(40))
+    texts = [" ".join(word() for _ in range(60_000)) + passage, passage + "é" + " ".join(word() for _ in range(50_000)), "x" + passage[:150], None]
+    got = {r.doc_id: r for r in suffix_index.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), match=140, keep_text=True).collect()}
+    n = len(passage)
+    assert [(got[i].n_bytes, got[i].n_removed, got[i].n_spans) for i in range(4)] == [(len((t or "").encode()), x, s) for t, x, s in zip(texts, (n, n, 150, 0), (1, 1, 1, 0), strict=True)]
+    assert got[0].kept_text == texts[0][:-n] and got[1].kept_text == texts[1][n:] and got[2].kept_text == "x" and got[3].kept_text == ""
 
 
 def brute_components(rows, width, percent):

@@ -171,6 +171,7 @@ class Tables:
         import uuid
 
         self.spark, self.root, self.n = spark, f"{checkpoint_dir(spark)}/wardlight-{uuid.uuid4().hex}", 0
+        self.kept: list[DataFrame] = []
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Writes df as a table and reads it back."""
@@ -179,8 +180,16 @@ class Tables:
         df.write.parquet(path)
         got = self.spark.read.schema(df.schema).parquet(path)
         got.wardlight_path = path
+        self.kept.append(got)
         return got
 
+    def drop_all_but(self, *tables: DataFrame) -> None:
+        """Deletes what only led to these tables."""
+        for df in self.kept:
+            if not any(df is t for t in tables):
+                self.drop(df)
+        self.kept = list(tables)
+
     def drop(self, df: DataFrame) -> None:
         """Deletes a table of keep() that nothing reads any more."""
         if path := getattr(df, "wardlight_path", None):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -84,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": rules.oracle(),
+        "op2_suffix_dedup": suffix_index.oracle(),
         "op3_minhash_dedup": minhash.oracle(),
         "op7_warc_archives": warc.oracle(),
         "op8_exact_topk": topk.oracle(),

@@ -2,16 +2,16 @@
 
 Suffixes. Every window of `match` bytes names one anchor inside it by content alone (the least hash of its 64-byte
 strings), so equal windows have equal anchors at equal offsets, and only the suffixes at anchors are indexed, about
-one in 150 bytes. A suffix is ordered by k, the fingerprint of its first 64 bytes, and then by r, the fingerprint of
-all the text that the windows of its anchor cover (its run). Equal (k, r): all windows of both runs repeat. Equal k
-alone: some may.
+one in (match - 64) / 2 bytes. Suffixes are in the order of their first 8 bytes and then of k, a fingerprint of the first 64.
 
-Family. Documents come in batches. A batch's suffix array is its counted (k, r), sorted by them. It is merge-scanned
-against every level; equal-sized levels merge into the next, as a binary counter carries, and a merge is a scan too.
-Suffixes are counted, so a string that millions of documents share is one row of a level.
+Family. Documents come in batches. A batch's suffix array is its suffixes in that order, counted, dealt out by ranges
+and sorted. It is merge-scanned against every level that is there: an entry on both sides is a common prefix of 64 bytes or
+more, which each match of `match` bytes has at its anchor. What the scans of all batches found is what repeats. Then the
+batch's array becomes a level, and equal-sized levels merge into the next, as a binary counter carries. A string that
+millions of documents share is one entry of a level.
 
-Resolution. Runs that repeat as a whole are spans at once. The text of other runs whose k repeats goes to their k's
-group, where windows are compared one by one; groups of over GROUP runs are dealt out by the content of blocks of windows.
+Resolution. Where a suffix repeats, r is a fingerprint of all the text that the windows of its anchor cover (its run).
+Runs that repeat as a whole are spans at once. The text of other runs whose k repeats goes to their k's group, where windows are compared one by one; groups of over GROUP runs are dealt out by the content of blocks of windows.
 Fingerprints have 64 bits for k and 64 more for r or for a window.
 
 Rows: strings are UTF-8 bytes, matches never cross texts. Null text is empty; texts below `match` bytes stay whole.
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .byte_windows import Windows
-from .common import Tables, U64, mix, send_fewer_texts, slices, steps, text_bytes, tidied
+from .common import Tables, U64, hint_cleaning, mix, send_fewer_texts, slices, steps, text_bytes, tidied
 from .components import dealt_anew
 
 #: Runs of one k that one task compares; larger groups are dealt out by content, see _compare_blocks.
@@ -58,9 +58,13 @@ def _suffixes(match: int):
                 base, row = w.offsets[text], pa.array(at + text)
                 # The anchor's place, how far before it the run's windows begin and end, in one long.
                 pack = (anchor - base) << 24 | (anchor - first) << 12 | (anchor - last)
+                head = np.zeros(len(anchor), U64)
+                for i in range(8):
+                    head = head << U64(8) | w.data[anchor + i].astype(U64)
+                head ^= U64(1 << 63)  # as signed numbers they are in the order of the bytes
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(row), batch.column(1).take(row), pa.array(pack), pa.array(w.places[anchor].view(np.int64)), pa.array(w.hash(first, last + match, 1).view(np.int64))],
-                    ["u1", "u2", "pack", "k", "r"],
+                    [batch.column(0).take(row), batch.column(1).take(row), pa.array(pack), pa.array(head.view(np.int64)), pa.array(w.places[anchor].view(np.int64)), pa.array(w.hash(first, last + match, 1).view(np.int64))],
+                    ["u1", "u2", "pack", "head", "k", "r"],
                 )
 
     return run
@@ -73,62 +77,48 @@ def _unpack(pack: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class SuffixFamily:
-    """Levels of counted suffixes (k, r, n); level i has the suffixes of 2^i batches."""
+    """Levels of counted, sorted suffixes (head, k, n); level i has the suffixes of 2^i batches."""
 
     def __init__(self, spark: SparkSession, tables: Tables | None = None):
         self.tables = tables or Tables(spark)
-        self.levels: dict[int, tuple[frozenset[int], DataFrame]] = {}
-        self.scans: list[tuple[frozenset[int], DataFrame]] = []
-        self.batches = 0
+        self.levels: dict[int, DataFrame] = {}
+        self.found: list[DataFrame] = []
+
+    def _array(self, counted: DataFrame) -> DataFrame:
+        """Sorted ranges of suffixes, written; entries that both of two levels have become one."""
+        n = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ranges = counted.repartitionByRange(n, "head", "k").groupBy("head", "k").agg(F.sum("n").alias("n"))
+        return self.tables.keep(ranges.sortWithinPartitions("head", "k"))
 
     @staticmethod
-    def _merged(*parts: DataFrame) -> DataFrame:
-        rows = parts[0]
-        for p in parts[1:]:
-            rows = rows.union(p)
-        return rows.groupBy("k", "r").agg(F.sum("n").alias("n"))
+    def merge_scan(array: DataFrame, level: DataFrame) -> DataFrame:
+        """Suffixes (head, k) that both have: both sides are walked in their order, as a merge join does."""
+        return array.select("head", "k").join(level.select("head", "k").hint("merge"), ["head", "k"])
 
     def add(self, suffixes: DataFrame) -> DataFrame:
-        """Adds a batch of (k, r); returns the repeated anchors that it brings, see matches()."""
-        own = frozenset([self.batches])
-        self.batches += 1
-        array = self.tables.keep(self._merged(suffixes.select("k", "r", F.lit(1).cast("long").alias("n"))).sortWithinPartitions("k", "r"))
-        # Levels that this batch doesn't reach by carrying are scanned where they are.
-        rank, old = 0, []
-        carried = set()
+        """Adds a batch of (head, k); returns the repeated suffixes (head, k) that it brings: inside it, or with any level."""
+        array = self._array(suffixes.groupBy("head", "k").agg(F.count("*").alias("n")))
+        found = array.where("n > 1").select("head", "k")
+        for level in self.levels.values():
+            found = found.union(self.merge_scan(array, level))
+        self.found.append(self.tables.keep(found))
+        rank = 0
         while rank in self.levels:
-            carried.add(rank)
-            rank += 1
-        fresh = [(own, array)]
-        for i, (there, level) in self.levels.items():
-            if i not in carried:
-                fresh.append((own | there, self._merged(array, level)))
-        for i in sorted(carried):
-            there, level = self.levels.pop(i)
-            joined = self.tables.keep(self._merged(array, level).sortWithinPartitions("k", "r"))
-            old += [array, level]
-            own, array = own | there, joined
-            fresh.append((own, array))
-        self.levels[rank] = own, array
-        self.scans = [s for s in [*self.scans, *fresh] if not any(s[0] < x[0] for x in [*self.scans, *fresh])]
-        for level in old:
+            level = self.levels.pop(rank)
+            merged = self._array(array.union(level))
+            self.tables.drop(array)
             self.tables.drop(level)
-        return self._anchors(fresh[-1][1])
-
-    @staticmethod
-    def _anchors(scan: DataFrame) -> DataFrame:
-        """Repeated anchors: k, the number of its suffixes and of its different runs."""
-        return scan.groupBy("k").agg(F.sum("n").alias("n"), F.count("*").alias("runs")).where("n > 1")
+            array, rank = merged, rank + 1
+        self.levels[rank] = array
+        hint_cleaning(array.sparkSession)
+        return self.found[-1]
 
-    def matches(self) -> tuple[DataFrame, DataFrame]:
-        """(anchors: k, runs; whole runs: k, r) that repeat anywhere in the family. Scans that a later one covers are not run."""
-        anchors, runs = None, None
-        for _, scan in self.scans:
-            a, b = self._anchors(scan).select("k", "runs"), scan.where("n > 1").select("k", "r")
-            anchors, runs = (a, b) if anchors is None else (anchors.union(a), runs.union(b))
-        if len(self.scans) > 1:  # k's of several scans: their runs add up, at most
-            anchors, runs = anchors.groupBy("k").agg(F.sum("runs").alias("runs")), runs.distinct()
-        return anchors, runs
+    def matches(self) -> DataFrame:
+        """k of each suffix that any scan found to repeat."""
+        rows = self.found[0]
+        for more in self.found[1:]:
+            rows = rows.union(more)
+        return rows.select("k").distinct()
 
 
 def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,16 +296,17 @@ def repeated_spans(docs: DataFrame, match: int, batches: int = 4, id_col: str =
     tables = tables or Tables(spark)
     send_fewer_texts(spark)
     texts = _texts(docs, id_col, text_col)
-    suffixes = tables.keep(texts.select("u1", "u2", "text").mapInArrow(tidied(_suffixes(match)), "u1 long, u2 long, pack long, k long, r long"))
+    suffixes = tables.keep(texts.select("u1", "u2", "text").mapInArrow(tidied(_suffixes(match)), "u1 long, u2 long, pack long, head long, k long, r long"))
     family = SuffixFamily(spark, tables)
     for i in range(batches):
-        family.add(suffixes.where(F.pmod(F.hash("u1", "u2"), F.lit(batches)) == i))
-    anchors, runs = family.matches()
-    anchors, runs = tables.keep(anchors), tables.keep(runs.select("r", F.lit(True).alias("whole")))
-
-    known = suffixes.join(dealt_anew(anchors), "k").join(dealt_anew(runs), "r", "left").withColumn("whole", F.coalesce("whole", F.lit(False)))
-    known = tables.keep(known.select("u1", "u2", "pack", "k", "r", "runs", "whole"))
+        family.add(suffixes.where(F.pmod(F.hash("u1", "u2"), F.lit(batches)) == i).select("head", "k"))
+    repeated = tables.keep(suffixes.join(dealt_anew(family.matches()), "k", "left_semi").select("u1", "u2", "pack", "k", "r"))
     tables.drop(suffixes)
+    runs = tables.keep(repeated.groupBy("k", "r").agg((F.count("*") > 1).alias("whole")))
+    of_k = runs.groupBy("k").agg(F.count("*").alias("runs"))
+    known = repeated.join(dealt_anew(runs), ["k", "r"]).join(dealt_anew(of_k), "k")
+    known = tables.keep(known.select("u1", "u2", "pack", "k", "r", "runs", "whole"))
+    tables.drop(repeated)
     anchor, before, after = F.shiftright("pack", 24), F.shiftright("pack", 12).bitwiseAND(0xFFF), F.col("pack").bitwiseAND(0xFFF)
     whole = known.where("whole").select("u1", "u2", (anchor - before).alias("start"), (anchor - after + match).alias("stop"))
 
@@ -342,6 +333,7 @@ def remove_repeats(docs: DataFrame, match: int = 400, batches: int = 4, id_col:
     tables = Tables(docs.sparkSession)
     spans = repeated_spans(docs, match, batches, id_col, text_col, tables)
     by_text = tables.keep(spans.distinct().groupBy("u1", "u2").agg(F.collect_list(F.struct("start", "stop")).alias("spans")))
+    tables.drop_all_but(by_text)
     out = carried or id_col
     kind = docs.schema[out].dataType
     squeezed = _texts(docs, id_col, text_col, carried).select("u1", "u2", "id", "text").mapInArrow(tidied(_squeezed), T.StructType().add("u1", "long").add("u2", "long").add("id", kind).add("n_bytes", "long").add("squeezed", "binary"))
@@ -350,3 +342,19 @@ def remove_repeats(docs: DataFrame, match: int = 400, batches: int = 4, id_col:
     if keep_text:
         schema = schema.add("kept_text", "string")
     return joined.mapInArrow(tidied(lambda batches: _removed(batches, keep_text)), schema).withColumnRenamed("id", out)
+
+
+def oracle(match: int = 400) -> str:
+    """The same rows in DuckDB's SQL, by counting all windows."""
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS u, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT u, s, hash(b[s:s + {match - 1}]) AS h FROM (SELECT u, b, unnest(range(1, octet_length(b) - {match - 2})) AS s FROM d WHERE octet_length(b) >= {match})),
+hit AS (SELECT u, s FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+run AS (SELECT u, s, sum(new) OVER (PARTITION BY u ORDER BY s) AS k FROM (SELECT u, s, (s - coalesce(lag(s) OVER (PARTITION BY u ORDER BY s), -{match}) > {match})::INTEGER AS new FROM hit)),
+span AS (SELECT u, min(s) AS a, max(s) + {match} AS z FROM run GROUP BY u, k),
+gap AS (SELECT u, lag(z, 1, 1) OVER (PARTITION BY u ORDER BY a) AS f, a AS t FROM span UNION ALL SELECT u, max(z), NULL FROM span GROUP BY u),
+kept AS (SELECT u, string_agg(hex(b[f:coalesce(t - 1, octet_length(b))]), '' ORDER BY f) AS k FROM gap JOIN d USING (u) GROUP BY u),
+n AS (SELECT u, sum(z - a) AS removed, count(*) AS spans FROM span GROUP BY u)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(coalesce(unhex(k), b)) AS kept_sha256
+FROM d LEFT JOIN n USING (u) LEFT JOIN kept USING (u)
+"""
