@@ -8,8 +8,7 @@ compared (minimum-length guards), so short texts face the base counts alone.
 One pass over the texts: counts go to the checkpoint folder (about 400 bytes a document), references are
 summed from there, and the verdict is computed from the same rows. Every language that has words becomes a
 reference, however small its share is; all of them are one row (about 1 KB a language), broadcast behind a count
-(`MOST_SENT`). Without any reference no document is judged too far. The SQL still leaves out languages with under
-1/200 of all words, so it gives the same rows only where there are none.
+(`MOST_SENT`). Without any reference no document is judged too far.
 
 Rows: a null or blank text has no words and fails the base; a null language feeds no reference; rows with equal
 ids are judged one by one; an empty table gives an empty result. Other columns are ignored, whatever their names.
@@ -170,7 +169,7 @@ common AS (SELECT doc_id, w AS k, count(*) AS v FROM (SELECT doc_id, lower(unnes
 whist AS (SELECT doc_id, k, v FROM common UNION ALL SELECT doc_id, '', n_words - coalesce(c, 0) FROM base LEFT JOIN (SELECT doc_id, sum(v) AS c FROM common GROUP BY 1) USING (doc_id)),
 hist AS (SELECT 'c' AS h, * FROM chist UNION ALL SELECT 'w', * FROM whist),
 refs AS (SELECT h, lang, k, sum(v) AS v FROM hist JOIN base USING (doc_id) WHERE lang IS NOT NULL GROUP BY ALL),
-share AS (SELECT lang FROM refs WHERE h = 'w' GROUP BY lang HAVING sum(v) > 0 AND sum(v) >= (SELECT sum(v) FROM refs WHERE h = 'w') / 200),
+share AS (SELECT lang FROM refs WHERE h = 'w' GROUP BY lang HAVING sum(v) > 0),
 q AS (SELECT h, lang, k, v / greatest(sum(v) OVER (PARTITION BY h, lang), 1) AS q FROM refs SEMI JOIN share USING (lang)),
 p AS (SELECT h, doc_id, k, v / CASE h WHEN 'c' THEN word_chars ELSE n_words END AS p FROM hist JOIN base USING (doc_id)
     WHERE CASE h WHEN 'c' THEN word_chars >= {MIN_CHARS} ELSE n_words >= {MIN_WORDS} END),
