@@ -148,3 +148,25 @@ def identify_languages(docs: DataFrame, held_out: Column | None = None, id_col:
     marked = docs.select(F.col(id_col).alias("i"), held_out.alias("h"), F.col(text_col).alias("t"))
     out = predict(marked, profiles, ["i", "h"], "t")
     return out.select(F.col("c0").alias(id_col), F.col("c1").alias("held_out"), "lang_pred", "score")
+
+
+def oracle(folds: int = 3, held_out_fold: int = 1, ranks: int = RANKS) -> str:
+    """The same rows in DuckDB's SQL; letters by Unicode property, CRC-32 from its table."""
+    return f"""
+WITH tab AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (SELECT row_number() OVER () AS u, doc_id, lang, lower(' ' || coalesce(text, '') || ' ') AS x,
+    coalesce(xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: unicode(c)::BIGINT)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % {folds}, 0) = {held_out_fold} AS held_out FROM documents, tab),
+p AS (SELECT u, list_transform(string_split(x, ''), lambda c: CASE WHEN regexp_matches(c, '^\\p{{L}}$') THEN unicode(c)::BIGINT ELSE 0 END) AS p FROM d),
+i AS (SELECT u, p, unnest(range(1, len(p) + 1)) AS i FROM p),
+g AS (SELECT u, p[i] AS g FROM i WHERE p[i] > 0 UNION ALL SELECT u, (p[i] << 21) | p[i + 1] FROM i WHERE i < len(p) AND (p[i] > 0 OR p[i + 1] > 0)
+    UNION ALL SELECT u, (((p[i] << 21) | p[i + 1]) << 21) | p[i + 2] FROM i WHERE i + 1 < len(p) AND p[i + 1] > 0),
+n AS (SELECT u, g, count(*) AS n FROM g GROUP BY ALL),
+own AS (SELECT u, g, r FROM (SELECT u, g, row_number() OVER (PARTITION BY u ORDER BY n DESC, g) - 1 AS r FROM n) WHERE r < {ranks}),
+learned AS (SELECT lang, g, sum(n) AS n FROM n JOIN d USING (u) WHERE NOT held_out AND lang IS NOT NULL GROUP BY ALL),
+profile AS (SELECT lang, g, r FROM (SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY n DESC, g) - 1 AS r FROM learned) WHERE r < {ranks}),
+near AS (SELECT u, lang, sum({ranks} - abs(own.r - profile.r)) AS near FROM own JOIN profile USING (g) GROUP BY ALL),
+size AS (SELECT u, {ranks} * count(*) AS most FROM own GROUP BY u),
+far AS (SELECT u, l.lang, most, most - coalesce(near, 0) AS far FROM size CROSS JOIN (SELECT DISTINCT lang FROM profile) l LEFT JOIN near USING (u, lang)),
+best AS (SELECT * FROM far QUALIFY row_number() OVER (PARTITION BY u ORDER BY far, lang) = 1)
+SELECT doc_id, held_out, coalesce(best.lang, '{UNKNOWN}') AS lang_pred, coalesce(1.0::DOUBLE - far::DOUBLE / most::DOUBLE, 0.0::DOUBLE) AS score FROM d LEFT JOIN best USING (u)
+"""

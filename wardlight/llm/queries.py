@@ -85,6 +85,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_quality_rules": rules.oracle(),
         "op2_suffix_dedup": suffix_index.oracle(),
         "op3_minhash_dedup": minhash.oracle(),
+        "op5_language_id": languages.oracle(),
         "op7_warc_archives": warc.oracle(),
         "op8_exact_topk": topk.oracle(),
     }
