@@ -259,6 +259,47 @@ def test_toxicity_learns_words(spark, docs, labels):
     assert len({r.score for r in toxicity.toxicity(docs, labels.limit(0)).collect()}) == 1
 
 
+def test_toxicity_by_hand(spark):
+    """Counts, ratios and scores of the fitted model, gram by gram; the solver's slope is nought."""
+    rng = random.Random(12)
+    words = "river house green walks slowly over hills bread WATER stone nasty vile été".split()
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 12))), float(rng.random() < 0.3)) for i in range(60)]
+    rows += [(60, None, 0.0), (61, "", 1.0), (62, "ab", 0.0), (63, "nasty " * 60_000, 1.0)]
+    sample = spark.createDataFrame([(i, t or "", y) for i, t, y in rows], "doc_id long, text string, y double")
+    model = toxicity.fit(sample, features=40, least_docs=3, slot_bits=12)
+    slot_of = lambda g: int({n: s for n, s in toxicity._slots(np.frombuffer(g, np.uint8), 12) if n == len(g)}[len(g)][0])
+    lower = lambda t: bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode())
+    grams = lambda data: {data[k : k + n] for n in toxicity.SIZES for k in range(len(data) - n + 1)}
+    found = {i: {slot_of(g) for g in grams(lower(t))} for i, t, _ in rows}
+    n1 = sum(y for *_, y in rows)
+    n0 = len(rows) - n1
+    stats = []
+    for s in set().union(*found.values()):
+        a, b = (sum(s in found[i] for i, _, y in rows if y == label) for label in (1, 0))
+        if a + b >= 3:
+            o = (a + b) / len(rows)
+            stats.append((-((a / n1 - b / n0) ** 2) / (o * (1 - o) + 1e-6), s, np.log((a + 1) / (n1 + 2)) - np.log((b + 1) / (n0 + 2))))
+    best = sorted(stats, key=lambda x: (round(x[0], 12), x[1]))[:40]
+    assert sorted(model["slots"].tolist()) == sorted(s for _, s, _ in best)
+    weight, ratio = dict(zip(model["slots"].tolist(), model["weights"])), {s: r for _, s, r in best}
+    raw = {i: model["base"] + sum(weight[s] for s in found[i] & set(weight)) for i, *_ in rows}
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    for r in toxicity.score(docs, model).collect():
+        assert abs(r.score - 1 / (1 + np.exp(-raw[r.doc_id]))) < 1e-9
+    error = {i: 1 / (1 + np.exp(-raw[i])) - y for i, _, y in rows}
+    assert abs(sum(error.values())) < 1e-3
+    for s, w in weight.items():
+        assert abs(ratio[s] * sum(e for i, e in error.items() if s in found[i]) + toxicity.PENALTY * w / ratio[s]) < 1e-3
+
+
+def test_labelled_twice(spark):
+    rows = [(i, f"word{i % 2} here and there {'vile' if i % 2 else 'kind'}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("mine") for c in ("y", "toxic", "i", "t", "slot", "quality")})
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)] * 2 + [(3, 0, 0)], "doc_id long, toxic int, quality int")
+    for got in (toxicity.toxicity(df, labels), quality_gam.quality_scores(df, labels)):
+        assert got.count() == 40 and all(0 <= r.score <= 1 for r in got.collect())
+
+
 def test_languages(spark, docs):
     got = language_profiles.identify_languages(docs).collect()
     assert len(got) == docs.count()
@@ -307,6 +348,42 @@ def test_additive_model(spark, docs, labels):
     assert len(got) == docs.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
 
 
+def features_by_hand(text):
+    data = (text or "").encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", data)
+    low = [bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in words]
+    chars, n = max(1, sum(map(len, words))), len(words)
+    lines = [x.split() for x in re.split(rb"\n", b"\n".join(b" ".join(re.findall(rb"[^\x20\x09-\x0D]+", x)) for x in data.split(b"\n")).lower())]
+    full = [tuple(x) for x in lines if x]
+    share = lambda c: sum(b in c for b in data) / chars
+    some, n_lines = max(1, n), data.count(b"\n") + 1
+    return {
+        "log_words": np.log1p(n), "word_length": chars / some if n else 0, "upper": share(bytes(range(65, 91))), "digit": share(b"0123456789"), "stop": share(b".,;:?"), "mark": share(b"#*$%&<>"),
+        "other_punct": share(b"\"'()[]{}=+-_/\\@^~`"), "bar": share(b"|"), "bang": share(b"!"), "vowel": share(b"aeiou"), "beyond_ascii": share(bytes(range(192, 256))),
+        "line_length": np.log1p(n / n_lines), "log_lines": np.log(n_lines), "distinct_words": len(set(low)) / some, "distinct_pairs": len(set(zip(low, low[1:]))) / max(1, n - 1),
+        "repeated_next": sum(a == b for a, b in zip(low, low[1:])) / some, "marked_words": sum(w[-1] in b"#*$%&<>!" for w in words) / some, "short_words": sum(len(w) <= 3 for w in words) / some,
+        "longest_word": np.log1p(max(map(len, words), default=0)), "distinct_lines": len(set(full)) / max(1, len(full)) if full else 0,
+    }
+
+
+def test_additive_model_by_hand(spark, docs):
+    """Features and scores, text by text and table by table."""
+    rows = [(i, t) for i, t, *_ in corpus() if i is not None] + [(900, "Ab! cd\nAb! cd\n\nx|# 12\n"), (901, "word " * 60_000)]
+    rng = random.Random(1)
+    sample = spark.createDataFrame([(i, t or "", float(rng.random() < 0.5)) for i, t in rows], "doc_id long, text string, y double")
+    model = quality_gam.fit(sample)
+    scores = {r.doc_id: r.score for r in quality_gam.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for i, text in rows:
+        want = features_by_hand(text)
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        got = dict(zip(quality_gam.FEATURES, quality_gam.text_features(data, np.array([0, len(data)]))[0], strict=True))
+        assert got == pytest.approx(want, abs=1e-12), (i, text)
+        x = [got[f] for f in quality_gam.FEATURES]
+        place = lambda edges, v: sum(e < v for e in edges)
+        raw = model.base + sum(t[place(e, v)] for e, t, v in zip(model.edges, model.tables, x, strict=True)) + sum(g[place(model.coarse[a], x[a]), place(model.coarse[b], x[b])] for (a, b), g in zip(model.pairs, model.grids, strict=True))
+        assert scores[i] == pytest.approx(1 / (1 + np.exp(-raw)), abs=1e-9)
+
+
 def pages_table(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string")
 

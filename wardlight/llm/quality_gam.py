@@ -8,7 +8,7 @@ residual a coarse grid explains. A text's score is the logistic function of the
 Features are computed by one narrow, vectorised pass over whole texts. The model is fitted on a bounded sample of
 labelled rows (labelled.MOST_LABELLED): a matrix of some 20 numbers a row.
 
-Rows: null and empty texts have all features 0 and get the score of such a text. Null ids count as fold 0. Without
+Rows: a document that is labelled twice counts twice, also with either label. Null and empty texts have all features 0 and get the score of such a text. Null ids count as fold 0. Without
 usable labels of both kinds the score is the one label's share (1 if there is none). Repeated rows are scored alike;
 an empty table gives an empty result. Other columns are ignored, whatever their names.
 """

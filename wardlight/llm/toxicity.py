@@ -1,12 +1,16 @@
 """Toxicity: a linear classifier on character n-grams, each scaled by its naive Bayes log-count ratio.
 
-Grams are the strings of 4, 6 and 8 bytes of the text with A-Z lowered, hashed to 2^20 slots; a document has a gram or not.
-On a bounded sample of labelled texts (labelled.MOST_LABELLED) Spark counts in how many toxic and other documents each
-slot occurs; the slots that tell the classes apart best are kept (FEATURES), their log-count ratios scale them, and a
-logistic regression with an L2 penalty is fitted on the sample's kept slots. Whole texts are then scored by one
-narrow pass of table look-ups.
+Grams are the strings of 4, 6 and 8 bytes of the text with A-Z lowered, hashed to 2^slot_bits slots; a document has a gram
+or not. On a bounded sample of labelled texts (labelled.MOST_LABELLED) Spark counts in how many toxic and other documents
+each slot occurs; the slots that tell the classes apart best are kept, their log-count ratios scale them, and a logistic
+regression with an L2 penalty is fitted on the sample's kept slots, until its gradient is nought. Whole texts are then
+scored by one narrow pass of table look-ups.
 
-Rows: null and empty texts get the score of no gram at all, as does every text of a table without usable labels (then
+Parameters that bound the model, not the rows: `features` slots are kept (more cost memory of the fit and may overfit; a
+word that fewer than `least_docs` sampled documents hold is not learned), and of 2^slot_bits slots some are shared by
+several grams (with 20 bits and half a million different grams about a third of them), which then count as one.
+
+Rows: a document that is labelled twice counts twice, also with either label. Null and empty texts get the score of no gram at all, as does every text of a table without usable labels (then
 0). Null ids count as fold 0. Rows that repeat are scored alike; an empty table gives an empty result. Other columns
 are ignored, whatever their names.
 """
@@ -25,24 +29,24 @@ from .labelled import MOST_LABELLED, labelled_sample, sigmoid
 from .word_shingles import _LOWER
 
 SIZES = (4, 6, 8)
-SLOT_BITS = 20
-FEATURES = 3000
-#: Documents that a slot must occur in.
-LEAST_DOCS = 4
+#: The model's default bounds: see above.
+SLOT_BITS, FEATURES, LEAST_DOCS = 20, 3000, 4
 PENALTY = 1.0
+#: Parts of the slots' counts that are added up apart, and tasks that count the sample at most.
+PARTS, TASKS = 64, 16
 
 
-def _slots(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def _slots(data: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
     """Per gram size the slot of the gram at each place."""
     hashes = window_hashes(byte_codes(_LOWER[data]), list(SIZES))
     for n in SIZES:
-        yield n, ((hashes[n] * U64(2 * n + 1)) >> U64(64 - SLOT_BITS)).astype(np.int32)
+        yield n, ((hashes[n] * U64(2 * n + 1)) >> U64(64 - bits)).astype(np.int32)
 
 
 def _found(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (text, feature) where wanted[slot] is a feature's number plus one, or 0."""
     keys = []
-    for n, slots in _slots(data):
+    for n, slots in _slots(data, len(wanted).bit_length() - 1):
         feature = wanted[slots]
         at = np.flatnonzero(feature)
         text = np.searchsorted(offsets, at, "right") - 1
@@ -52,45 +56,62 @@ def _found(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray) -> tuple[n
     return keys >> 24, keys & 0xFFFFFF
 
 
-def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many texts of each label a slot occurs; one array a task."""
-    counts = np.zeros((2, 1 << SLOT_BITS), np.int32)
-    stamp = np.arange(1, (1 << SLOT_BITS) + 1, dtype=np.int32)
-    for batch in batches:
-        data, offsets = text_bytes(batch.column(1))
-        y = batch.column(2).to_numpy()
-        for at, to in steps(offsets):
-            text, slot = _found(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], stamp)
-            for label in (0, 1):
-                counts[label] += np.bincount(slot[y[at:to][text] == label], minlength=1 << SLOT_BITS).astype(np.int32)
-    some = np.flatnonzero(counts.any(axis=0))
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[1][some].astype(np.int64)), pa.array(counts[0][some].astype(np.int64))], ["slot", "toxic", "other"])
+def _slot_counts(bits: int):
+    """In how many texts of each label a slot occurs: PARTS rows a task, each with the counts of its part of the slots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, 1 << bits), np.int32)
+        stamp = np.arange(1, (1 << bits) + 1, dtype=np.int32)
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(1))
+            y = batch.column(2).to_numpy()
+            for at, to in steps(offsets):
+                text, slot = _found(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], stamp)
+                for label in (0, 1):
+                    counts[label] += np.bincount(slot[y[at:to][text] == label], minlength=1 << bits).astype(np.int32)
+        parts = [[x.tobytes() for x in np.split(counts[label], PARTS)] for label in (1, 0)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), *(pa.array(x, pa.binary()) for x in parts)], ["part", "toxic", "other"])
+
+    return run
 
 
-def _wanted(slots: np.ndarray) -> np.ndarray:
-    wanted = np.zeros(1 << SLOT_BITS, np.int32)
+def _best_of_part(n1: int, n0: int, features: int, least_docs: int):
+    """The slots of a part whose occurrence tells the classes apart best, as a chi-squared test ranks them."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        toxic, other = (sum(np.frombuffer(x, np.int32).astype(np.int64) for x in rows[c].to_pylist()) for c in ("toxic", "other"))
+        p, q, overall = toxic / n1, other / n0, (toxic + other) / (n1 + n0)
+        apart = (p - q) ** 2 / (overall * (1 - overall) + 1e-6)
+        at = np.flatnonzero(toxic + other >= least_docs)
+        at = at[np.lexsort((at, -apart[at]))[:features]]
+        return pa.table({"slot": at + rows["part"][0].as_py() * len(toxic), "toxic": toxic[at], "other": other[at], "apart": apart[at]})
+
+    return run
+
+
+def _wanted(slots: np.ndarray, bits: int) -> np.ndarray:
+    wanted = np.zeros(1 << bits, np.int32)
     wanted[slots] = np.arange(1, len(slots) + 1)
     return wanted
 
 
-def fit(sample: DataFrame) -> dict:
+def fit(sample: DataFrame, features: int = FEATURES, least_docs: int = LEAST_DOCS, slot_bits: int = SLOT_BITS) -> dict:
     """Slots, their weights (ratio times coefficient) and the intercept, from (doc_id, text, y)."""
-    sample = cut(sample)
+    n = int(sample.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sample = cut(sample.repartition(min(n, TASKS)))
     classes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = classes.get(1.0, 0), classes.get(0.0, 0)
     if not n1 or not n0:
-        return {"slots": np.zeros(0, np.int64), "weights": np.zeros(0), "base": -40.0 if not n1 else 40.0}
-    counts = sample.mapInArrow(tidied(_slot_counts), "slot long, toxic long, other long").groupBy("slot").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    p, q, seen = F.col("toxic") / n1, F.col("other") / n0, F.col("toxic") + F.col("other")
-    overall = seen / (n1 + n0)
-    apart = (p - q) * (p - q) / (overall * (1 - overall) + F.lit(1e-6))
-    best = counts.where(seen >= LEAST_DOCS).orderBy(apart.desc(), "slot").limit(FEATURES).collect()
+        return {"slots": np.zeros(0, np.int64), "weights": np.zeros(0), "base": -40.0 if not n1 else 40.0, "bits": slot_bits}
+    counts = sample.mapInArrow(tidied(_slot_counts(slot_bits)), "part int, toxic binary, other binary")
+    apart = counts.groupBy("part").applyInArrow(_best_of_part(n1, n0, features, least_docs), "slot long, toxic long, other long, apart double")
+    best = apart.orderBy(F.desc("apart"), "slot").limit(features).collect()
     if not best:
-        return {"slots": np.zeros(0, np.int64), "weights": np.zeros(0), "base": float(np.log(n1 / n0))}
+        return {"slots": np.zeros(0, np.int64), "weights": np.zeros(0), "base": float(np.log(n1 / n0)), "bits": slot_bits}
     slots, toxic, other = (np.array([r[k] for r in best], float) for k in ("slot", "toxic", "other"))
     slots = slots.astype(np.int64)
     ratio = np.log((toxic + 1) / (n1 + 2)) - np.log((other + 1) / (n0 + 2))
-    wanted = _wanted(slots)
+    wanted = _wanted(slots, slot_bits)
 
     def own_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,30 +126,48 @@ def fit(sample: DataFrame) -> dict:
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     columns, bounds = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
     weights, base = _logistic(columns, bounds, ratio[columns], y, len(slots))
-    return {"slots": slots, "weights": weights * ratio, "base": base}
+    return {"slots": slots, "weights": weights * ratio, "base": base, "bits": slot_bits}
 
 
-def _logistic(columns: np.ndarray, bounds: np.ndarray, values: np.ndarray, y: np.ndarray, n: int, rounds: int = 150) -> tuple[np.ndarray, float]:
-    """L2-penalised logistic regression on sparse rows, by accelerated gradient steps."""
+def _logistic(columns: np.ndarray, bounds: np.ndarray, values: np.ndarray, y: np.ndarray, n: int, rounds: int = 1000, small: float = 1e-6) -> tuple[np.ndarray, float]:
+    """L2-penalised logistic regression on sparse rows: L-BFGS steps that each lower the loss, until no slope exceeds `small`."""
     rows = np.repeat(np.arange(len(y)), np.diff(bounds))
-    mass = np.bincount(rows, values * values, len(y)).max() + 1
-    step = 1.0 / (0.25 * mass + PENALTY / len(y))
-    w, base = np.zeros(n), float(np.log(y.mean() / (1 - y.mean())))
-    ahead, ahead_base, t = w, base, 1.0
+
+    def loss_and_slope(w: np.ndarray) -> tuple[float, np.ndarray]:
+        raw = np.bincount(rows, values * w[columns], len(y)) + w[n]
+        error = sigmoid(raw) - y
+        slope = np.append(np.bincount(columns, values * error[rows], n) + PENALTY * w[:n], error.sum()) / len(y)
+        return float((np.logaddexp(0, raw) - y * raw).mean() + PENALTY * (w[:n] @ w[:n]) / 2 / len(y)), slope
+
+    w = np.append(np.zeros(n), np.log(y.mean() / (1 - y.mean())))
+    (loss, slope), past = loss_and_slope(w), []
     for _ in range(rounds):
-        error = sigmoid(np.bincount(rows, values * ahead[columns], len(y)) + ahead_base) - y
-        gradient = np.bincount(columns, values * error[rows], n) / len(y) + PENALTY / len(y) * ahead
-        # The mean bounds curvature from below: longer steps are taken while they are safe on average.
-        new, new_base = ahead - 30 * step * gradient, ahead_base - 30 * step * error.mean()
-        s = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        ahead, ahead_base, t = new + (t - 1) / s * (new - w), new_base + (t - 1) / s * (new_base - base), s
-        w, base = new, new_base
-    return w, base
+        if np.abs(slope).max() <= small:
+            break
+        way, taken = -slope, []
+        for s, z, r in reversed(past):
+            taken.append(r * (s @ way))
+            way = way - taken[-1] * z
+        if past:
+            s, z, _ = past[-1]
+            way = way * (s @ z) / (z @ z)
+        for (s, z, r), t in zip(past, reversed(taken), strict=True):
+            way = way + s * (t - r * (z @ way))
+        step, down = 1.0, slope @ way
+        while (new := loss_and_slope(w + step * way))[0] > loss + 1e-4 * step * down and step > 1e-12:
+            step /= 2
+        if new[0] >= loss:  # nothing lower within the precision of floats
+            break
+        s, z = step * way, new[1] - slope
+        if s @ z > 0:
+            past = [*past[-9:], (s, z, 1 / (s @ z))]
+        w, (loss, slope) = w + s, new
+    return w[:n], float(w[n])
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score of every row, in one narrow pass."""
-    wanted, weights, base = _wanted(model["slots"]), model["weights"], model["base"]
+    wanted, weights, base = _wanted(model["slots"], model["bits"]), model["weights"], model["base"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
