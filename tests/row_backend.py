@@ -1,4 +1,4 @@
-"""A backend of rows in memory, with a row cap and injected failures, for tests and trials."""
+"""A backend of rows in memory, with a row cap and injected failures."""
 
 from __future__ import annotations
 
@@ -6,9 +6,9 @@ import json
 import os
 import time
 
-from ..functions.text import split_ids
-from ..plans.requests import ID_KEYS
-from ..plans.windows import Bounds, bounds_of
+from wardlight.functions.text import split_ids
+from wardlight.plans.requests import ID_KEYS
+from wardlight.plans.windows import Bounds, bounds_of
 
 
 class RowBackend:
@@ -37,7 +37,7 @@ class RowBackend:
             raise ConnectionError("Connection refused")
         found = [r for r in self.rows if all(self._holds(r, k, v) for k, v in asked.items())]
         if len(found) > self.cap or ids & self.limits and not any(str(v).startswith("{") for v in asked.values()):
-            return {"error": "Too many results, please narrow your query"}
+            return {"error": "too many rows for one answer"}
         if kind == "idtriplets":
             return [{"eltId": [r["ELTID"] for r in found], "evtId": [r["EVTID"] for r in found], "patId": [r["PATID"] for r in found], "eltExt": [r["ELTID"] for r in found]}]
         return found

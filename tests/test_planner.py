@@ -1,5 +1,6 @@
 import json
 import os
+import pickle
 import warnings
 from datetime import date, timedelta
 
@@ -9,12 +10,13 @@ from hypothesis import strategies as st
 
 from wardlight.plans.requests import Request, id_key_of, plan, query_json, resolve_mode, without_broader_ids
 from wardlight.plans.windows import NoWindow, bounds_of, periods, window_of
-from wardlight.sources.fake import RowBackend
+from row_backend import RowBackend
+from wardlight.sources.datasource import BatchPartition
 from wardlight.sources.fetch import fetch
-from wardlight.sources.protocol import Audit, FetchError, ask, carry_out
+from wardlight.sources.protocol import Audit, FetchError, carry_out
 
 D = date.fromisoformat
-FAKE = "wardlight.sources.fake:RowBackend"
+FAKE = "row_backend:RowBackend"
 
 
 def rows(n, start="2024-01-01"):
@@ -75,7 +77,7 @@ def test_ids_and_modes():
 
 
 def carried(request, backend):
-    p = plan(request, lambda m, k, q: ask(backend, m, k, q))
+    p = plan(request)
     found = [x for b in p.batches for x in carry_out(b, p, backend)]
     return [x for x in found if not isinstance(x, Audit)], [x for x in found if isinstance(x, Audit)]
 
@@ -100,18 +102,57 @@ def test_failing_chunks_reach_the_audit():
 def test_single_call_then_batches():
     data = rows(90)
     q = {"DATENT": "{2024-01-01,2024-03-30}"}
-    asked = lambda backend, **kw: plan(Request("pmsi", query=q, **kw), lambda m, k, x: ask(backend, m, k, x)).batches
-    assert [b.kind for b in asked(RowBackend({"rows": data}))] == ["single"]
-    assert [b.kind for b in asked(RowBackend({"rows": data, "cap": 40}))] == ["period"] * 3
-    assert [b.kind for b in asked(RowBackend({"rows": data}), mode="time")] == ["period"] * 3
-    with pytest.raises(FetchError, match="single_call_failed"):
-        plan(Request("pmsi", query=q), lambda *_: ask(lambda *_: {"error": "Connection refused"}, "pmsi", "data", q))
-    with pytest.raises(FetchError, match="missing_time_window"):
-        plan(Request("pmsi"), lambda *_: ask(lambda *_: {"error": "too many"}, "pmsi", "data", {}))
+    for cap, audits in ((100, 1), (40, 3)):
+        got, audit = carried(Request("pmsi", query=q), RowBackend({"rows": data, "cap": cap}))
+        assert len(got) == 90 and [a.reason for a in audit] == ["ok"] * audits
+    assert [b.kind for b in plan(Request("pmsi", query=q)).batches] == ["single"]
+    assert [b.kind for b in plan(Request("pmsi", query=q, mode="time")).batches] == ["period"] * 3
+    assert [a.reason for a in carried(Request("pmsi", query=q), lambda *_: {"error": "Connection refused"})[1]] == ["single_call_failed"]
+    assert [a.reason for a in carried(Request("pmsi"), lambda *_: {"error": "too many"})[1]] == ["missing_time_window"]
     with pytest.warns(UserWarning, match="RECDATE"):
         plan(Request("pmsi", query=q | {"RECDATE": "x"}, mode="time"))
 
 
+def test_ids_stay_in_the_window():
+    data = rows(90)
+    window = {"start": D("2024-01-10"), "end": D("2024-01-20")}
+    inside = sorted(r["ELTID"] for r in data if "2024-01-10" <= r["DATENT"] <= "2024-01-20")
+    by_ids, _ = carried(Request("pmsi", query={"ELTID": [r["ELTID"] for r in data], "PATID": "all"}, **window), RowBackend({"rows": data}))
+    by_time, _ = carried(Request("pmsi", mode="time", **window), RowBackend({"rows": data}))
+    assert sorted(r["ELTID"] for r in by_ids) == sorted(r["ELTID"] for r in by_time) == inside
+
+
+def test_strict_bounds_stay_strict():
+    data = rows(90)
+    q = {"DATENT": ">2024-01-10", "DATSORT": "<2024-03-01"}
+    data = [r | {"DATSORT": r["DATENT"]} for r in data]
+    inside = sorted(r["ELTID"] for r in data if "2024-01-10" < r["DATENT"] < "2024-03-01")
+    for mode in ("time", "auto"):
+        got, _ = carried(Request("pmsi", query=q, mode=mode), RowBackend({"rows": data}))
+        assert sorted(r["ELTID"] for r in got) == inside
+
+
+def test_dropped_batches_are_told():
+    got, audit = carried(Request("doceds", start=D("2024-01-01"), end=D("2024-01-31"), mode="time"), lambda *_: "no table")
+    assert got == [] and [(a.ok, a.n_out, a.reason) for a in audit] == [(False, 0, "not_a_table")]
+
+
+def test_partitions_carry_their_own_ids():
+    request = Request("pmsi", query={"ELTID": [f"L{i}" for i in range(1000)]}, max_ids=10)
+    whole = plan(request)
+    sizes = [len(pickle.dumps(BatchPartition(k, b, whole))) for k, b in enumerate(whole.batches)]
+    assert len(sizes) == 100 and max(sizes) < 2000
+
+
+def test_overlaps_return_rows_once(spark):
+    data = rows(60) + rows(3)  # three rows come twice
+    for how in ({"overlap_days": 3}, {"end_inclusive": False}):
+        got = fetch(spark, Request("pmsi", start=D("2024-01-01"), end=D("2024-03-30"), mode="time", step="10 days", **how), FAKE, {"rows": data})
+        assert sorted(r["ELTID"] for r in got.rows("ELTID string").collect()) == sorted(r["ELTID"] for r in data)
+    with pytest.raises(FetchError, match="missing_time_window"):
+        fetch(spark, Request("pmsi", on_failure="audit"), FAKE, {"rows": data, "cap": 10})
+
+
 def test_fetch_by_ids_and_by_time_agree(spark, tmp_path):
     data = rows(300)
     log = tmp_path / "log"

@@ -1,4 +1,4 @@
-from datetime import datetime
+from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from wardlight.functions.dates import clock_time, parse_wall_clock
 from wardlight.functions.text import id_list, is_id_list, is_limit_message, limit_message, looks_like_id_list, split_ids
 from wardlight.operators import batches, columns, labs, links, nested, stays
+from wardlight.plans.windows import bounds_of
 from wardlight.operators.documents import distinct_with_null, document_rows, document_table, out_units
 
 DATES = [
@@ -83,6 +84,50 @@ def test_acts_of_an_array(spark):
     assert sorted((r.CODEACTE, r.DATEACTE) for r in stays.act_table(stays.prepare(df)).collect()) == [("a", "d"), ("b", None)]
 
 
+def acts_of(df, columns=("CODEACTE", "DATEACTE", "UFPRO")):
+    return sorted((tuple(r[c] for c in columns) for r in stays.stay_tables(df).acts.collect()), key=str)
+
+
+def test_scalar_array_and_nested_acts_agree(spark):
+    scalar = spark.createDataFrame([("P", "A1", "A2", "d1", "d2", "u1", "u2")], "PATID string, CODEACTE1 string, CODEACTE2 string, DATEACTE1 string, DATEACTE2 string, UFPRO1 string, UFPRO2 string")
+    arrays = spark.createDataFrame([("P", ["A1", "A2"], ["d1", "d2"], ["u1", "u2"])], "PATID string, CODEACTE array<string>, DATEACTE array<string>, UFPRO array<string>")
+    nested_ = spark.createDataFrame([("P", (("A1", "d1", "u1"), ("A2", "d2", "u2")))], "PATID string, s struct<a:struct<CODEACTE:string,DATEACTE:string,UFPRO:string>,b:struct<CODEACTE:string,DATEACTE:string,UFPRO:string>>")
+    both = spark.createDataFrame([("P", (["A1", "A2"], ["d1", "d2"], ["u1", "u2"]))], "PATID string, s struct<CODEACTE:array<string>,DATEACTE:array<string>,UFPRO:array<string>>")
+    want = [("A1", "d1", "u1"), ("A2", "d2", "u2")]
+    assert acts_of(scalar) == acts_of(arrays) == acts_of(nested_) == acts_of(both) == want
+
+
+def test_acts_of_unlike_arrays(spark):
+    schema = "PATID string, CODEACTE array<string>, DATEACTE array<string>, UFPRO string, NBACTES array<string>"
+    rows = [("P", ["A1", "A2", "A3"], ["d1", "d2"], "u", ["3"]), ("Q", None, ["d"], None, None), ("R", [], [], None, None), ("S", ["A"], None, "u", None)]
+    assert acts_of(spark.createDataFrame(rows, schema)) == sorted([("A1", "d1", "u"), ("A2", "d2", "u"), ("A3", None, "u"), (None, "d", None), ("A", None, "u")], key=str)
+
+
+def test_diagnoses_of_nested_ids_and_arrays(spark):
+    df = spark.createDataFrame([("P", ("x", 1), ["01:A41", "02:I10"])], "PATID string, s struct<SUBID:string,UFDEM:int>, DALL array<string>")
+    t = stays.stay_tables(df)
+    assert sorted((r["s.SUBID"], r.diag) for r in t.diagnoses.collect()) == [("x", "A41"), ("x", "I10")]
+    assert t.main.count() == 1 and t.acts.count() == 1  # a unit alone is a row
+
+
+def test_timestamps_pass_unchanged(spark):
+    t = datetime(2024, 1, 1, 10, 30, 15, 250_000)
+    df = spark.createDataFrame([("P", t, date(2024, 1, 2))], "PATID string, DATENT timestamp_ntz, DATSORT date")
+    row = stays.stay_tables(df).main.first()
+    assert (row.DATENT, row.HEURE_DATENT, row.DATSORT, row.HEURE_DATSORT) == (t, "10:30:15", datetime(2024, 1, 2), None)
+    exams = spark.createDataFrame([("e", t, [("Hb",)])], "BIOL_ID string, DATEXAM timestamp, RESULTATS array<struct<ANALYTE:string>>")
+    assert labs.lab_table(exams).first().DATEXAM == t
+
+
+def test_bounds_and_ids_as_columns(spark):
+    days = spark.sql("SELECT explode(sequence(DATE'2024-01-01', DATE'2024-01-10')) AS d UNION ALL SELECT NULL")
+    for text in ("{2024-01-03,2024-01-05}", ">2024-01-07", "<2024-01-03", "2024"):
+        got = [r.d for r in days.where(batches.within(F.col("d"), text)).collect()]
+        assert {*got} == {*[date(2024, 1, i) for i in range(1, 11) if bounds_of(text).holds(date(2024, 1, i))], *([None] if text == "2024" else [])}
+    ids = spark.createDataFrame([("e", None, "p"), (None, None, "p"), (None, None, None)], "EVTID string, ELTID string, PATID string")
+    assert [r[0] for r in ids.select(batches.most_specific_id(ids.columns)).collect()] == ["e", "p", None]
+
+
 def test_flatten(spark):
     df = spark.createDataFrame([(("x", ("y", 1)), ["a", "b"], [("k",)])], "s struct<p:string,q:struct<r:string,n:int>>, SOME array<string>, o array<struct<k:string>>")
     plain = nested.flatten(df)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The accepted layouts. ISO and day-first dates with an optional time, and digits alone.
 _TIME = r"([T ]\d{1,2}:\d{2}(:\d{2})?)?$"
@@ -12,6 +13,11 @@ DAY_FIRST = r"^(\d{1,2})/(\d{1,2})/(\d{4})" + _TIME
 COMPACT = r"^\d{8}( \d{4}(\d{2})?)?$"
 
 
+def as_wall_clock(column: Column, kind: T.DataType, zone: str | None = None) -> Column:
+    """TIMESTAMP_NTZ of a column of that type: dates and timestamps as they are, fractions and all; texts are parsed."""
+    return column.cast("timestamp_ntz") if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)) else parse_wall_clock(column, zone)
+
+
 def parse_wall_clock(raw: Column, zone: str | None = None) -> Column:
     """TIMESTAMP_NTZ of a date or date-time string: each layout is rewritten as ISO, and one cast checks the values.
 

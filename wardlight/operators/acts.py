@@ -4,20 +4,23 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .columns import quoted
 
 #: Names of what is recorded per procedure.
 VALUES = ["CODEACTE", "DATEACTE", "UFPRO", "UFDEM", "NOMENCLATURE"]
 
 
 def paired_columns(columns: list[str], values: list[str], pairing: str) -> list[dict[str, str]]:
-    """Which columns form one long row: those of one suffix, or the k-th of each value."""
-    matched = [(m[1], m[2], c) for c in columns if (m := re.fullmatch(f"({'|'.join(values)})(.*)", c))]
+    """Which columns form one long row: those of one path and suffix, or the k-th of each value."""
+    matched = [(m[2], (m[1], m[3]), c) for c in columns if (m := re.fullmatch(f"(.*?)({'|'.join(values)})(.*)", c))]
     if pairing == "suffix":
-        groups: dict[str, dict[str, str]] = {}
-        for value, suffix, c in matched:
-            groups.setdefault(suffix, {})[value] = c
+        groups: dict[tuple[str, str], dict[str, str]] = {}
+        for value, around, c in matched:
+            groups.setdefault(around, {})[value] = c
         return list(groups.values())
     if pairing != "position":
         raise ValueError("pairing is suffix or position")
@@ -25,10 +28,29 @@ def paired_columns(columns: list[str], values: list[str], pairing: str) -> list[
     return [{v: cs[k] for v, cs in of.items() if k < len(cs)} for k in range(max((len(cs) for cs in of.values()), default=0))]
 
 
+def _rows(df: DataFrame, group: dict[str, str], values: list[str]) -> Column:
+    """Array of long rows of one group of columns: one row, or where columns are arrays one for each place.
+
+    Shorter arrays end in NULLs, as numbered columns would; a single value, or an array of one, stands at each place.
+    """
+    lists = {v: quoted(c).cast("array<string>") for v, c in group.items() if isinstance(df.schema[c].dataType, T.ArrayType)}
+    none = F.lit(None).cast("string")
+    if not lists:
+        return F.array(F.struct(*[(quoted(group[v]).cast("string") if v in group else none).alias(v) for v in values]))
+    n = F.greatest(*[F.coalesce(F.size(x), F.lit(0)) for x in lists.values()], F.lit(1))
+
+    def at(v: str, i: Column) -> Column:
+        if v in lists:
+            return F.get(lists[v], F.when(F.size(lists[v]) == 1, F.lit(0)).otherwise(i))
+        return quoted(group[v]).cast("string") if v in group else none
+
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(*[at(v, i).alias(v) for v in values]))
+
+
 def unpivot(df: DataFrame, ids: list[str], values: list[str] = VALUES, pairing: str = "suffix") -> DataFrame:
-    """(ids, values): a row per group of columns that has any value. One narrow pass, no self-union."""
+    """(ids, values): a row per group of columns, and per place of its arrays, that has any value. One narrow pass, no self-union."""
     groups = paired_columns(df.columns, values, pairing)
+    own = [quoted(c) for c in ids]
     if not groups:
-        return df.select(*ids, *[F.lit(None).cast("string").alias(v) for v in values]).limit(0)
-    rows = F.array(*[F.struct(*[(F.col(f"`{g[v]}`").cast("string") if v in g else F.lit(None).cast("string")).alias(v) for v in values]) for g in groups])
-    return df.select(*ids, F.inline(rows)).where(F.coalesce(*values).isNotNull())
+        return df.select(*own, *[F.lit(None).cast("string").alias(v) for v in values]).limit(0)
+    return df.select(*own, F.inline(F.flatten(F.array(*[_rows(df, g, values) for g in groups])))).where(F.coalesce(*values).isNotNull())

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.requests import ID_KEYS
+from ..plans.windows import bounds_of
 from ..sources.storage import stored
 
 #: Rows of a list that is sent to all tasks at most.
@@ -18,6 +20,19 @@ def restrict(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids, key, "left_semi")
 
 
+def within(column: Column, bounds: object) -> Column:
+    """Whether a date lies in bounds as requests write them: `{lo,hi}`, `>d`, `<d`; anything else bounds nothing and holds every row. NULL dates lie in no bounds."""
+    b = bounds_of(bounds)
+    low = F.lit(True) if b.low is None else (column > F.lit(b.low) if b.strict else column >= F.lit(b.low))
+    high = F.lit(True) if b.high is None else (column < F.lit(b.high) if b.strict else column <= F.lit(b.high))
+    return F.coalesce(low & high, F.lit(False))
+
+
+def most_specific_id(columns: list[str], keys: tuple[str, ...] = ID_KEYS) -> Column:
+    """Of a row's identifiers the most specific one that it has, as a column of the table with these columns."""
+    return F.coalesce(*[F.col(k) for k in keys if k in columns], F.lit(None))
+
+
 def period_starts(start: Column, end: Column, months: int = 1) -> Column:
     """Starts of month steps from start to end. A day that a month lacks runs over into the next, as day numbers do."""
     first = F.trunc(start, "MM")
@@ -47,7 +62,7 @@ def assign_windows(df: DataFrame, date_col: str, periods: DataFrame, days: int =
 
 
 def numbered(df: DataFrame, order: str, name: str = "place") -> DataFrame:
-    """Adds the row's place, from 0, in that order. Ranges are numbered in parallel; one count per range reaches the driver."""
+    """Adds the row's place, from 0, in that order. Runs jobs while the plan is made: ranges are written, then numbered in parallel; one count per range reaches the driver."""
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = stored(df.repartitionByRange(n, order).withColumn("_range", F.spark_partition_id()))

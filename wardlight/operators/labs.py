@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.dates import clock_time, parse_wall_clock
+from ..functions.dates import as_wall_clock, clock_time
+from .nested import DATES
 
 #: An exam's own columns, in order.
 EXAM = ["PATID", "EVTID", "ELTID", "BIOL_ID", "DATEXAM", "SEJUM", "SEJUF", "PATBD", "PATAGE", "PATSEX", "CSTE_LABO"]
@@ -29,7 +30,8 @@ def from_list(exams: DataFrame, list_col: str) -> DataFrame:
 
 def results_of(exams: DataFrame, id_col: str = "BIOL_ID") -> DataFrame:
     """A row per result with the exam's columns; exams without results go. A result's column named like the exam's gets _RESULT."""
-    own = [F.col(id_col if c == "BIOL_ID" else c).cast("string").alias(c) if (id_col if c == "BIOL_ID" else c) in exams.columns else F.lit(None).cast("string").alias(c) for c in EXAM]
+    typed = {f.name for f in exams.schema if f.name == "DATEXAM" and isinstance(f.dataType, DATES)}
+    own = [(F.col(c) if c in typed else F.col(id_col if c == "BIOL_ID" else c).cast("string")).alias(c) if (id_col if c == "BIOL_ID" else c) in exams.columns else F.lit(None).cast("string").alias(c) for c in EXAM]
     fields = exams.schema["RESULTATS"].dataType.elementType.names
     taken = {c.lower() for c in EXAM} | {"heure_datexam"}
     names = [f"{f}_RESULT" if f.lower() in taken else f for f in fields]
@@ -43,5 +45,5 @@ def lab_table(exams: DataFrame, zone: str | None = None, id_col: str = "BIOL_ID"
     rows = results_of(exams, id_col) if is_nested(exams) else exams
     if not had_date:
         return rows
-    ts = parse_wall_clock(F.col("DATEXAM"), zone)
+    ts = as_wall_clock(F.col("DATEXAM"), rows.schema["DATEXAM"].dataType, zone)
     return rows.withColumns({"DATEXAM": ts, "HEURE_DATEXAM": clock_time(ts, F.col("DATEXAM"))})

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def flatten(df: DataFrame, collapse: str | None = None, widen: dict[str, int] | None = None) -> DataFrame:
+DATES = (T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def flatten(df: DataFrame, collapse: str | None = None, widen: dict[str, int] | None = None, dates: tuple[str, ...] = ()) -> DataFrame:
     """One column per leaf, named by its path with dots, as text; arrays of structs stay as they are.
 
     Arrays of scalars stay arrays of text; collapse joins them by that separator; widen names, per path, into how many
-    columns X1..Xn (X if n is 1) an array is spread instead. Of names that differ in case alone the first stays.
+    columns X1..Xn (X if n is 1) an array is spread instead. Columns named in dates stay what they are if they are dates or timestamps. Of names that differ in case alone the first stays.
     """
     out: dict[str, Column] = {}
 
@@ -29,6 +32,8 @@ def flatten(df: DataFrame, collapse: str | None = None, widen: dict[str, int] |
                 put(path, F.array_join(texts, collapse) if collapse is not None else texts)
         elif isinstance(kind, (T.ArrayType, T.MapType, T.VariantType)):
             put(path, column)
+        elif path in dates and isinstance(kind, DATES):
+            put(path, column)
         else:
             put(path, column.cast("string"))
 

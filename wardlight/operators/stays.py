@@ -8,15 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.dates import clock_time, parse_wall_clock
+from ..functions.dates import as_wall_clock, clock_time
 from ..functions.text import has_digit, token_code, token_kind
 from .acts import VALUES, paired_columns, unpivot
-from .columns import containing, ending, pick
+from .columns import containing, ending, pick, quoted
 from .nested import flatten
 
 #: The columns of the stay table and the identifying columns of a procedure, in order.
 MAIN = ["PATID", "EVTID", "ELTID", "DATENT", "HEURE_DATENT", "DATSORT", "HEURE_DATSORT", "PATBD", "PATAGE", "PATSEX", "SEJDUR", "MODEENT", "MODESORT", "PMSISTATUT", "SEJUM", "SEJUF", "GHM", "SEVERITE", "SRC"]
 ACT_IDS = ["PATID", "EVTID", "ELTID", "PATBD", "PATAGE", "PATSEX", "DATENT", "HEURE_DATENT", "DATSORT", "HEURE_DATSORT", "SEJDUR", "SEJUM", "SEJUF"]
+RAW_TIMES = ["DATENT", "DATSORT"]
 TIMES = ["DATENT", "HEURE_DATENT", "DATSORT", "HEURE_DATSORT"]
 
 
@@ -29,11 +30,11 @@ class StayTables:
 
 def prepare(stays: DataFrame, zone: str | None = None, collapse: str | None = None) -> DataFrame:
     """Flat rows with typed core columns: absent ones are NULL, so plans don't depend on the payload's shape."""
-    flat = flatten(stays, collapse)
+    flat = flatten(stays, collapse, dates=tuple(RAW_TIMES))
     core = dict.fromkeys([*MAIN, *ACT_IDS, "DALL"])
-    here = {c: F.col(f"`{c}`") for c in flat.columns}
-    raw = {k: here.get(k, F.lit(None).cast("string")) for k in ("DATENT", "DATSORT")}
-    parsed = {k: parse_wall_clock(v, zone) for k, v in raw.items()}
+    here = {c: quoted(c) for c in flat.columns}
+    raw = {k: here.get(k, F.lit(None).cast("string")) for k in RAW_TIMES}
+    parsed = {k: as_wall_clock(v, flat.schema[k].dataType if k in here else T.StringType(), zone) for k, v in raw.items()}
     made = parsed | {f"HEURE_{k}": clock_time(parsed[k], raw[k]) for k in raw}
     columns = [made[c].alias(c) if c in made else here[c].alias(c) if c in here else F.lit(None).cast("string").alias(c) for c in core]
     return flat.select(*columns, *[here[c].alias(c) for c in here if c not in core])
@@ -55,9 +56,12 @@ def act_table(prepared: DataFrame, pairing: str = "suffix") -> DataFrame:
 
 
 def diagnosis_table(prepared: DataFrame, tokens: str = "DALL") -> DataFrame:
-    """A row per token with a digit; repeated stays repeat."""
-    ids = [c for c in ending(prepared, "ID") if c != tokens]
-    return diagnoses(prepared.select(*ids, *TIMES, tokens), tokens)
+    """A row per token with a digit; repeated stays repeat. An array of texts counts as their joined text."""
+    ids = [quoted(c) for c in ending(prepared, "ID") if c != tokens]
+    own = quoted(tokens)
+    if isinstance(prepared.schema[tokens].dataType, T.ArrayType):
+        own = F.array_join(own, " ").alias(tokens)
+    return diagnoses(prepared.select(*ids, *TIMES, own), tokens)
 
 
 def diagnoses(rows: DataFrame, tokens: str) -> DataFrame:

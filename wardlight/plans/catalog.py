@@ -14,7 +14,6 @@ from ..functions.dates import clock_time, parse_wall_clock
 from ..functions.text import id_list, is_id_list, is_limit_message
 from ..operators import batches, columns, documents, labs, links, nested, stays
 from ..operators.acts import unpivot
-from .windows import bounds_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -76,21 +75,37 @@ SELECT o_custkey, period_start::VARCHAR AS period_start, least((coalesce(lead(pe
 
 
 def act_unpivot(spark, sf_dir):
-    of = lambda c, k: F.max(F.when(F.col("l_linenumber") == k, F.col(c).cast("string")))
-    wide = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(*[of(c, k).alias(f"{v}{k}") for k in (1, 2) for v, c in (("CODEACTE", "l_partkey"), ("UFPRO", "l_suppkey"))])
-    return unpivot(wide, ["l_orderkey"], ["CODEACTE", "UFPRO"]).distinct()
+    """Lines of an order by number, one to seven; lines that share a number stand in one array."""
+    lines = _t(spark, sf_dir, "lineitem")
+    line = F.struct(F.col("l_partkey").cast("string").alias("p"), F.col("l_suppkey").cast("string").alias("s"))
+    of = lambda k: F.sort_array(F.collect_list(F.when(F.col("l_linenumber") == k, line)))
+    listed = lines.groupBy("l_orderkey").agg(*[of(k).alias(f"x{k}") for k in range(1, 8)])
+    wide = listed.select("l_orderkey", *[F.col(f"x{k}.{c}").alias(f"{v}{k}") for k in range(1, 8) for v, c in (("CODEACTE", "p"), ("UFPRO", "s"))])
+    return unpivot(wide, ["l_orderkey"], ["CODEACTE", "UFPRO"])
 
 
 ACT_UNPIVOT = """
-SELECT DISTINCT l_orderkey, CODEACTE, UFPRO FROM (
-    SELECT l_orderkey, l_linenumber, max(l_partkey::VARCHAR) AS "CODEACTE", max(l_suppkey::VARCHAR) AS "UFPRO" FROM (SELECT * FROM lineitem WHERE l_linenumber IN (1, 2)) GROUP BY 1, 2)
-WHERE coalesce(CODEACTE, UFPRO) IS NOT NULL
+SELECT l_orderkey, l_partkey::VARCHAR AS "CODEACTE", l_suppkey::VARCHAR AS "UFPRO" FROM lineitem WHERE coalesce(l_partkey, l_suppkey) IS NOT NULL
+"""
+
+
+def act_arrays(spark, sf_dir):
+    """Stays of orders whose acts are arrays below a path, through the stay tables."""
+    line = F.struct(F.col("l_partkey").cast("string").alias("CODEACTE"), F.col("l_shipdate").cast("date").cast("string").alias("DATEACTE"), F.col("l_suppkey").cast("string").alias("UFPRO"))
+    lists = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("PATID")).agg(F.collect_list(line).alias("x"))
+    stay = lists.select("PATID", F.struct(*[F.col(f"x.{c}").alias(c) for c in ("CODEACTE", "DATEACTE", "UFPRO")]).alias("sejour"))
+    return stays.act_table(stays.prepare(stay)).select("PATID", "CODEACTE", "DATEACTE", "UFPRO")
+
+
+ACT_ARRAYS = """
+SELECT DISTINCT l_orderkey::VARCHAR AS "PATID", l_partkey::VARCHAR AS "CODEACTE", strftime(l_shipdate, '%Y-%m-%d') AS "DATEACTE", l_suppkey::VARCHAR AS "UFPRO" FROM lineitem
 """
 
 
 def lab_results(spark, sf_dir):
+    """A user's events in arrays of bounded size: one per user and bucket of event ids, so that no user is one row."""
     result = F.struct(F.col("event_type").alias("ANALYTE"), F.col("value").alias("VALEUR"), F.col("event_id").alias("NUM"))
-    exams = _t(spark, sf_dir, "events").groupBy(F.col("user_id").alias("PATID")).agg(F.collect_list(result).alias("RESULTATS"))
+    exams = _t(spark, sf_dir, "events").groupBy(F.col("user_id").alias("PATID"), F.floor(F.col("event_id") / 1000).alias("bucket")).agg(F.collect_list(result).alias("RESULTATS"))
     return labs.results_of(exams).select("PATID", "ANALYTE", F.col("VALEUR").cast("double").alias("valeur"), "NUM")
 
 
@@ -192,12 +207,7 @@ def range_bounds(spark, sf_dir):
     d = F.col("o_orderdate").cast("date")
     orders = _t(spark, sf_dir, "orders")
 
-    def holds(text: str):
-        b = bounds_of(text)
-        low = F.lit(True) if b.low is None else (d > F.lit(b.low) if b.strict else d >= F.lit(b.low))
-        return low & (F.lit(True) if b.high is None else (d < F.lit(b.high) if b.strict else d <= F.lit(b.high)))
-
-    tagged = orders.select("o_orderstatus", F.explode(F.filter(F.array(*[F.when(holds(t), F.lit(t)) for t in BOUNDS]), lambda x: x.isNotNull())).alias("bounds"))
+    tagged = orders.select("o_orderstatus", F.explode(F.filter(F.array(*[F.when(batches.within(d, t), F.lit(t)) for t in BOUNDS]), lambda x: x.isNotNull())).alias("bounds"))
     return tagged.groupBy("bounds", "o_orderstatus").agg(F.count("*").alias("n"))
 
 
@@ -239,14 +249,14 @@ JSON_FLATTEN = "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k
 def id_key_pick(spark, sf_dir):
     k = F.col("o_orderkey")
     rows = _t(spark, sf_dir, "orders").select(k, F.when(k % 3 == 0, k).alias("ELTID"), F.when(k % 2 == 0, F.col("o_custkey")).alias("EVTID"), F.lit(7).cast("long").alias("PATID"))
-    return rows.select("o_orderkey", F.coalesce("ELTID", "EVTID", "PATID").alias("id"))
+    return rows.select("o_orderkey", batches.most_specific_id(rows.columns).alias("id"))
 
 
 ID_KEY_PICK = "SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END, 7) AS id FROM orders"
 
 
 def queries() -> dict[str, Query]:
-    found = [diag_tokens, parse_dates, order_periods, act_unpivot, lab_results, time_batches, stay_main, stack_missing, id_triplets, id_split, id_chunks, id_semi, range_bounds, limit_errors, out_units, json_flatten, id_key_pick]
+    found = [diag_tokens, parse_dates, order_periods, act_unpivot, act_arrays, lab_results, time_batches, stay_main, stack_missing, id_triplets, id_split, id_chunks, id_semi, range_bounds, limit_errors, out_units, json_flatten, id_key_pick]
     return {f.__name__: f for f in found}
 
 

@@ -8,7 +8,7 @@ from dataclasses import asdict, dataclass, field
 from datetime import date
 
 from ..functions.text import LIMIT_WORDS, looks_like_id_list, split_ids
-from .windows import TIME_KEYS, NoWindow, periods, window_of
+from .windows import TIME_KEYS, Bounds, NoWindow, bounds_of, periods, window_of
 
 #: Identifiers from the most to the least specific.
 ID_KEYS = ("ELTID", "EVTID", "PATID")
@@ -72,12 +72,14 @@ def without_broader_ids(query: dict, key: str | None) -> dict:
 
 @dataclass(frozen=True)
 class Batch:
-    """One unit of work of a task: a query as it is, one period of it, or one chunk of ids."""
+    """One unit of work of a task: a query as it is (with the periods that take its place if it asks too much), one period of
+    it, or one chunk of ids."""
 
     kind: str
     query: dict
     ids: tuple[str, ...] = ()
-    value: str | None = None  # what the backend has already answered, as JSON
+    periods: tuple[str, ...] = ()
+    missing: str | None = None  # why there are no periods
 
 
 @dataclass(frozen=True)
@@ -98,49 +100,45 @@ def resolve_mode(request: Request) -> tuple[str, str | None]:
     return "time", None
 
 
+def overlap_of(request: Request, mode: str) -> int:
+    """Days by which its periods overlap."""
+    return request.overlap_days if request.overlap_days is not None else int(mode == "time" and request.kind == "idtriplets")
+
+
 def fallback_periods(request: Request, mode: str) -> list[str]:
     """Texts of the periods of the request's window; no window is an error."""
     key = request.time_key or TIME_KEYS[request.module]
     start, end = window_of(request.module, request.query, key, request.start, request.end)
-    overlap = request.overlap_days if request.overlap_days is not None else int(mode == "time" and request.kind == "idtriplets")
-    return [p.text for p in periods(start, end, request.step, ",", request.prefix, request.suffix, request.end_inclusive, overlap)]
+    return [p.text for p in periods(start, end, request.step, ",", request.prefix, request.suffix, request.end_inclusive, overlap_of(request, mode))]
+
 
+def strict_bounds(query: dict) -> dict[str, Bounds]:
+    """Dates with a strict bound. Periods are closed, so what they return is held against these once more."""
+    return {k: b for k, v in query.items() if (b := bounds_of(v)).strict}
 
-def plan(request: Request, call=None) -> Plan:
-    """Cuts a request. call(module, kind, query) -> Outcome is asked once, on the driver, where a single call may do."""
-    from ..sources.protocol import FetchError, is_limit
 
+def plan(request: Request) -> Plan:
+    """Cuts a request into batches without asking the backend: a single call is a batch of its own, cut in its task if it must be."""
     mode, id_key = resolve_mode(request)
     time_key = request.time_key or TIME_KEYS[request.module]
     made = lambda *batches: Plan(request, mode, time_key, id_key, tuple(batches))
+    # An explicit window bounds every call, also by ids.
+    window = {time_key: f"{request.prefix}{request.start.isoformat()},{request.end.isoformat()}{request.suffix}"} if request.start and request.end else {}
     if mode == "ids":
         if id_key is None or request.query.get(id_key) is None:
             raise ValueError("fetching by ids needs an identifier in the query")
         ids = tuple(dict.fromkeys(split_ids(request.query[id_key])))
         if not ids:
             raise ValueError(f"no ids in {id_key}")
-        base = without_broader_ids(request.query, id_key)
+        base = {k: v for k, v in without_broader_ids(request.query, id_key).items() if k != id_key} | window
         return made(*[Batch("ids", base, ids[i : i + request.max_ids]) for i in range(0, len(ids), request.max_ids)])
     if request.module == "pmsi" and "RECDATE" in request.query:
         warnings.warn("stays have no RECDATE; use DATENT or DATSORT", stacklevel=2)
-    # An explicit window bounds the single call as well.
-    query = dict(request.query)
-    if request.start and request.end:
-        query[time_key] = f"{request.prefix}{request.start.isoformat()},{request.end.isoformat()}{request.suffix}"
+    query = request.query | window
     try:
         texts = fallback_periods(request, mode)
     except NoWindow as missing:
-        if call is None:
-            return made(Batch("single", query))
-        got = call(request.module, request.kind, query)
-        if not got.ok:
-            raise FetchError(f"missing_time_window: {missing}; the single call failed: {got.error}") from missing
-        return made(Batch("single", query, value=json.dumps(got.value)))
-    single_first = request.single_first if request.single_first is not None else request.mode != "time"
-    if single_first and call is not None:
-        got = call(request.module, request.kind, query)
-        if got.ok:
-            return made(Batch("single", query, value=json.dumps(got.value)))
-        if not is_limit(got.error, request.limit_pattern):
-            raise FetchError(f"single_call_failed: {got.error}")
+        return made(Batch("single", query, missing=str(missing)))
+    if request.single_first if request.single_first is not None else request.mode != "time":
+        return made(Batch("single", query, periods=tuple(texts)))
     return made(*[Batch("period", query | {time_key: text}) for text in texts])

@@ -3,21 +3,22 @@
 from __future__ import annotations
 
 import json
-from dataclasses import asdict
-from functools import partial
+from dataclasses import asdict, replace
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..plans.requests import Batch, Plan, Request, plan
-from .protocol import Audit, ask, carry_out, load_transport
+from .protocol import Audit, carry_out, load_transport
 
-SCHEMA = "tag string, batch int, payload string, module string, batch_ids_key string, n_in int, ok boolean, n_out int, reason string, error string"
+SCHEMA = "tag string, batch int, part int, payload string, module string, batch_ids_key string, n_in int, ok boolean, n_out int, reason string, error string"
 
 
 class BatchPartition(InputPartition):
     def __init__(self, number: int, batch: Batch, whole: Plan):
         super().__init__(number)
-        self.batch, self.whole = batch, Plan(whole.request, whole.mode, whole.time_key, whole.id_key, ())
+        # A partition carries its own ids only.
+        request = replace(whole.request, query={k: v for k, v in whole.request.query.items() if k != whole.id_key})
+        self.batch, self.whole = batch, Plan(request, whole.mode, whole.time_key, whole.id_key, ())
 
 
 class BackendReader(DataSourceReader):
@@ -27,19 +28,21 @@ class BackendReader(DataSourceReader):
         self.count = options.get("count")
 
     def partitions(self):
-        whole = plan(self.request, partial(ask, load_transport(self.path, self.settings)))
+        whole = plan(self.request)
         return [BatchPartition(k, b, whole) for k, b in enumerate(whole.batches)]
 
     def read(self, partition: BatchPartition):
         transport = load_transport(self.path, self.settings)
         count = load_transport(self.count) if self.count else None
         module, key = self.request.module, partition.whole.id_key
+        part = 0  # of a batch: the calls that were answered, one after the other
         for found in carry_out(partition.batch, partition.whole, transport, count):
             if isinstance(found, Audit):
                 a = asdict(found)
-                yield ("audit", partition.value, None, module, key, a["n_in"], a["ok"], a["n_out"], a["reason"], a["error"])
+                yield ("audit", partition.value, part, None, module, key, a["n_in"], a["ok"], a["n_out"], a["reason"], a["error"])
+                part += 1
             else:
-                yield ("row", partition.value, json.dumps(found), module, key, None, None, None, None, None)
+                yield ("row", partition.value, part, json.dumps(found, sort_keys=True), module, key, None, None, None, None, None)
 
 
 class BackendSource(DataSource):

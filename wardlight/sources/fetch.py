@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators.labs import lab_table
 from ..operators.links import triplets
 from ..operators.stays import StayTables, stay_tables
-from ..plans.requests import Request
+from ..plans.requests import Request, overlap_of, resolve_mode
 from .datasource import BackendSource
 from .protocol import FetchError
 from .storage import stored
@@ -22,6 +22,16 @@ AUDIT = ["module", "batch_ids_key", "n_in", "ok", "n_out", "reason", "error"]
 TRIPLETS = "eltExt array<string>, eltId array<string>, evtId array<string>, patId array<string>"
 
 
+#: Reasons for which there is nothing to return.
+FATAL = ("missing_time_window", "single_call_failed")
+
+
+def overlapping(request: Request) -> bool:
+    """Whether its periods share days."""
+    mode, _ = resolve_mode(request)
+    return overlap_of(request, mode) > 0 or not request.end_inclusive
+
+
 @dataclass(frozen=True)
 class Fetched:
     request: Request
@@ -48,12 +58,16 @@ def fetch(spark: SparkSession, request: Request, transport: str, transport_optio
     """Carries the request out, batch by batch on the executors, and writes what came back once.
 
     The tagged scan goes to the checkpoint folder, so that rows and audit are read from there: no batch is asked again,
-    however many tables are made of it. Failed batches raise, warn or only stand in the audit, as the request says.
+    however many tables are made of it. Failed batches raise, warn or only stand in the audit, as the request says; a
+    single call that failed, or was too large and has no window to be cut by, raises always. A single call and the periods
+    that take its place are one task; mode "time" deals the periods out.
     """
     spark.dataSource.register(BackendSource)
     reader = spark.read.format("ward_backend").option("request", request.to_json()).option("transport", transport).option("transport_options", json.dumps(transport_options or {}))
     scan = stored((reader.option("count", count) if count else reader).load())
-    audit = scan.where("tag = 'audit'").orderBy("batch").select(*AUDIT)
+    audit = scan.where("tag = 'audit'").orderBy("batch", "part").select(*AUDIT)
+    if fatal := scan.where(F.col("reason").isin(*FATAL)).first():
+        raise FetchError(f"{fatal['reason']}: {fatal['error']}")
     if request.on_failure != "audit":
         bad = scan.where("tag = 'audit' AND (NOT ok OR reason = 'partial')").agg(F.count("*"), F.min("error")).first()
         if bad[0]:
@@ -61,4 +75,9 @@ def fetch(spark: SparkSession, request: Request, transport: str, transport_optio
             if request.on_failure == "raise":
                 raise FetchError(text)
             warnings.warn(text, stacklevel=2)
-    return Fetched(request, scan.where("tag = 'row'").select("payload"), audit)
+    rows = scan.where("tag = 'row'")
+    if overlapping(request):
+        # The same source row comes with each window that holds it; as often as it comes with one of them, it stays.
+        times = rows.groupBy("payload", "batch", "part").agg(F.count("*").alias("n")).groupBy("payload").agg(F.max("n").alias("n"))
+        rows = times.select("payload", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    return Fetched(request, rows.select("payload"), audit)

@@ -7,11 +7,12 @@ import json
 import logging
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from datetime import date
 from typing import Protocol
 
 from ..functions.text import limit_message
 from ..operators.documents import document_rows, out_units
-from ..plans.requests import Batch, Plan, fallback_periods, query_json
+from ..plans.requests import Batch, Plan, Request, fallback_periods, query_json, strict_bounds
 from ..plans.windows import NoWindow
 
 log = logging.getLogger("wardlight.fetch")
@@ -69,20 +70,47 @@ class Audit:
 Counter = Callable[[object], int]
 
 
-def records(module: str, kind: str, value: object) -> list:
-    """Rows of an answer; documents come in several wrappings, exams may be a record of records."""
+def records(module: str, kind: str, value: object) -> list | None:
+    """Rows of an answer; documents come in several wrappings, exams may be a record of records. None if it is no table."""
     if value is None:
         return []
     if module == "doceds" and kind == "data":
-        rows = document_rows(value)
-        if rows is None:
-            log.warning("a batch that is no table was dropped")
-        return rows or []
+        return document_rows(value)
     if isinstance(value, dict):
         if kind == "idtriplets":
             return [value]
         return [v | {"BIOL_ID": k} if module == "biol" and isinstance(v, dict) else v for k, v in value.items() if v is not None]
-    return [v for v in value if v is not None]
+    return [v for v in value if v is not None] if isinstance(value, (list, tuple)) else None
+
+
+def _day(row: object, key: str) -> date | None:
+    try:
+        return date.fromisoformat(str(row[key])[:10])
+    except (KeyError, TypeError, ValueError):
+        return None
+
+
+def answered(request: Request, value: object) -> list | None:
+    """Rows of an answer that lie in the strict bounds of the request; rows without such a date stay."""
+    rows, strict = records(request.module, request.kind, value), strict_bounds(request.query)
+    if not rows or not strict:
+        return rows
+    return [r for r in rows if all((day := _day(r, k)) is None or b.holds(day) for k, b in strict.items())]
+
+
+#: The audit's reason for an answer that was dropped.
+DROPPED = "not_a_table"
+
+
+def _told(request: Request, n_in: int, value: object, n_out: int | None, reason: str = "ok", error: str | None = None) -> Iterator[object]:
+    """The rows of an answer and its audit; an answer that is no table is dropped, and the audit says so."""
+    rows = answered(request, value)
+    if rows is None:
+        log.warning("a batch that is no table was dropped")
+        yield Audit(n_in, False, 0, DROPPED, "the answer was no table")
+        return
+    yield from rows
+    yield Audit(n_in, True, n_out, reason, error)
 
 
 def carry_out(batch: Batch, plan: Plan, transport: Transport, count: Counter | None = None) -> Iterator[object]:
@@ -92,13 +120,20 @@ def carry_out(batch: Batch, plan: Plan, transport: Transport, count: Counter | N
     if batch.kind == "ids":
         yield from _carry_out_ids(batch, plan, transport, units)
         return
-    got = Outcome(True, json.loads(batch.value)) if batch.value is not None else ask(transport, request.module, request.kind, batch.query)
+    got = ask(transport, request.module, request.kind, batch.query)
     log.info("batch %s: %s", batch.query.get(plan.time_key), "ok" if got.ok else got.error)
-    if not got.ok:
-        yield Audit(1, False, None, "limit_error" if is_limit(got.error, request.limit_pattern) else "backend_error", got.error)
-        return
-    yield from records(request.module, request.kind, got.value)
-    yield Audit(1, True, units(got.value), "ok")
+    limit = not got.ok and is_limit(got.error, request.limit_pattern)
+    if got.ok:
+        yield from _told(request, 1, got.value, units(got.value))
+    elif batch.missing:
+        yield Audit(1, False, None, "missing_time_window", f"{batch.missing}; the single call failed: {got.error}")
+    elif batch.kind == "single" and limit:
+        for text in batch.periods:
+            yield from carry_out(Batch("period", batch.query | {plan.time_key: text}), plan, transport, count)
+    elif batch.kind == "single":
+        yield Audit(1, False, None, "single_call_failed", got.error)
+    else:
+        yield Audit(1, False, None, "limit_error" if limit else "backend_error", got.error)
 
 
 def _carry_out_ids(batch: Batch, plan: Plan, transport: Transport, units: Counter) -> Iterator[object]:
@@ -115,8 +150,7 @@ def _carry_out_ids(batch: Batch, plan: Plan, transport: Transport, units: Counte
             todo += [ids[half:], ids[:half]]
             continue
         if got.ok:
-            yield from records(request.module, request.kind, got.value)
-            yield Audit(len(ids), True, n_out, "ok")
+            yield from _told(request, len(ids), got.value, n_out)
             continue
         limit = is_limit(got.error, request.limit_pattern)
         if limit and request.time_fallback:
@@ -125,7 +159,7 @@ def _carry_out_ids(batch: Batch, plan: Plan, transport: Transport, units: Counte
             except (NoWindow, ValueError):
                 texts = []
             parts = [ask(transport, request.module, request.kind, query | {plan.time_key: text}) for text in texts]
-            rows = [r for p in parts if p.ok for r in records(request.module, request.kind, p.value)]
+            rows = [r for p in parts if p.ok for r in answered(request, p.value) or []]
             if rows:
                 failed = [p.error for p in parts if not p.ok]
                 yield from rows

@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.labs import lab_table
 from ..operators.stays import diagnosis_table, prepare
 
 
@@ -23,15 +21,6 @@ def diagnosis_stream(stays: DataFrame) -> DataFrame:
     return diagnosis_table(prepare(stays))
 
 
-def lab_stream(exams: DataFrame) -> DataFrame:
-    return lab_table(exams)
-
-
-def daily_counts(rows: DataFrame, arrived: str, by: str, delay: str = "1 day") -> DataFrame:
-    """Rows per day of arrival and value, complete once the watermark has passed the day."""
-    return rows.withWatermark(arrived, delay).groupBy(F.window(arrived, "1 day"), by).agg(F.count("*").alias("n"))
-
-
 def write_available(rows: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     """Takes what is there, in bounded micro-batches, and stops; the checkpoint makes the next run go on from it."""
     return rows.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
