@@ -5,7 +5,11 @@ that carry that language. A document is kept if its base counts pass and if, for
 Jensen-Shannon distances (base 2, from 0 to 1) are within the limits. Histograms of too little text are not
 compared (minimum-length guards), so short texts face the base counts alone.
 
-One pass over the texts: counts go to the checkpoint folder (about 400 bytes a document), references are
+Common words are counted, not listed: the COMMON most frequent words of each language, lower-cased, over all its
+documents. Each of them is a bin of every word histogram; what is none of them falls in the rest bin. As many rows as
+languages times COMMON reach the driver.
+
+Two passes over the texts: words are counted; then counts go to the checkpoint folder (about 400 bytes a document), references are
 summed from there, and the verdict is computed from the same rows. Every language that has words becomes a
 reference, however small its share is; all of them are one row (about 1 KB a language), broadcast behind a count
 (`MOST_SENT`). Without any reference no document is judged too far.
@@ -17,6 +21,7 @@ ids are judged one by one; an empty table gives an empty result. Other columns a
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -24,14 +29,10 @@ from .common import cut
 BLANKS = "[\\x20\\x09-\\x0D]"
 SYMBOLS = "#*$%&|<>"
 
-#: Frequent function words of four languages; one histogram bin each.
-COMMON_WORDS = (
-    "the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which".split()
-    + "le la les de des du un une et est que qui dans pour pas sur au avec il elle en par ne se ce plus".split()
-    + "der die das und den dem ein eine nicht ist von zu mit sich auf für als auch es".split()
-    + "el los las y del que se no por con una su para lo al como más o".split()
-)
-WORD_BINS = list(dict.fromkeys(COMMON_WORDS))
+#: Most frequent words of a language that get a bin each.
+COMMON = 25
+#: Letters that stand for bins while a text's words are counted.
+_LETTERS = [chr(c) for c in range(0x21, 0x7F)] + [chr(c) for c in range(0xA1, 0xD800)]
 
 #: Character classes of what is not blank, each with the pattern that counts it; the last bin is the rest.
 CHAR_CLASSES = {
@@ -60,33 +61,53 @@ def _repeat_words(words: str, windows: str) -> tuple[Column, Column]:
     return hashes, placed
 
 
-def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
+def _words(text: Column) -> Column:
+    trimmed = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, BLANKS + "+"))
+
+
+def common_words(docs: DataFrame, text_col: str = "text", lang_col: str | None = "lang", most: int = COMMON) -> list[str]:
+    """The most frequent words of each language, once each; of equally frequent ones the first by code points."""
+    if not lang_col:
+        return []
+    words = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.explode(_words(F.lower(text_col))).alias("word"))
+    place = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    counted = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
+    found = counted.withColumn("place", place).where(F.col("place") <= most).select("word").distinct().orderBy("word").collect()
+    if len(found) > len(_LETTERS):
+        raise ValueError(f"{len(found)} common words of all languages together; {len(_LETTERS)} can be told apart, so take fewer of each")
+    return [r["word"] for r in found]
+
+
+def text_counts(docs: DataFrame, common: list[str], id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
     """Base counts and both histograms of each document, in one narrow pass without Python."""
     lang = F.col(lang_col).cast("string") if lang_col else F.lit("")
     out = docs.select(F.col(id_col).alias("doc_id"), lang.alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    trimmed = F.btrim("text", F.lit(" \t\n\x0b\x0c\r"))
-    out = out.withColumn("words", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, BLANKS + "+")))
+    out = out.withColumn("words", _words(F.col("text")))
     out = out.withColumn("lines", F.expr(f"filter(split(text, '\\n', -1), l -> l rlike '[^\\\\x20\\\\x09-\\\\x0D]')"))
     out = out.select("doc_id", "lang", "words", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"))
 
     hashes, placed = _repeat_words("words", "windows")
-    common = ", ".join(f"'{w}'" for w in WORD_BINS)
+    listed = F.array(*[F.lit(w) for w in common]).cast("array<string>")
+    letters = F.array(*[F.lit(x) for x in _LETTERS[: len(common)]]).cast("array<string>")
+    letter = lambda w: F.get(letters, (F.array_position(listed, w) - 1).cast("int"))
+    low = F.filter(F.transform("words", lambda w: F.lower(w)), lambda w: w.isin(*common) if common else F.lit(False))
     out = out.withColumns({
         "solid": F.array_join("words", ""),
         "windows": hashes,
         # Each common word becomes one letter of a code, so that counting a bin is a plain string function.
-        "code": F.expr(f"array_join(transform(filter(words, w -> lower(w) IN ({common})), w -> chr(32 + array_position(array({common}), lower(w)))), '')"),
+        "code": F.array_join(F.transform(low, letter), ""),
     })
     out = out.select("doc_id", "lang", F.size("words").cast("long").alias("n_words"), "n_dup_lines", "solid", "code", placed.alias("placed"))
     twice = F.expr("transform(filter(placed, (x, i) -> (i > 0 AND get(placed, i - 1).h = x.h) OR get(placed, i + 1).h <=> x.h), x -> x.i)")
     classes = [F.regexp_count("solid", F.lit(p)).cast("int") for p in CHAR_CLASSES.values()]
-    bins = [(F.length("code") - F.length(F.replace("code", F.chr(F.lit(33 + i)), F.lit("")))).cast("int") for i in range(len(WORD_BINS))]
+    bins = [(F.length("code") - F.length(F.replace("code", F.lit(x), F.lit("")))).cast("int") for x in _LETTERS[: len(common)]]
     out = out.select(
         "doc_id", "lang", "n_words", "n_dup_lines",
         F.length("solid").cast("long").alias("word_chars"),
         F.array(*classes).alias("classes"),
         (F.col("n_words").cast("int") - F.length("code")).alias("rest_words"),
-        F.array(*bins).alias("bins"),
+        F.array(*bins).cast("array<int>").alias("bins"),
         F.sort_array(twice).alias("twice"),
     )
     covered = F.expr("aggregate(zip_with(twice, slice(twice, 2, greatest(size(twice), 1)), (a, b) -> least(5, coalesce(b - a, 5))), 0L, (s, x) -> s + x)")
@@ -100,9 +121,9 @@ def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def language_references(counts: DataFrame) -> DataFrame:
+def language_references(counts: DataFrame, n_common: int) -> DataFrame:
     """(lang, chars, words): shares of the summed histograms of each language that has words."""
-    chars, words = len(CHAR_CLASSES) + 1, len(WORD_BINS) + 1
+    chars, words = len(CHAR_CLASSES) + 1, n_common + 1
     sums = counts.where("lang IS NOT NULL").groupBy("lang").agg(
         *[F.sum(F.col("char_hist")[i]).alias(f"c{i}") for i in range(chars)],
         *[F.sum(F.col("word_hist")[i]).alias(f"w{i}") for i in range(words)],
@@ -128,10 +149,12 @@ def quality_rules(
     max_word_distance: float = MAX_WORD_DISTANCE,
     min_chars: int = MIN_CHARS,
     min_words: int = MIN_WORDS,
+    n_common: int = COMMON,
 ) -> DataFrame:
     """doc_id, base counts, base_failed, kept, and the least distances (null where too short, or without references)."""
-    counts = cut(text_counts(docs, id_col, text_col, lang_col))
-    refs = language_references(counts)
+    common = common_words(docs, text_col, lang_col, n_common)
+    counts = cut(text_counts(docs, common, id_col, text_col, lang_col))
+    refs = language_references(counts, len(common))
     few = refs.count() <= MOST_SENT
     refs = refs.agg(F.collect_list(F.struct("chars", "words")).alias("refs"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
@@ -154,7 +177,6 @@ def oracle() -> str:
     """The same rows in DuckDB's SQL."""
     chars = [*CHAR_CLASSES, "rest"]
     char_counts = ",\n".join(f"len(regexp_extract_all(t, '{p.replace(chr(39), chr(39) * 2)}')) AS {k}" for k, p in CHAR_CLASSES.items())
-    bins = ", ".join(f"'{w}'" for w in WORD_BINS)
     return f"""
 WITH docs AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS ls FROM documents),
@@ -165,7 +187,9 @@ rep AS (SELECT doc_id, count(DISTINCT j) AS n_repeat_words FROM (SELECT doc_id,
 cls AS (SELECT doc_id, {char_counts} FROM (SELECT doc_id, array_to_string(ws, '') AS t FROM base)),
 chist AS (SELECT doc_id, k, v FROM (SELECT doc_id, unnest([{', '.join(repr(c) for c in chars)}]) AS k,
     unnest([{', '.join(CHAR_CLASSES)}, word_chars - ({' + '.join(CHAR_CLASSES)})]) AS v FROM cls JOIN base USING (doc_id))),
-common AS (SELECT doc_id, w AS k, count(*) AS v FROM (SELECT doc_id, lower(unnest(ws)) AS w FROM base) WHERE w IN ({bins}) GROUP BY ALL),
+lows AS (SELECT doc_id, lang, lower(unnest(ws)) AS w FROM base),
+bins AS (SELECT DISTINCT w FROM (SELECT lang, w, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, w) AS r FROM lows WHERE lang IS NOT NULL GROUP BY lang, w) WHERE r <= {COMMON}),
+common AS (SELECT doc_id, w AS k, count(*) AS v FROM lows SEMI JOIN bins USING (w) GROUP BY ALL),
 whist AS (SELECT doc_id, k, v FROM common UNION ALL SELECT doc_id, '', n_words - coalesce(c, 0) FROM base LEFT JOIN (SELECT doc_id, sum(v) AS c FROM common GROUP BY 1) USING (doc_id)),
 hist AS (SELECT 'c' AS h, * FROM chist UNION ALL SELECT 'w', * FROM whist),
 refs AS (SELECT h, lang, k, sum(v) AS v FROM hist JOIN base USING (doc_id) WHERE lang IS NOT NULL GROUP BY ALL),
