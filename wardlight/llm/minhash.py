@@ -14,8 +14,8 @@ With 40 bands of 6 a pair at similarity 0.8 shares no bucket with a chance of 5e
 
 Rows: null texts and texts without words have the empty set and stand alone. Equal rows share a class; rows that
 repeat one doc_id get one component and are kept or not together. A null doc_id takes no part as representative:
-it gets its class's component, null in a class of null ids. An empty table gives an empty result. Other columns
-are ignored, whatever their names.
+it gets its class's component, null in a class of null ids. Ids are longs, or texts of digits; others fail the job.
+An empty table gives an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -16,7 +16,7 @@ Fingerprints have 64 bits for k and 64 more for r or for a window.
 
 Rows: strings are UTF-8 bytes, matches never cross texts. Null text is empty; texts below `match` bytes stay whole.
 Rows that repeat the id and the text are two documents that equal each other, so what is long enough goes from both.
-Rows that repeat the id alone are told apart by their text; null ids work alike. An empty table gives an empty result.
+Rows that repeat the id alone are told apart by their text; null ids work alike. Ids are longs, or texts of digits; others fail the job. An empty table gives an empty result.
 Other columns are ignored, whatever their names.
 """
 
