@@ -122,6 +122,14 @@ def test_ids_stay_in_the_window():
     assert sorted(r["ELTID"] for r in by_ids) == sorted(r["ELTID"] for r in by_time) == inside
 
 
+def test_broader_ids_are_dropped_or_kept():
+    data = rows(4)
+    q = {"ELTID": ["L1", "L2"], "PATID": "P1"}
+    for drop, want in ((True, ["L1", "L2"]), (False, ["L1"])):
+        got, _ = carried(Request("pmsi", query=q, drop_broader_ids=drop), RowBackend({"rows": data}))
+        assert sorted(r["ELTID"] for r in got) == want
+
+
 def test_strict_bounds_stay_strict():
     data = rows(90)
     q = {"DATENT": ">2024-01-10", "DATSORT": "<2024-03-01"}

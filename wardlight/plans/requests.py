@@ -35,6 +35,7 @@ class Request:
     max_out: int = 40_000
     single_first: bool | None = None
     time_fallback: bool = True
+    drop_broader_ids: bool = True  # when fetching by ids; an id may then come with another broader one than was asked for
     limit_pattern: str = LIMIT_WORDS
     on_failure: str = "warn"
 
@@ -130,7 +131,8 @@ def plan(request: Request) -> Plan:
         ids = tuple(dict.fromkeys(split_ids(request.query[id_key])))
         if not ids:
             raise ValueError(f"no ids in {id_key}")
-        base = {k: v for k, v in without_broader_ids(request.query, id_key).items() if k != id_key} | window
+        query = without_broader_ids(request.query, id_key) if request.drop_broader_ids else request.query
+        base = {k: v for k, v in query.items() if k != id_key} | window
         return made(*[Batch("ids", base, ids[i : i + request.max_ids]) for i in range(0, len(ids), request.max_ids)])
     if request.module == "pmsi" and "RECDATE" in request.query:
         warnings.warn("stays have no RECDATE; use DATENT or DATSORT", stacklevel=2)
