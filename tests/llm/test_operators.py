@@ -222,6 +222,15 @@ def test_minhash_large_buckets(spark, monkeypatch, most_sent):
     assert got == brute_components(rows, 2, 80)
 
 
+def test_minhash_of_long_texts(spark):
+    """Texts beyond the step of 256 KB, near each other and not."""
+    rng = random.Random(8)
+    words = [f"{rng.choice('abcdef')}{i}" for i in range(50_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:45_000])), (3, " ".join(words[:30_000])), (4, " ".join(words[::-1])), (5, None), (6, " ".join(words[:30_000]) + " end")]
+    got = {tuple(r) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()}
+    assert got == brute_components(rows, 2, 80)
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randint(0, 200), rng.randint(0, 200)) for _ in range(120)] + [(i, i + 1) for i in range(1000, 1060)] + [(5, 5)]

@@ -193,6 +193,8 @@ class Tables:
     def drop(self, df: DataFrame) -> None:
         """Deletes a table of keep() that nothing reads any more."""
         if path := getattr(df, "wardlight_path", None):
-            jvm = self.spark._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+            self.delete(path)
+
+    def delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)

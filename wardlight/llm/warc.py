@@ -300,12 +300,17 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Writes all pages as archives in the shared folder and reads them back; fails if not as many records come back."""
-    folder = f"{Tables(pages.sparkSession).root}/archives"
+    """Writes all pages as archives in the shared folder and reads them back; fails if not as many records come back.
+
+    The archives are deleted once their records are read; write_archives and read_archives keep them.
+    """
+    tables = Tables(pages.sparkSession)
+    folder = f"{tables.root}/archives"
     written = write_archives(pages, folder, least_bytes=least_bytes)
     found = cut(read_archives(pages.sparkSession, folder))
     if (n := found.count()) != written:
         raise RuntimeError(f"{written} records were written and {n} read")
+    tables.delete(folder)
     return found
 
 
