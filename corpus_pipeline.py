@@ -102,4 +102,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = tables.keep(stage(spark, docs, sf_dir))
+        tables.drop_all_but(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
