@@ -231,7 +231,7 @@ def near_duplicates(
     if members is not None:
         small, large = sizes.where(F.col("outside") <= OUTSIDE), sizes.where(F.col("outside") > OUTSIDE)
         alone = members.join(dealt_anew(small.select("bucket", "main")), "bucket").where("component <> main").select("bucket", F.col("id").alias("a"), F.col("component").alias("c"))
-        pairs = alone.join(members, "bucket").where("c <> component").select("a", F.col("id").alias("b"))
+        pairs = dealt_anew(alone).join(members, "bucket").where("c <> component").select("a", F.col("id").alias("b"))
         links, _ = tested(pairs, links, stars)
         rest = cut(members.join(dealt_anew(large.select("bucket", "main")), "bucket").select("main", "id", "component").distinct())
         if not rest.isEmpty():
