@@ -164,6 +164,16 @@ def tidied(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
     return own
 
 
+def write_file(spark: SparkSession, path: str, content: bytes) -> None:
+    """Writes a small file from the driver, on any file system that Spark can write; one that is there is replaced."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+
+
 class Tables:
     """Parquet tables in the shared checkpoint folder, for intermediate results that later steps read more than once."""
 

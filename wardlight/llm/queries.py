@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .byte_codec import encode_bytes
 from .common import table
 from .piece_codec import encode_documents
 from . import language_profiles as languages
@@ -17,6 +18,7 @@ from . import suffix_index, topk, toxicity, warc
 
 #: Where the public tokenizers are; a parameter of the operator.
 PIECE_MODEL = "piece_bpe_32k.model"
+BYTE_TOKENIZER = "byte_bpe_50k.json"
 
 
 def piece_model_file() -> str:
@@ -25,6 +27,12 @@ def piece_model_file() -> str:
     return public_tokenizers.path(PIECE_MODEL)
 
 
+def byte_tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(BYTE_TOKENIZER)
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
 
@@ -65,6 +73,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), piece_model_file())
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_bytes(table(spark, sf_dir, "documents"), byte_tokenizer_file())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -77,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_topk": op8_exact_topk,
         "op9_source_mixing": op9_source_mixing,
         "op10_sentencepiece": op10_sentencepiece,
+        "op13_byte_bpe": op13_byte_bpe,
     }
 
 
