@@ -16,6 +16,7 @@ an empty table. Very long words take time n log n. Other columns of the input ar
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import json
@@ -73,6 +74,7 @@ def _classes(pre_tokenizer) -> list[list[tuple[int, int]]]:
     return [ranges([c for c in named if c not in no_letter]), ranges([c for c in named if c not in no_number]), ranges([c for c in named if c in no_letter and c in no_number])]
 
 
+@functools.cache
 def read_vocabulary(tokenizer_file: str) -> dict:
     """Bytes of each id, merges, added tokens and character classes of a byte-level BPE tokenizer; small, so that it can travel with tasks."""
     from tokenizers import Tokenizer
