@@ -11,7 +11,7 @@ from .byte_codec import encode_bytes
 from .common import table
 from .piece_codec import encode_documents
 from . import language_profiles as languages
-from . import minhash, mixing
+from . import minhash, mixing, periodic
 from . import quality_gam
 from . import quality_rules as rules
 from . import suffix_index, topk, toxicity, warc
@@ -73,6 +73,11 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), piece_model_file())
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic.with_planted_runs(table(spark, sf_dir, "documents"))
+    return periodic.run_digests(periodic.find_runs(docs, least_words=6, least_powers=4))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_bytes(table(spark, sf_dir, "documents"), byte_tokenizer_file())
 
@@ -89,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_topk": op8_exact_topk,
         "op9_source_mixing": op9_source_mixing,
         "op10_sentencepiece": op10_sentencepiece,
+        "op12_periodic_runs": op12_periodic_runs,
         "op13_byte_bpe": op13_byte_bpe,
     }
 
@@ -101,4 +107,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_language_id": languages.oracle(),
         "op7_warc_archives": warc.oracle(),
         "op8_exact_topk": topk.oracle(),
+        "op12_periodic_runs": periodic.oracle(),
     }
