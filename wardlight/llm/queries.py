@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .byte_codec import encode_bytes
 from .common import table
 from .piece_codec import encode_documents
+from . import angular
 from . import language_profiles as languages
 from . import minhash, mixing, periodic
 from . import quality_gam
@@ -73,6 +74,11 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), piece_model_file())
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return angular.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label, scale=256, n_positives=5, n_negatives=5, low_percent=80, high_percent=100)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = periodic.with_planted_runs(table(spark, sf_dir, "documents"))
     return periodic.run_digests(periodic.find_runs(docs, least_words=6, least_powers=4))
@@ -94,6 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_topk": op8_exact_topk,
         "op9_source_mixing": op9_source_mixing,
         "op10_sentencepiece": op10_sentencepiece,
+        "op11_hard_negatives": op11_hard_negatives,
         "op12_periodic_runs": op12_periodic_runs,
         "op13_byte_bpe": op13_byte_bpe,
     }
@@ -107,5 +114,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_language_id": languages.oracle(),
         "op7_warc_archives": warc.oracle(),
         "op8_exact_topk": topk.oracle(),
+        "op11_hard_negatives": angular.oracle(),
         "op12_periodic_runs": periodic.oracle(),
     }
