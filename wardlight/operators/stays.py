@@ -10,9 +10,9 @@ from pyspark.sql import types as T
 
 from ..functions.dates import as_wall_clock, clock_time
 from ..functions.text import has_digit, token_code, token_kind
-from .acts import VALUES, paired_columns, unpivot
+from .acts import VALUES, paired_columns, record_columns, unpivot
 from .columns import containing, ending, pick, quoted
-from .nested import flatten
+from .nested import flatten, flatten_json
 
 #: The columns of the stay table and the identifying columns of a procedure, in order.
 MAIN = ["PATID", "EVTID", "ELTID", "DATENT", "HEURE_DATENT", "DATSORT", "HEURE_DATSORT", "PATBD", "PATAGE", "PATSEX", "SEJDUR", "MODEENT", "MODESORT", "PMSISTATUT", "SEJUM", "SEJUF", "GHM", "SEVERITE", "SRC"]
@@ -28,9 +28,9 @@ class StayTables:
     diagnoses: DataFrame
 
 
-def prepare(stays: DataFrame, zone: str | None = None, collapse: str | None = None) -> DataFrame:
-    """Flat rows with typed core columns: absent ones are NULL, so plans don't depend on the payload's shape."""
-    flat = flatten(stays, collapse, dates=tuple(RAW_TIMES))
+def prepare(stays: DataFrame, zone: str | None = None, collapse: str | None = None, widen: dict[str, int] | bool | None = None) -> DataFrame:
+    """Flat rows with typed core columns: absent ones are NULL, so plans don't depend on the payload's shape. widen: as in flatten."""
+    flat = flatten(stays, collapse, widen, dates=tuple(RAW_TIMES))
     core = dict.fromkeys([*MAIN, *ACT_IDS, "DALL"])
     here = {c: quoted(c) for c in flat.columns}
     raw = {k: here.get(k, F.lit(None).cast("string")) for k in RAW_TIMES}
@@ -45,13 +45,12 @@ def main_table(prepared: DataFrame) -> DataFrame:
 
 
 def act_table(prepared: DataFrame, pairing: str = "suffix") -> DataFrame:
-    """Procedures from wide columns, or from an array of structs ACTES; distinct rows. Other columns about acts ride along."""
-    if "ACTES" in prepared.columns and isinstance(prepared.schema["ACTES"].dataType, T.ArrayType):
-        kind = prepared.schema["ACTES"].dataType.elementType
-        rows = F.transform("ACTES", lambda x: F.struct(*[(x.getField(v).cast("string") if v in kind.names else F.lit(None).cast("string")).alias(v) for v in VALUES]))
-        return prepared.select(*ACT_IDS, F.inline(rows)).where(F.coalesce(*VALUES).isNotNull()).distinct()
-    paired = {c for g in paired_columns(prepared.columns, VALUES, pairing) for c in g.values()}
-    riding = [c for c in containing(prepared, "ACTE", "UFPRO", "UFDEM") if c not in paired and c not in ACT_IDS]
+    """Procedures from wide columns, arrays, and arrays or maps of records at any path, side by side; distinct rows.
+
+    Other columns about acts ride along.
+    """
+    used = {c for g in paired_columns(prepared.columns, VALUES, pairing) for c in g.values()} | {*record_columns(prepared.schema), *ACT_IDS}
+    riding = [c for c in containing(prepared, "ACTE", "UFPRO", "UFDEM") if c not in used]
     return unpivot(prepared, [*ACT_IDS, *riding], VALUES, pairing).distinct()
 
 
@@ -69,7 +68,10 @@ def diagnoses(rows: DataFrame, tokens: str) -> DataFrame:
     return token.withColumns({"diag": token_code(F.col(tokens)), "type_diag": token_kind(F.col(tokens))}).drop(tokens)
 
 
-def stay_tables(stays: DataFrame, pairing: str = "suffix", zone: str | None = None, collapse: str | None = None) -> StayTables:
-    """Three lazy tables over one prepared plan; persist the input first if all three are written."""
-    prepared = prepare(stays, zone, collapse)
+def stay_tables(stays: DataFrame, pairing: str = "suffix", zone: str | None = None, collapse: str | None = None, widen: dict[str, int] | bool | None = None, json_col: str | None = None) -> StayTables:
+    """Three lazy tables over one prepared plan; persist the input first if all three are written.
+
+    json_col: where the stays are JSON texts of a column, of any and unlike shapes; their leaves are found in the data.
+    """
+    prepared = prepare(flatten_json(stays, json_col) if json_col else stays, zone, collapse, widen)
     return StayTables(main_table(prepared), act_table(prepared, pairing), diagnosis_table(prepared))

@@ -102,6 +102,49 @@ SELECT DISTINCT l_orderkey::VARCHAR AS "PATID", l_partkey::VARCHAR AS "CODEACTE"
 """
 
 
+def act_paths(spark, sf_dir):
+    """Stays of orders whose acts stand in records at several depths, next to wide columns; through the stay tables.
+
+    Line 1 is wide, 2 and 3 are an array of records, 4 and 5 one below a path, 6 and 7 one inside records of an array.
+    """
+    act = F.struct(F.col("l_partkey").cast("string").alias("CODEACTE"), F.struct(F.col("l_shipdate").cast("date").cast("string").alias("DATEACTE"), F.col("l_linenumber").alias("n")).alias("x"), F.col("l_suppkey").cast("string").alias("UFPRO"))
+    of = lambda a, b: F.collect_list(F.when(F.col("l_linenumber").between(a, b), act))
+    first = F.collect_list(F.when(F.col("l_linenumber") == 1, F.struct(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"))))
+    lists = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("PATID")).agg(first.alias("w"), of(2, 3).alias("ACTES"), of(4, 5).alias("deep"), of(6, 7).alias("inner"))
+    units = F.array(F.struct(F.lit(None).cast(lists.schema["inner"].dataType).alias("ACTES")), F.struct(F.col("inner").alias("ACTES")))
+    stay = lists.select("PATID", F.col("w.p").alias("CODEACTE1"), F.col("w.s").alias("UFPRO1"), "ACTES", F.struct(F.col("deep").alias("ACTES")).alias("sejour"), units.alias("unites"))
+    return stays.act_table(stays.prepare(stay)).select("PATID", "CODEACTE", "UFPRO").distinct()
+
+
+ACT_PATHS = """
+SELECT DISTINCT l_orderkey::VARCHAR AS "PATID", l_partkey::VARCHAR AS "CODEACTE", l_suppkey::VARCHAR AS "UFPRO" FROM lineitem WHERE coalesce(l_partkey, l_suppkey) IS NOT NULL
+"""
+
+
+def json_shapes(spark, sf_dir):
+    """Events as nested JSON texts of four unlike shapes, flattened without a schema."""
+    quoted = lambda c: F.to_json(F.struct(F.col(c).alias("x")))  # noqa: E731  a text with its escapes, as {"x":…}
+    k, props = F.get_json_object("props", "$.k"), F.col("props")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    n, user = F.col("event_id"), F.col("user_id")
+    forms = [
+        text('{"id":', n, ',"by":{"user":', user, ',"parts":[', k, ",", n, ']},"raw":', props, "}"),
+        text('{"id":', n, ',"by":"nobody","tags":["', k, '"]}'),
+        text('{"by":{"user":"u', user, '","parts":[', k, ",", k, ",", user, ']},"kind":', quoted("event_type"), "}"),
+        text('{"id":[', n, '],"list":[{"k":', k, '},{"u":', user, "}]}"),
+    ]
+    json = F.when(n % 4 == 0, forms[0]).when(n % 4 == 1, forms[1]).when(n % 4 == 2, forms[2]).otherwise(forms[3])
+    return nested.flatten_json(_t(spark, sf_dir, "events").select("event_id", json.alias("payload")), "payload")
+
+
+JSON_SHAPES = """
+WITH e AS (SELECT event_id, user_id::VARCHAR AS u, event_type, json_extract_string(props, '$.k') AS k, event_id % 4 AS m, event_id::VARCHAR AS n FROM events)
+SELECT event_id, CASE WHEN m = 1 THEN 'nobody' END AS "by", CASE m WHEN 0 THEN k WHEN 2 THEN k END AS "by.parts1", CASE m WHEN 0 THEN n WHEN 2 THEN k END AS "by.parts2", CASE m WHEN 2 THEN u END AS "by.parts3",
+    CASE m WHEN 0 THEN u WHEN 2 THEN 'u' || u END AS "by.user", CASE WHEN m IN (0, 1, 3) THEN n END AS id, CASE m WHEN 2 THEN event_type END AS "kind.x",
+    CASE m WHEN 3 THEN k END AS "list1.k", NULL::VARCHAR AS "list1.u", NULL::VARCHAR AS "list2.k", CASE m WHEN 3 THEN u END AS "list2.u", CASE m WHEN 0 THEN k END AS "raw.k", CASE m WHEN 1 THEN k END AS tags FROM e
+"""
+
+
 def lab_results(spark, sf_dir):
     """A user's events in arrays of bounded size: one per user and bucket of event ids, so that no user is one row."""
     result = F.struct(F.col("event_type").alias("ANALYTE"), F.col("value").alias("VALEUR"), F.col("event_id").alias("NUM"))
