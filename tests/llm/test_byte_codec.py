@@ -116,3 +116,9 @@ def test_counts_are_whole(spark, docs, vocabulary, monkeypatch):  # noqa: F811
             if len(w.encode()) <= byte_codec.LONGEST:
                 wanted[w] = wanted.get(w, 0) + 1
     assert {r["word"]: r["n"] for r in byte_codec.count_words(docs, vocabulary).collect()} == wanted
+
+
+def test_frequent_words(spark):
+    counts = spark.createDataFrame([("a", 9), ("b", 5), ("c", 5), ("d", 2), ("e", 1)], "word string, n long")
+    got = lambda most: {r["word"] for r in byte_codec.frequent_words(counts, most).collect()}
+    assert [got(k) for k in (0, 1, 2, 3, 4, 9)] == [set(), {"a"}, {"a"}, {"a", "b", "c"}, {"a", "b", "c", "d"}, {"a", "b", "c", "d"}]

@@ -29,9 +29,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpoint_dir, send_fewer_texts, slices, tidied, write_file
+from .common import checkpoint_dir, cut, send_fewer_texts, slices, tidied, write_file
 from .transducer import Transducer, compile_words
 
 #: Words in the lexicon at most, and the bytes of the longest one.
@@ -247,9 +248,21 @@ def count_words(docs: DataFrame, vocabulary: dict, text_col: str = "text", longe
     return told.groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(counts: DataFrame, most: int) -> DataFrame:
+    """The words of (word, n) that come twice or more, from the count on at which `most` words or fewer are left.
+
+    The cutoff comes from a row per distinct count, so no task sorts or hands on all words.
+    """
+    counts = cut(counts.where("n > 1"))
+    by_count = counts.groupBy("n").agg(F.count("*").alias("words"))
+    so_far = F.sum("words").over(W.orderBy(F.desc("n")))
+    least = by_count.withColumn("so_far", so_far).where(F.col("so_far") <= most).agg(F.min("n")).first()[0]
+    return counts.where(F.col("n") >= least) if least is not None else counts.limit(0)
+
+
 def build_lexicon(docs: DataFrame, vocabulary: dict, text_col: str = "text", most: int = LEXICON) -> bytes:
-    """The transducer of the `most` most frequent words; ties go to the smaller word. `most` rows reach the driver."""
-    rows = count_words(docs, vocabulary, text_col).orderBy(F.desc("n"), "word").limit(most).select("word").collect()
+    """The transducer of the most frequent words, `most` at most; so many rows reach the driver."""
+    rows = frequent_words(count_words(docs, vocabulary, text_col), most).select("word").collect()
     codec = Codec(vocabulary)
     return compile_words((w, tuple(codec.merged(w))) for w in sorted(x["word"].encode() for x in rows))
 
