@@ -140,6 +140,90 @@ def test_flatten(spark):
     assert [r.v for r in nested.json_leaves(keys, "j", {"v": "$.a"}).orderBy("i").collect()] == ["1", None, None]
 
 
+def test_flatten_keeps_what_clashes(spark):
+    df = spark.createDataFrame([(("s",), "top", ("low",), "C", ["x", "y"], "one")], "a struct<b:string>, `a.b` string, c struct<d:string>, `C.D` string, S array<string>, S1 string")
+    assert nested.flatten(df).first().asDict() == {"a.b": "s", "a.b_2": "top", "c.d": "low", "C.D_2": "C", "S": ["x", "y"], "S1": "one"}
+    assert nested.flatten(df, widen=True).first().asDict() == {"a.b": "s", "a.b_2": "top", "c.d": "low", "C.D_2": "C", "S1": "x", "S2": "y", "S1_2": "one"}
+
+
+def test_widths_come_from_the_data(spark):
+    df = spark.createDataFrame([("P", (["a"], ["u"]), None), ("Q", (["b", "c", "d"], None), [])], "PATID string, s struct<x:array<string>,y:array<string>>, z array<int>")
+    assert nested.widths(df) == {"s.x": 3, "s.y": 1, "z": 1}
+    wide = nested.flatten(df, widen=True)
+    assert wide.columns == ["PATID", "s.x1", "s.x2", "s.x3", "s.y", "z"]
+    assert sorted(tuple(r) for r in wide.collect()) == [("P", "a", None, None, "u", None), ("Q", "b", "c", "d", None, None)]
+    acts = spark.createDataFrame([("P", ["A", "B"], ["d1", "d2"])], "PATID string, CODEACTE array<string>, DATEACTE array<string>")
+    assert {(r.CODEACTE, r.DATEACTE) for r in stays.stay_tables(acts, widen=True).acts.collect()} == {("A", "d1"), ("B", "d2")}
+    with pytest.raises(ValueError, match="over 5000 columns"):
+        nested.flatten(df, widen={"z": 6000})
+
+
+JSONS = [
+    '{"id":1,"a":{"b":"x","c":[1,2]},"w q":{"e\\u0027f":{"g\\"h":3,"k\\u0027\\"l":4}}}',
+    '{"id":2,"a":"plain","t":["z"]}',
+    '{"a":{"b":1.5,"c":[7,8,9]},"o":[{"k":1},{"k":[1,2]},5]}',
+    None,
+    "bad{",
+    '{"t":"alone","a.b":"dot","m":[[1],[2,3]],"n":null,"e":{},"z":[]}',
+    "[1,2]",
+    '"s"',
+]
+
+
+def test_json_of_unknown_shapes(spark):
+    df = spark.createDataFrame([(i, j, "kept") for i, j in enumerate(JSONS)], "i int, j string, N string")
+    out = nested.flatten_json(df, "j")
+    assert [*out.columns[:2], *sorted(out.columns[2:])] == ["i", "N", *sorted(["a", "a.b", "a.c1", "a.c2", "a.c3", "a.b_2", "id", "m11", "m12", "m21", "m22", "n_2", "o1", "o1.k1", "o1.k2", "o2", "o2.k1", "o2.k2", "o3", "o3.k1", "o3.k2", "t", "w q.e'f.g\"h", "w q.e'f.k'\"l", "z", "j1", "j2"])]
+    got = {r.i: {k: v for k, v in r.asDict().items() if v is not None and k not in ("i", "N")} for r in out.collect()}
+    assert got == {
+        0: {"id": "1", "a.b": "x", "a.c1": "1", "a.c2": "2", "w q.e'f.g\"h": "3", "w q.e'f.k'\"l": "4"},
+        1: {"id": "2", "a": "plain", "t": "z"},
+        2: {"a.b": "1.5", "a.c1": "7", "a.c2": "8", "a.c3": "9", "o1.k1": "1", "o2.k1": "1", "o2.k2": "2", "o3": "5"},
+        3: {}, 4: {}, 6: {"j1": "1", "j2": "2"}, 7: {"j1": "s"},
+        5: {"t": "alone", "a.b_2": "dot", "m11": "1", "m21": "2", "m22": "3"},
+    }
+    assert nested.flatten_json(df.limit(0), "j").columns == ["i", "N"]
+    assert nested.flatten_json(df.where("i IN (3, 4)"), "j").columns == ["i", "N"]
+    known = nested.shape_of(df, "j")  # a shape serves other rows of the same kind
+    assert nested.flatten_json(df.where("i = 2"), "j", known).first()["o3"] == "5"
+
+
+def test_stays_of_json_texts(spark):
+    texts = ['{"PATID":"P","DATENT":"2020-01-01 08:30","ACTES":[{"CODEACTE":"A","UFPRO":"1"},{"CODEACTE":"B"}],"CODEACTE1":"W","DALL":["01:A41","02:I10"]}', '{"PATID":"Q","DALL":"01:I10"}']
+    t = stays.stay_tables(spark.createDataFrame([(x,) for x in texts], "payload string"), json_col="payload")
+    assert {(r.PATID, r.CODEACTE, r.UFPRO) for r in t.acts.collect()} == {("P", "A", "1"), ("P", "B", None), ("P", "W", None)}
+    assert sorted((r.PATID, str(r.HEURE_DATENT)) for r in t.main.collect()) == [("P", "08:30:00"), ("Q", "None")]
+
+
+ACT = "struct<CODEACTE:string,DATEACTE:string,UFPRO:string>"
+SHAPES = {
+    "ACTES": (f"array<{ACT}>", lambda acts: acts),
+    "sejour": (f"struct<ACTES:array<{ACT}>>", lambda acts: (acts,)),
+    "sejours": (f"array<struct<n:int,ACTES:array<{ACT}>>>", lambda acts: [(1, acts[:1]), (2, None), None, (3, [*acts[1:], None])]),
+    "par_unite": (f"map<string,struct<u:struct<ACTES:array<{ACT}>>>>", lambda acts: {"x": ((acts,),), "y": None}),
+    "listes": (f"array<array<{ACT}>>", lambda acts: [acts[:1], None, [], acts[1:]]),
+    "detail": ("array<struct<x:struct<CODEACTE:string,DATEACTE:string>,x2:struct<CODEACTE:string,DATEACTE:string>>>", None),
+}
+
+
+@pytest.mark.parametrize("path", [p for p in SHAPES if SHAPES[p][1]])
+@pytest.mark.parametrize("wide", [False, True])
+def test_acts_at_any_path(spark, path, wide):
+    acts = [("A", "d1", "u"), ("B", None, "v"), (None, "d3", None), (None, None, None)]
+    kind, made = SHAPES[path]
+    schema = f"PATID string, {path} {kind}" + ", CODEACTE1 string, DATEACTE1 string, NBACTES int" * wide
+    rows = [("P", made(acts), *("W", "d9", 3)[: 3 * wide]), ("Q", None, *(None,) * 3 * wide)]
+    got = stays.stay_tables(spark.createDataFrame(rows, schema)).acts
+    wanted = {("P", *a) for a in acts[:3]} | ({("P", "W", "d9", None)} if wide else set())
+    assert {(r.PATID, r.CODEACTE, r.DATEACTE, r.UFPRO) for r in got.collect()} == wanted
+    assert got.count() == len(wanted) and ("NBACTES" in got.columns) == wide
+
+
+def test_acts_pair_inside_their_record(spark):
+    df = spark.createDataFrame([("P", [(("A", "d1"), ("B", None)), ((None, "d2"), ("C", "d3"))])], f"PATID string, detail {SHAPES['detail'][0]}")
+    assert {(r.CODEACTE, r.DATEACTE) for r in stays.stay_tables(df).acts.collect()} == {("A", "d1"), ("B", None), (None, "d2"), ("C", "d3")}
+
+
 def test_select_by_name_and_stack(spark):
     a = spark.createDataFrame([(1, "x")], "id int, MyACTE string")
     b = spark.createDataFrame([("1", "x"), ("1", "x")], "id string, other string")

@@ -107,18 +107,16 @@ def act_paths(spark, sf_dir):
 
     Line 1 is wide, 2 and 3 are an array of records, 4 and 5 one below a path, 6 and 7 one inside records of an array.
     """
-    act = F.struct(F.col("l_partkey").cast("string").alias("CODEACTE"), F.struct(F.col("l_shipdate").cast("date").cast("string").alias("DATEACTE"), F.col("l_linenumber").alias("n")).alias("x"), F.col("l_suppkey").cast("string").alias("UFPRO"))
+    act = F.struct(F.col("l_partkey").cast("string").alias("CODEACTE"), F.col("l_shipdate").cast("date").cast("string").alias("DATEACTE"), F.struct(F.col("l_linenumber").alias("n")).alias("x"), F.col("l_suppkey").cast("string").alias("UFPRO"))
     of = lambda a, b: F.collect_list(F.when(F.col("l_linenumber").between(a, b), act))
-    first = F.collect_list(F.when(F.col("l_linenumber") == 1, F.struct(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"))))
+    first = F.collect_list(F.when(F.col("l_linenumber") == 1, F.struct(F.col("l_partkey").alias("p"), F.col("l_shipdate").cast("date").alias("d"), F.col("l_suppkey").alias("s"))))
     lists = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("PATID")).agg(first.alias("w"), of(2, 3).alias("ACTES"), of(4, 5).alias("deep"), of(6, 7).alias("inner"))
     units = F.array(F.struct(F.lit(None).cast(lists.schema["inner"].dataType).alias("ACTES")), F.struct(F.col("inner").alias("ACTES")))
-    stay = lists.select("PATID", F.col("w.p").alias("CODEACTE1"), F.col("w.s").alias("UFPRO1"), "ACTES", F.struct(F.col("deep").alias("ACTES")).alias("sejour"), units.alias("unites"))
-    return stays.act_table(stays.prepare(stay)).select("PATID", "CODEACTE", "UFPRO").distinct()
+    stay = lists.select("PATID", F.col("w.p").alias("CODEACTE1"), F.col("w.d").alias("DATEACTE1"), F.col("w.s").alias("UFPRO1"), "ACTES", F.struct(F.col("deep").alias("ACTES")).alias("sejour"), units.alias("unites"))
+    return stays.act_table(stays.prepare(stay)).select("PATID", "CODEACTE", "DATEACTE", "UFPRO")
 
 
-ACT_PATHS = """
-SELECT DISTINCT l_orderkey::VARCHAR AS "PATID", l_partkey::VARCHAR AS "CODEACTE", l_suppkey::VARCHAR AS "UFPRO" FROM lineitem WHERE coalesce(l_partkey, l_suppkey) IS NOT NULL
-"""
+ACT_PATHS = ACT_ARRAYS
 
 
 def json_shapes(spark, sf_dir):
@@ -299,7 +297,7 @@ ID_KEY_PICK = "SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN o_o
 
 
 def queries() -> dict[str, Query]:
-    found = [diag_tokens, parse_dates, order_periods, act_unpivot, act_arrays, lab_results, time_batches, stay_main, stack_missing, id_triplets, id_split, id_chunks, id_semi, range_bounds, limit_errors, out_units, json_flatten, id_key_pick]
+    found = [diag_tokens, parse_dates, order_periods, act_unpivot, act_arrays, act_paths, json_shapes, lab_results, time_batches, stay_main, stack_missing, id_triplets, id_split, id_chunks, id_semi, range_bounds, limit_errors, out_units, json_flatten, id_key_pick]
     return {f.__name__: f for f in found}
 
 
