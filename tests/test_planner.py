@@ -11,9 +11,9 @@ from hypothesis import strategies as st
 from wardlight.plans.requests import Request, id_key_of, plan, query_json, resolve_mode, without_broader_ids
 from wardlight.plans.windows import NoWindow, bounds_of, periods, window_of
 from row_backend import RowBackend
-from wardlight.sources.datasource import BatchPartition
+from wardlight.sources.datasource import dealt
 from wardlight.sources.fetch import fetch
-from wardlight.sources.protocol import Audit, FetchError, carry_out
+from wardlight.sources.protocol import Audit, CallEnd, FetchError, carry_out, halves
 
 D = date.fromisoformat
 FAKE = "row_backend:RowBackend"
@@ -79,7 +79,7 @@ def test_ids_and_modes():
 def carried(request, backend):
     p = plan(request)
     found = [x for b in p.batches for x in carry_out(b, p, backend)]
-    return [x for x in found if not isinstance(x, Audit)], [x for x in found if isinstance(x, Audit)]
+    return [x for x in found if not isinstance(x, (Audit, CallEnd))], [x for x in found if isinstance(x, Audit)]
 
 
 def test_splitting_conserves_ids():
@@ -117,7 +117,7 @@ def test_ids_stay_in_the_window():
     data = rows(90)
     window = {"start": D("2024-01-10"), "end": D("2024-01-20")}
     inside = sorted(r["ELTID"] for r in data if "2024-01-10" <= r["DATENT"] <= "2024-01-20")
-    by_ids, _ = carried(Request("pmsi", query={"ELTID": [r["ELTID"] for r in data], "PATID": "all"}, **window), RowBackend({"rows": data}))
+    by_ids, _ = carried(Request("pmsi", query={"ELTID": [r["ELTID"] for r in data], "PATID": "all"}, drop_broader_ids=True, **window), RowBackend({"rows": data}))
     by_time, _ = carried(Request("pmsi", mode="time", **window), RowBackend({"rows": data}))
     assert sorted(r["ELTID"] for r in by_ids) == sorted(r["ELTID"] for r in by_time) == inside
 
@@ -125,8 +125,8 @@ def test_ids_stay_in_the_window():
 def test_broader_ids_are_dropped_or_kept():
     data = rows(4)
     q = {"ELTID": ["L1", "L2"], "PATID": "P1"}
-    for drop, want in ((True, ["L1", "L2"]), (False, ["L1"])):
-        got, _ = carried(Request("pmsi", query=q, drop_broader_ids=drop), RowBackend({"rows": data}))
+    for drop, want in ((True, ["L1", "L2"]), (False, ["L1"]), (None, ["L1"])):
+        got, _ = carried(Request("pmsi", query=q, **({} if drop is None else {"drop_broader_ids": drop})), RowBackend({"rows": data}))
         assert sorted(r["ELTID"] for r in got) == want
 
 
@@ -148,10 +148,98 @@ def test_dropped_batches_are_told():
 def test_partitions_carry_their_own_ids():
     request = Request("pmsi", query={"ELTID": [f"L{i}" for i in range(1000)]}, max_ids=10)
     whole = plan(request)
-    sizes = [len(pickle.dumps(BatchPartition(k, b, whole))) for k, b in enumerate(whole.batches)]
+    sizes = [len(pickle.dumps(x)) for x in dealt(whole)]
     assert len(sizes) == 100 and max(sizes) < 2000
 
 
+def test_batches_are_dealt_to_few_tasks():
+    request = Request("pmsi", query={"ELTID": [f"L{i}" for i in range(1000)]}, max_ids=10, most_calls=7)
+    parts = dealt(plan(request))
+    assert len(parts) == 7 and sorted(k for p in parts for k, _ in p.batches) == list(range(100))
+    assert len(dealt(plan(Request("pmsi", query={"ELTID": ["L1", "L2"]}, most_calls=7)))) == 1
+    with pytest.raises(ValueError, match="most_calls"):
+        Request("pmsi", most_calls=0)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.integers(0, 9), st.integers(0, 40), st.integers(1, 5), st.booleans())
+def test_halves_cover_a_rectangle_once(n, length, least, inclusive):
+    ids, start = tuple(f"L{i}" for i in range(n)), D("2024-02-20")
+    todo, cells = [(ids, (start, start + timedelta(days=length)))], []
+    while todo:
+        own, (a, b) = todo.pop()
+        if parts := halves(own, (a, b), least, inclusive):
+            todo += parts
+        else:
+            assert len(own) <= 1 and (b - a).days <= (0 if inclusive else 1)
+            cells += [(x, a) for x in own or [None]]
+    days = length + 1 if inclusive else max(length, 1)
+    assert sorted(cells, key=str) == sorted(((x, start + timedelta(days=i)) for x in ids or [None] for i in range(days)), key=str)
+
+
+def crowded(per_day, days=6, ids=4):
+    """Rows of few ids and days: per_day of each id on each day."""
+    return [{"PATID": f"P{i}", "EVTID": "E", "ELTID": f"L{i}", "DATENT": (D("2024-01-01") + timedelta(days=d)).isoformat(), "N": k} for i in range(ids) for d in range(days) for k in range(per_day)]
+
+
+@pytest.mark.parametrize("mode", ["auto", "time"])
+@pytest.mark.parametrize("inclusive", [True, False])
+def test_no_month_fits_but_nothing_is_lost(mode, inclusive):
+    data = crowded(5)
+    key = lambda rows: sorted((r["ELTID"], r["DATENT"], r["N"]) for r in rows)
+    q = {"ELTID": [f"L{i}" for i in range(4)]}
+    window = {"start": D("2024-01-01"), "end": D("2024-01-06")}
+    for cap in (5, 7, 11, 40) if inclusive else (10, 23):
+        got, audit = carried(Request("pmsi", query=q, mode=mode, end_inclusive=inclusive, **window), RowBackend({"rows": data, "cap": cap}))
+        assert {*key(got)} == {*key(data)} and (not inclusive or len(got) == len(data))
+        assert [a.reason for a in audit] == ["ok_time_fallback"] and all(a.ok for a in audit)
+    # One day of one id has more rows than an answer may have: all else comes.
+    heavy = data + [{**data[0], "N": 100 + k} for k in range(9)]
+    got, audit = carried(Request("pmsi", query=q, mode=mode, **window), RowBackend({"rows": heavy, "cap": 6}))
+    assert key(got) == key([r for r in heavy if (r["ELTID"], r["DATENT"]) != ("L0", "2024-01-01")])
+    assert [(a.ok, a.reason) for a in audit] == [(True, "partial")] and "{2024-01-01,2024-01-01}" in audit[0].error
+
+
+def test_ids_without_a_window_are_halved_to_one():
+    data = crowded(2)
+    got, audit = carried(Request("pmsi", query={"ELTID": [f"L{i}" for i in range(4)]}), RowBackend({"rows": data, "cap": 12}))
+    assert len(got) == len(data) and [(a.n_in, a.reason) for a in audit] == [(1, "ok")] * 4
+    got, audit = carried(Request("pmsi", query={"ELTID": [f"L{i}" for i in range(4)]}), RowBackend({"rows": data, "cap": 11}))
+    assert got == [] and [(a.n_in, a.reason) for a in audit] == [(1, "limit_error")] * 4
+
+
+def test_answers_stream_one_by_one():
+    data, calls = crowded(5), []
+    backend = RowBackend({"rows": data, "cap": 5})
+
+    def counted(*asked):
+        calls.append(asked)
+        return backend(*asked)
+
+    p = plan(Request("pmsi", query={"ELTID": [f"L{i}" for i in range(4)]}, start=D("2024-01-01"), end=D("2024-01-06")))
+    rows = carry_out(p.batches[0], p, counted)
+    next(rows)
+    assert len(calls) < 8  # the first rows come long before the last call
+    rest = len([*rows])
+    assert rest > 100 and len(calls) == len({q for *_, q in calls})  # no call is asked twice
+
+
+def test_a_large_single_call_is_dealt_out(spark, tmp_path):
+    data = rows(90)
+    log = tmp_path / "log"
+    os.mkdir(log)
+    request = Request("pmsi", query={"DATENT": "{2024-01-01,2024-03-30}"}, step="10 days")
+    got = fetch(spark, request, FAKE, {"rows": data, "cap": 40, "log": str(log)})
+    assert sorted(r["ELTID"] for r in got.rows("ELTID string").collect()) == sorted(r["ELTID"] for r in data)
+    asked = [(log / f).read_text() for f in os.listdir(log)]
+    assert len(asked) == 10 == len({*asked})  # the single call and nine periods, each once
+    assert got.audit.count() == 9 and {r.reason for r in got.audit.collect()} == {"ok"}
+    for most, tasks in ((None, 9), (2, 2)):
+        again = Request("pmsi", query=request.query, step="10 days", mode="time", most_calls=most)
+        scan = spark.read.format("ward_backend").option("request", again.to_json()).option("transport", FAKE).option("transport_options", json.dumps({"rows": data})).load()
+        assert scan.rdd.getNumPartitions() == tasks and scan.where("tag = 'row'").count() == 90
+
+
 def test_overlaps_return_rows_once(spark):
     data = rows(60) + rows(3)  # three rows come twice
     for how in ({"overlap_days": 3}, {"end_inclusive": False}):

@@ -35,7 +35,8 @@ class Request:
     max_out: int = 40_000
     single_first: bool | None = None
     time_fallback: bool = True
-    drop_broader_ids: bool = True  # when fetching by ids; an id may then come with another broader one than was asked for
+    drop_broader_ids: bool = False  # when fetching by ids; an id may then come with another broader one than was asked for
+    most_calls: int | None = None  # batches that are asked at the same time; None: as many as the session has cores
     limit_pattern: str = LIMIT_WORDS
     on_failure: str = "warn"
 
@@ -45,6 +46,8 @@ class Request:
                 raise ValueError(f"{value!r} is none of {allowed}")
         if self.max_ids < 1 or self.min_ids < 1:
             raise ValueError("max_ids and min_ids are at least 1")
+        if self.most_calls is not None and self.most_calls < 1:
+            raise ValueError("most_calls is at least 1")
 
     def to_json(self) -> str:
         return json.dumps(asdict(self) | {k: v.isoformat() for k in ("start", "end") if (v := getattr(self, k))})
@@ -79,7 +82,7 @@ class Batch:
     kind: str
     query: dict
     ids: tuple[str, ...] = ()
-    periods: tuple[str, ...] = ()
+    periods: tuple[tuple[date, date], ...] = ()  # first and last days
     missing: str | None = None  # why there are no periods
 
 
@@ -106,11 +109,16 @@ def overlap_of(request: Request, mode: str) -> int:
     return request.overlap_days if request.overlap_days is not None else int(mode == "time" and request.kind == "idtriplets")
 
 
-def fallback_periods(request: Request, mode: str) -> list[str]:
-    """Texts of the periods of the request's window; no window is an error."""
+def span_text(request: Request, first: date, last: date) -> str:
+    """How the backend is asked for a period."""
+    return f"{request.prefix}{first.isoformat()},{last.isoformat()}{request.suffix}"
+
+
+def fallback_periods(request: Request, mode: str) -> list[tuple[date, date]]:
+    """First and last days of the periods of the request's window; no window is an error."""
     key = request.time_key or TIME_KEYS[request.module]
     start, end = window_of(request.module, request.query, key, request.start, request.end)
-    return [p.text for p in periods(start, end, request.step, ",", request.prefix, request.suffix, request.end_inclusive, overlap_of(request, mode))]
+    return [(p.start, p.end) for p in periods(start, end, request.step, end_inclusive=request.end_inclusive, overlap_days=overlap_of(request, mode))]
 
 
 def strict_bounds(query: dict) -> dict[str, Bounds]:
@@ -124,7 +132,7 @@ def plan(request: Request) -> Plan:
     time_key = request.time_key or TIME_KEYS[request.module]
     made = lambda *batches: Plan(request, mode, time_key, id_key, tuple(batches))
     # An explicit window bounds every call, also by ids.
-    window = {time_key: f"{request.prefix}{request.start.isoformat()},{request.end.isoformat()}{request.suffix}"} if request.start and request.end else {}
+    window = {time_key: span_text(request, request.start, request.end)} if request.start and request.end else {}
     if mode == "ids":
         if id_key is None or request.query.get(id_key) is None:
             raise ValueError("fetching by ids needs an identifier in the query")
@@ -138,9 +146,9 @@ def plan(request: Request) -> Plan:
         warnings.warn("stays have no RECDATE; use DATENT or DATSORT", stacklevel=2)
     query = request.query | window
     try:
-        texts = fallback_periods(request, mode)
+        spans = fallback_periods(request, mode)
     except NoWindow as missing:
         return made(Batch("single", query, missing=str(missing)))
     if request.single_first if request.single_first is not None else request.mode != "time":
-        return made(Batch("single", query, periods=tuple(texts)))
-    return made(*[Batch("period", query | {time_key: text}) for text in texts])
+        return made(Batch("single", query, periods=tuple(spans)))
+    return made(*[Batch("period", query | {time_key: span_text(request, *span)}, periods=(span,)) for span in spans])

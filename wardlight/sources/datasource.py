@@ -1,4 +1,4 @@
-"""The backend as a Spark data source: one input partition per batch, rows and audit records in one tagged scan."""
+"""The backend as a Spark data source: batches dealt to input partitions, rows and audit records in one tagged scan."""
 
 from __future__ import annotations
 
@@ -8,41 +8,52 @@ from dataclasses import asdict, replace
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..plans.requests import Batch, Plan, Request, plan
-from .protocol import Audit, carry_out, load_transport
+from .protocol import Audit, CallEnd, carry_out, load_transport
 
 SCHEMA = "tag string, batch int, part int, payload string, module string, batch_ids_key string, n_in int, ok boolean, n_out int, reason string, error string"
 
 
 class BatchPartition(InputPartition):
-    def __init__(self, number: int, batch: Batch, whole: Plan):
+    """Numbered batches that one task asks one after the other."""
+
+    def __init__(self, number: int, batches: list[tuple[int, Batch]], whole: Plan):
         super().__init__(number)
         # A partition carries its own ids only.
         request = replace(whole.request, query={k: v for k, v in whole.request.query.items() if k != whole.id_key})
-        self.batch, self.whole = batch, Plan(request, whole.mode, whole.time_key, whole.id_key, ())
+        self.batches, self.whole = batches, Plan(request, whole.mode, whole.time_key, whole.id_key, ())
+
+
+def dealt(whole: Plan) -> list[BatchPartition]:
+    """A partition per batch, or as many as the request lets ask at the same time."""
+    numbered = list(enumerate(whole.batches))
+    n = min(len(numbered), whole.request.most_calls or len(numbered))
+    return [BatchPartition(k, numbered[k::n], whole) for k in range(n)]
 
 
 class BackendReader(DataSourceReader):
     def __init__(self, options: dict):
         self.request = Request.from_json(options["request"])
         self.path, self.settings = options["transport"], json.loads(options.get("transport_options", "{}"))
-        self.count = options.get("count")
+        self.count, self.replan = options.get("count"), options.get("replan") == "true"
 
     def partitions(self):
-        whole = plan(self.request)
-        return [BatchPartition(k, b, whole) for k, b in enumerate(whole.batches)]
+        return dealt(plan(self.request))
 
     def read(self, partition: BatchPartition):
         transport = load_transport(self.path, self.settings)
         count = load_transport(self.count) if self.count else None
         module, key = self.request.module, partition.whole.id_key
-        part = 0  # of a batch: the calls that were answered, one after the other
-        for found in carry_out(partition.batch, partition.whole, transport, count):
-            if isinstance(found, Audit):
-                a = asdict(found)
-                yield ("audit", partition.value, part, None, module, key, a["n_in"], a["ok"], a["n_out"], a["reason"], a["error"])
-                part += 1
-            else:
-                yield ("row", partition.value, part, json.dumps(found, sort_keys=True), module, key, None, None, None, None, None)
+        for number, batch in partition.batches:
+            part = 0  # of a batch: the calls that were answered, one after the other
+            for found in carry_out(batch, partition.whole, transport, count, self.replan):
+                if isinstance(found, CallEnd):
+                    part += 1
+                elif isinstance(found, Audit):
+                    a = asdict(found)
+                    yield ("audit", number, part, None, module, key, a["n_in"], a["ok"], a["n_out"], a["reason"], a["error"])
+                    part += 1
+                else:
+                    yield ("row", number, part, json.dumps(found, sort_keys=True), module, key, None, None, None, None, None)
 
 
 class BackendSource(DataSource):

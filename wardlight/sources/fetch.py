@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import warnings
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +14,7 @@ from ..operators.links import triplets
 from ..operators.stays import StayTables, stay_tables
 from ..plans.requests import Request, overlap_of, resolve_mode
 from .datasource import BackendSource
-from .protocol import FetchError
+from .protocol import TOO_LARGE, FetchError
 from .storage import stored
 
 AUDIT = ["module", "batch_ids_key", "n_in", "ok", "n_out", "reason", "error"]
@@ -59,12 +59,19 @@ def fetch(spark: SparkSession, request: Request, transport: str, transport_optio
 
     The tagged scan goes to the checkpoint folder, so that rows and audit are read from there: no batch is asked again,
     however many tables are made of it. Failed batches raise, warn or only stand in the audit, as the request says; a
-    single call that failed, or was too large and has no window to be cut by, raises always. A single call and the periods
-    that take its place are one task; mode "time" deals the periods out.
+    single call that failed, or was too large and has no window to be cut by, raises always. A single call that was too
+    large is planned anew: the periods that take its place are dealt to all tasks, most_calls of the request at a time,
+    and the call itself isn't asked again.
     """
     spark.dataSource.register(BackendSource)
-    reader = spark.read.format("ward_backend").option("request", request.to_json()).option("transport", transport).option("transport_options", json.dumps(transport_options or {}))
-    scan = stored((reader.option("count", count) if count else reader).load())
+
+    def scanned(asked: Request) -> DataFrame:
+        reader = spark.read.format("ward_backend").option("request", asked.to_json()).option("transport", transport).option("transport_options", json.dumps(transport_options or {}))
+        return stored((reader.option("count", count) if count else reader).option("replan", "true").load())
+
+    scan = scanned(request)
+    if not scan.where(F.col("reason") == TOO_LARGE).isEmpty():
+        scan = scanned(replace(request, mode="time", single_first=False))
     audit = scan.where("tag = 'audit'").orderBy("batch", "part").select(*AUDIT)
     if fatal := scan.where(F.col("reason").isin(*FATAL)).first():
         raise FetchError(f"{fatal['reason']}: {fatal['error']}")

@@ -5,14 +5,14 @@ from __future__ import annotations
 import importlib
 import json
 import logging
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
-from datetime import date
+from collections.abc import Callable, Generator, Iterator, Sequence
+from dataclasses import dataclass, field
+from datetime import date, timedelta
 from typing import Protocol
 
-from ..functions.text import limit_message
+from ..functions.text import limit_message, looks_like_id_list, split_ids
 from ..operators.documents import document_rows, out_units
-from ..plans.requests import Batch, Plan, Request, fallback_periods, query_json, strict_bounds
+from ..plans.requests import Batch, Plan, Request, fallback_periods, id_key_of, query_json, span_text, strict_bounds
 from ..plans.windows import NoWindow
 
 log = logging.getLogger("wardlight.fetch")
@@ -113,8 +113,85 @@ def _told(request: Request, n_in: int, value: object, n_out: int | None, reason:
     yield Audit(n_in, True, n_out, reason, error)
 
 
-def carry_out(batch: Batch, plan: Plan, transport: Transport, count: Counter | None = None) -> Iterator[object]:
-    """Yields the batch's rows and, as Audit, what became of it."""
+@dataclass(frozen=True)
+class CallEnd:
+    """What came before it is the answer of one call; the next rows are another's."""
+
+
+#: The audit's reason for a single call that asked too much and is to be planned anew, as periods.
+TOO_LARGE = "single_too_large"
+
+
+@dataclass
+class Tally:
+    """What became of the pieces of a batch."""
+
+    answered: int = 0
+    n_out: int = 0
+    errors: list[str] = field(default_factory=list)
+    limit: bool = True  # whether all errors are refusals of size
+
+
+Span = tuple[date, date]
+
+
+def halves(ids: tuple[str, ...], span: Span, least_ids: int, end_inclusive: bool) -> list[tuple[tuple[str, ...], Span]]:
+    """A rectangle of ids and days as two; none if it is a day of one id.
+
+    Chunks above least_ids are halved by ids, others by days while they can, then by ids again.
+    """
+    first, last = span
+    days = (last - first).days + end_inclusive
+    if len(ids) > 1 and (len(ids) > least_ids or days <= 1):
+        half = len(ids) // 2
+        return [(ids[:half], span), (ids[half:], span)]
+    if days <= 1:
+        return []
+    middle = first + timedelta(days=days // 2 - end_inclusive)
+    return [(ids, (first, middle)), (ids, (middle + timedelta(days=1) if end_inclusive else middle, last))]
+
+
+def _in_pieces(plan: Plan, transport: Transport, units: Counter, base: dict, id_key: str | None, pieces: list[tuple[tuple[str, ...], Span]]) -> Generator[object, None, Tally]:
+    """Rows of rectangles of ids and days, piece by piece as they are answered; what is refused as too large is halved.
+
+    A stack, depth first, so no more answers are held than one.
+    """
+    request, tally = plan.request, Tally()
+    todo = pieces[::-1]
+    while todo:
+        ids, span = todo.pop()
+        query = base | {plan.time_key: span_text(request, *span)} | ({id_key: " OR ".join(ids)} if ids else {})
+        got = ask(transport, request.module, request.kind, query)
+        limit = not got.ok and is_limit(got.error, request.limit_pattern)
+        if got.ok and (rows := answered(request, got.value)) is not None:
+            yield from rows
+            yield CallEnd()
+            tally.answered, tally.n_out = tally.answered + 1, tally.n_out + (units(got.value) or 0)
+        elif limit and (parts := halves(ids, span, request.min_ids, request.end_inclusive)):
+            todo += parts[::-1]
+        else:
+            tally.errors.append(f"{span_text(request, *span)}: {'the answer was no table' if got.ok else got.error}")
+            tally.limit &= limit
+    return tally
+
+
+def _tallied(n_in: int, tally: Tally) -> Audit:
+    errors = "; ".join(tally.errors) or None
+    if not tally.answered:
+        return Audit(n_in, False, None, "limit_error" if tally.limit else "backend_error", errors)
+    return Audit(n_in, True, tally.n_out, "partial" if errors else "ok_time_fallback", errors)
+
+
+def _asked(batch: Batch, plan: Plan, spans: Sequence[Span]) -> bool:
+    """Whether the batch's own call had the only period that there is, so that it need not be asked again."""
+    return len(spans) == 1 and batch.query.get(plan.time_key) == span_text(plan.request, *spans[0])
+
+
+def carry_out(batch: Batch, plan: Plan, transport: Transport, count: Counter | None = None, replan: bool = False) -> Iterator[object]:
+    """Yields the batch's rows and, as Audit, what became of it; between the answers of several calls, CallEnd.
+
+    replan: a single call that asks too much is only said to, so that its periods can be dealt out; else they follow here.
+    """
     request = plan.request
     units = count or (lambda value: out_units(request.module, value, request.kind))
     if batch.kind == "ids":
@@ -123,46 +200,58 @@ def carry_out(batch: Batch, plan: Plan, transport: Transport, count: Counter | N
     got = ask(transport, request.module, request.kind, batch.query)
     log.info("batch %s: %s", batch.query.get(plan.time_key), "ok" if got.ok else got.error)
     limit = not got.ok and is_limit(got.error, request.limit_pattern)
+    single = batch.kind == "single" and not _asked(batch, plan, batch.periods)
     if got.ok:
         yield from _told(request, 1, got.value, units(got.value))
     elif batch.missing:
         yield Audit(1, False, None, "missing_time_window", f"{batch.missing}; the single call failed: {got.error}")
-    elif batch.kind == "single" and limit:
-        for text in batch.periods:
-            yield from carry_out(Batch("period", batch.query | {plan.time_key: text}), plan, transport, count)
-    elif batch.kind == "single":
+    elif single and limit and replan:
+        yield Audit(1, False, None, TOO_LARGE, got.error)
+    elif single and limit:
+        for span in batch.periods:
+            yield from carry_out(Batch("period", batch.query | {plan.time_key: span_text(request, *span)}, periods=(span,)), plan, transport, count)
+    elif batch.kind == "single" and not limit:
         yield Audit(1, False, None, "single_call_failed", got.error)
+    elif limit:
+        key = id_key_of(batch.query)
+        ids = tuple(dict.fromkeys(split_ids(batch.query[key]))) if key and looks_like_id_list(batch.query[key]) else ()
+        base = {k: v for k, v in batch.query.items() if not ids or k != key}
+        if parts := halves(ids, batch.periods[0], max(len(ids), 1), request.end_inclusive):
+            tally = yield from _in_pieces(plan, transport, units, base, key, parts)
+            yield _tallied(1, tally)
+        else:
+            yield Audit(1, False, None, "limit_error", got.error)
     else:
-        yield Audit(1, False, None, "limit_error" if limit else "backend_error", got.error)
+        yield Audit(1, False, None, "backend_error", got.error)
 
 
 def _carry_out_ids(batch: Batch, plan: Plan, transport: Transport, units: Counter) -> Iterator[object]:
-    """Halves chunks that fail or return too much, down to the request's smallest chunk; a stack, not recursion."""
+    """Halves chunks that fail or return too much, down to the request's smallest chunk; a stack, not recursion.
+
+    A smallest chunk that is refused as too large is cut by periods and goes on as rectangles of ids and days; without a
+    window it is halved down to single ids.
+    """
     request = plan.request
+    try:
+        spans = fallback_periods(request, "ids") if request.time_fallback else []
+    except (NoWindow, ValueError):
+        spans = []
     todo = [batch.ids]
     while todo:
         ids = todo.pop()
         query = batch.query | {plan.id_key: " OR ".join(ids)}
         got = ask(transport, request.module, request.kind, query)
         n_out = units(got.value) if got.ok else None
-        if len(ids) > request.min_ids and (not got.ok or (n_out is not None and n_out > request.max_out)):
+        limit = not got.ok and is_limit(got.error, request.limit_pattern)
+        least = 1 if limit and request.time_fallback and not spans else request.min_ids
+        if len(ids) > least and (not got.ok or (n_out is not None and n_out > request.max_out)):
             half = len(ids) // 2
             todo += [ids[half:], ids[:half]]
-            continue
-        if got.ok:
+        elif got.ok:
             yield from _told(request, len(ids), got.value, n_out)
-            continue
-        limit = is_limit(got.error, request.limit_pattern)
-        if limit and request.time_fallback:
-            try:
-                texts = fallback_periods(request, "ids")
-            except (NoWindow, ValueError):
-                texts = []
-            parts = [ask(transport, request.module, request.kind, query | {plan.time_key: text}) for text in texts]
-            rows = [r for p in parts if p.ok for r in answered(request, p.value) or []]
-            if rows:
-                failed = [p.error for p in parts if not p.ok]
-                yield from rows
-                yield Audit(len(ids), True, sum(units(p.value) for p in parts if p.ok), "partial" if failed else "ok_time_fallback", "; ".join(failed) or None)
-                continue
-        yield Audit(len(ids), False, None, "limit_error" if limit else "backend_error", got.error)
+        elif limit and spans:
+            pieces = [(ids, span) for span in spans] if not _asked(batch, plan, spans) else halves(ids, spans[0], request.min_ids, request.end_inclusive)
+            tally = yield from _in_pieces(plan, transport, units, batch.query, plan.id_key, pieces)
+            yield _tallied(len(ids), tally) if pieces else Audit(len(ids), False, None, "limit_error", got.error)
+        else:
+            yield Audit(len(ids), False, None, "limit_error" if limit else "backend_error", got.error)
