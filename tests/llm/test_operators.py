@@ -12,9 +12,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardlight.llm import language_profiles, minhash, mixing, quality_gam, quality_rules, queries, suffix_index, topk, toxicity, warc
+from wardlight.llm.byte_windows import Windows
 from wardlight.llm.components import connected_components
+from wardlight.llm.labelled import labelled_sample
 from wardlight.llm.piece_codec import PrefixEncoder, encode_documents, read_model
-from wardlight.llm.word_shingles import shingle_sets
+from wardlight.llm.word_shingles import shingle_sets, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -244,6 +246,31 @@ def test_components(spark):
     assert got == {(x, find(x)) for x in linked}
 
 
+def thue_morse(n, letters="ab"):
+    return "".join(letters[i.bit_count() % 2] for i in range(n))
+
+
+def test_structured_words_differ(spark):
+    """Polynomials modulo 2^64 take a long Thue-Morse string for its complement."""
+    texts = [thue_morse(n, letters) for n in (1024, 2048, 8192) for letters in ("ab", "ba", "xy")]
+    data = np.frombuffer("\n".join(texts).encode(), np.uint8)
+    assert len(set(words(data, np.array([0, len(data)]))[2].tolist())) == len(texts)
+    for n in (1024, 2048, 4096):
+        both = np.frombuffer((thue_morse(n) + thue_morse(n, "ba")).encode(), np.uint8)
+        a, b = Windows(both, np.array([0, n, 2 * n]), 400).hash(np.array([0, n]), np.array([n, 2 * n]), 1)
+        assert a != b
+    table = spark.createDataFrame(list(enumerate([texts[0], texts[1], texts[0] + " x", texts[1] + " x"])), "doc_id long, text string")
+    assert by_id(minhash.near_duplicates(table, width=2)) == [(i, 1, i, True) for i in range(4)]
+
+
+def test_word_hashes_tell_words_apart():
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ab\0") for _ in range(rng.randint(1, 40))) for _ in range(4000)]
+    data = "\n".join(texts).encode()
+    _, _, hashes, _ = words(np.frombuffer(data, np.uint8), np.array([0, len(data)]), lower=False)
+    assert len(set(hashes.tolist())) == len(set(texts)) and dict(zip(texts, hashes.tolist())) == dict(zip(texts[::-1], hashes.tolist()[::-1]))
+
+
 def test_shingles_of_no_and_few_words():
     texts = [b"", b" \t", b"One", b"one two", b"ONE two one TWO", b"one two"]
     sets = shingle_sets(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), 2)
@@ -309,6 +336,14 @@ def test_labelled_twice(spark):
         assert got.count() == 40 and all(0 <= r.score <= 1 for r in got.collect())
 
 
+def test_labelled_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i % 3, f"text {i}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(3)], "doc_id long, toxic int")
+    for most, rows in ((2, 2), (30, 30), (100, 60)):
+        sample = labelled_sample(docs, labels, "toxic", F.lit(True), most)
+        assert sample.count() == rows and sorted(map(tuple, sample.collect())) == sorted(map(tuple, labelled_sample(docs.repartition(5), labels, "toxic", F.lit(True), most).collect()))
+
+
 def test_languages(spark, docs):
     got = language_profiles.identify_languages(docs).collect()
     assert len(got) == docs.count()
@@ -464,6 +499,14 @@ def test_warc_broken_archives_fail(spark, tmp_path, harm):
         warc.read_archives(spark, str(folder)).count()
 
 
+def test_warc_hostile_lengths(spark, ranges):
+    lengths = ["9" * 20, "9" * 5000, str((1 << 63) - 1), str((1 << 63) - 40), "9" * 15, "-5", "٣٤", "0x10", "1 2", "00000000000000000003", ""]
+    fakes = [f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x:99>\r\nContent-Length: {n}\r\n\r\nhi\r\n\r\n" for n in lengths]
+    pages = [(1, "u", "first"), *((10 + i, f"u Content-Length: {lengths[i]}", fake) for i, fake in enumerate(fakes)), *((30 + i, "u", f"a {fake} b {fake}") for i, fake in enumerate(fakes)), (4, "u", "last"), (5, "u", "first")]
+    got = {r.page_id: (r.payload_bytes, r.record_type) for r in warc.round_trip(pages_table(spark, pages).coalesce(1)).collect()}
+    assert got == {i: (len(h.encode()), "revisit" if i == 1 else "response") for i, _, h in pages}
+
+
 def test_warc_lost_records_fail(spark, monkeypatch):
     df = spark.createDataFrame([(1, "u", "one"), (2, "u", "two")], "page_id long, url string, html string")
     read = warc.read_archives
@@ -478,12 +521,13 @@ def test_warc_headers_of_any_bytes():
             end = data.find(b"\r\n\r\n", m.start())
             lines = [x.partition(b":") for x in data[m.end() : end].split(b"\r\n")] if end >= 0 else [(b"", b"", b"")]
             own = {k.decode().lower(): v.strip().decode() for k, _, v in lines if k.decode().lower() in warc.FIELDS}
-            if all(colon for _, colon, _ in lines) and own.get("content-length", "").isdecimal() and "warc-type" in own:
+            length = own.get("content-length", "")
+            if all(colon for _, colon, _ in lines) and length.isascii() and length.isdecimal() and len(length) <= 15 and "warc-type" in own:
                 yield m.start(), own, end + 4
 
     rng, found = random.Random(3), 0
-    pieces = [warc.MAGIC, warc.MAGIC, b"\r\n", b"\r\n", b"\r", b"\n", b"x: ", b"no", b"Content-Length: 5\r\n", b"content-length: 7\r\n", b"WARC-Type: response\r\n", b"WARC-Refers-To: 1\r\n", b":"]
-    for _ in range(20_000):
+    pieces = [warc.MAGIC, warc.MAGIC, b"\r\n", b"\r\n", b"\r", b"\n", b"x: ", b"no", b"Content-Length: 5\r\n", b"content-length: 7\r\n", b"Content-Length: 1234567890123456\r\n", b"WARC-Type: response\r\n", b"WARC-Refers-To: 1\r\n", b":"]
+    for _ in range(40_000):
         data = b"".join(rng.choices(pieces, k=rng.randint(0, 12)))
         want = list(plain(data))
         assert list(warc._headers(data)) == want
@@ -557,18 +601,32 @@ def test_mixing(spark, docs, monkeypatch, together, shard, left):
     target |= {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
     want = []
     for k, s in enumerate(order):
-        blocks = -(-size[s] // mixing.BLOCK)
+        width = max(1, min(mixing.BLOCK, size[s] // mixing.LEAST_BLOCKS))
+        blocks = -(-size[s] // width)
         slots = np.arange(min(round(target[s] * blocks / size[s]), 2 * blocks))
         drawn = Counter(mixing._permuted(slots % blocks, slots // blocks, blocks, 17 + 1000 * k).tolist())
         buckets, at = max(1, len(hashed) // mixing.BUCKET), 0
         own = [(r.h % buckets, r.h, repr(r.doc_id), r.tie or 0, r.doc_id, len(WORD.findall(r.text or ""))) for r in hashed if r.source == s]
         for *_, doc_id, n in sorted(own):
-            want.append((doc_id, n, size[s], round(target[s], 6), sum(drawn[w // mixing.BLOCK] for w in range(at, at + n))))
+            want.append((doc_id, n, size[s], round(target[s], 6), sum(drawn[w // width] for w in range(at, at + n))))
             at += n
     assert sorted(((r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken) for r in got), key=repr) == sorted(want, key=repr)
     assert all(0 <= r.taken <= 2 * r.size for r in got)
 
 
+def test_small_sources_meet_their_targets(spark):
+    """Whatever a source's size, what is taken of it is its target, by a word or a twentieth."""
+    for sizes in ([1, 10, 70, 200, 5000], [70, 70, 70, 65, 129, 4097]):
+        rows = [(100 * k + d, " ".join(["w"] * (n // 3 + (d == 0) * (n % 3))), f"s{k}") for k, n in enumerate(sizes) for d in range(3)]
+        table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        got = mixing.mix_sources(table).collect()
+        for k, n in enumerate(sizes):
+            own = [r for r in got if r.doc_id // 100 == k]
+            taken, target = sum(r.taken for r in own), own[0].target
+            assert abs(taken - target) <= max(1, target / 20), (sizes, k, taken, target)
+            assert own[0].source_size == n and all(r.taken <= 2 * r.size for r in own)
+
+
 def test_mixing_draws(spark):
     """Every source gives its quota, in slots numbered without gaps; shards are full, and their counts vary as draws do."""
     quotas = {0: 5000, 1: 37, 2: 0, 3: 900, 4: 1}

@@ -5,9 +5,22 @@ from __future__ import annotations
 import numpy as np
 
 from .common import U64, byte_codes, mix, window_hashes
-from .word_shingles import _powers
 
 ANCHOR = 64
+#: Bytes that each term of a fingerprint joins. Single bytes as terms cancel in texts like the Thue-Morse sequence, whose halves
+#: differ in sign alone; strings of eight that lie across a border don't.
+TERM = 8
+_BASE = 0x9E3779B97F4A7C15 | 1
+_POWERS = [np.ones(1, U64), np.ones(1, U64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    if len(_POWERS[0]) <= n:
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(n + 1, base, U64)
+            steps[0] = 1
+            _POWERS[k] = np.cumprod(steps, dtype=U64)
+    return _POWERS
 
 
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
@@ -30,8 +43,9 @@ class Windows:
         self.data, self.offsets, self.match = data, offsets, match
         codes = byte_codes(data)
         self.up, self.down = _powers(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, U64)
-        np.cumsum(codes * self.up[: len(data)], dtype=U64, out=self.sums[1:])
+        terms = mix(window_hashes(codes, [TERM])[TERM])
+        self.sums = np.zeros(len(terms) + 1, U64)
+        np.cumsum(terms * self.up[: len(terms)], dtype=U64, out=self.sums[1:])
         self._codes, self._places = codes, None
 
     @property
@@ -43,8 +57,8 @@ class Windows:
         return self._places
 
     def hash(self, starts: np.ndarray, ends: np.ndarray, kind: int) -> np.ndarray:
-        """64-bit hashes of data[starts:ends], apart for each kind."""
-        return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(U64) * U64(0xD1342543DE82EF95) + U64(kind))
+        """64-bit hashes of data[starts:ends], of TERM bytes or more, apart for each kind."""
+        return mix((self.sums[ends - (TERM - 1)] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(U64) * U64(0xD1342543DE82EF95) + U64(kind))
 
     def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(text, anchor, first and last window start) of each run of windows of one text that share an anchor."""

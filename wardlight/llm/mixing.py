@@ -1,7 +1,8 @@
 """Mixing sources to target weights, block by block.
 
-A source's texts, in an order drawn by hash, are one stream of words that is cut into blocks of BLOCK words; its target
-is a quota of slots of that size. The mix is dealt to output shards. A shard's source counts are a multinomial draw with
+A source's texts, in an order drawn by hash, are one stream of words that is cut into blocks of BLOCK words (of a
+LEAST_BLOCKS-th of its words, and one at least, where that is less, so that small sources meet their targets as well); its
+target is a quota of slots of that size. The mix is dealt to output shards. A shard's source counts are a multinomial draw with
 the quotas as weights. What is drawn beyond a source's quota, counted by running sums over the shards, is drawn anew
 from the sources that still lack slots; the few slots left after MULTINOMIAL_ROUNDS are drawn without replacement, so
 each source gets its quota exactly. A source's slots of all shards, numbered in a row, walk through its blocks epoch by
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, cut, tidied
 
-BLOCK = 64
+BLOCK, LEAST_BLOCKS = 64, 64
 WEIGHTS = (3, 1, 2)
 #: Documents per bucket, about; and buckets of a source at most, as their sums are run through in one window.
 BUCKET, MOST_BUCKETS = 256, 65_536
@@ -192,7 +193,8 @@ def mix_sources(
     spark = docs.sparkSession
     source = F.col(source_col).cast("string")
     sized = cut(docs.select(F.col(id_col).alias("id"), F.coalesce(source, F.lit("")).alias("source"), source.isNotNull().alias("known"), words_of(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("tie")))
-    named = targets(sized, weights, share, most).withColumn("blocks", F.ceil(F.col("source_size") / block))
+    width = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.col("source_size") / LEAST_BLOCKS))).cast("long")
+    named = targets(sized, weights, share, most).withColumn("width", width).withColumn("blocks", F.ceil(F.col("source_size") / F.col("width")))
     quota = F.when(F.col("source_size") > 0, F.least(F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long"), F.floor(F.col("blocks") * most))).otherwise(F.lit(0))
     in_turn = W.orderBy(F.col("known").desc(), F.col("source"))
     named = cut(named.withColumns({"quota": quota, "k": (F.row_number().over(in_turn) - 1).cast("long")}))
@@ -201,14 +203,14 @@ def mix_sources(
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     slots = plan.join(few.select("k", "blocks"), "k").select("k", "first", "n", "blocks").repartition(n)
     drawn = slots.mapInArrow(tidied(_blocks(seed)), "k long, block long, drawn long").groupBy("k", "block").agg(F.sum("drawn").alias("drawn"))
-    numbered = sized.join(few.select("source", "known", "k"), ["source", "known"])
+    numbered = sized.join(few.select("source", "known", "k", "width"), ["source", "known"])
     none = numbered.where("size = 0").select("id", "k", "size", F.lit(0).cast("long").alias("taken"))
-    out = none.union(_taken(numbered, drawn, block, seed))
+    out = none.union(_taken(numbered, drawn, seed))
     return out.join(few.select("k", "source_size", "target"), "k").select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
 
 
-def _taken(sized: DataFrame, drawn: DataFrame, block: int, seed: int) -> DataFrame:
-    """Places of the texts in their sources' streams, cut at block borders and joined to the drawn blocks by index."""
+def _taken(sized: DataFrame, drawn: DataFrame, seed: int) -> DataFrame:
+    """Places of the texts in their sources' streams, cut at borders of their sources' blocks and joined to the drawn ones by index."""
     keys = ["k", "bucket"]
     buckets = min(MOST_BUCKETS, max(1, sized.count() // BUCKET))
     dealt = sized.where("size > 0").withColumn("h", F.xxhash64("id", "tie", F.lit(seed))).withColumn("bucket", F.pmod("h", F.lit(buckets)))
@@ -218,9 +220,9 @@ def _taken(sized: DataFrame, drawn: DataFrame, block: int, seed: int) -> DataFra
     inside = F.sum("size").over(W.partitionBy(*keys).orderBy("h", "id", "tie", "size").rowsBetween(*so_far))
     placed = dealt.withColumn("inside", F.coalesce(inside, F.lit(0))).join(firsts, keys).withColumn("at", F.col("inside") + F.col("base"))
     end = F.col("at") + F.col("size")
-    indexes = F.sequence(F.floor(F.col("at") / block), F.floor((end - 1) / block))
-    parts = placed.select("id", "tie", "size", "k", "at", F.explode(indexes).alias("block"))
-    held_words = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block) - F.greatest("at", F.col("block") * block)
+    indexes = F.sequence(F.floor(F.col("at") / F.col("width")), F.floor((end - 1) / F.col("width")))
+    parts = placed.select("id", "tie", "size", "k", "at", "width", F.explode(indexes).alias("block"))
+    held_words = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * F.col("width")) - F.greatest("at", F.col("block") * F.col("width"))
     # Without the hint Spark takes the few rows of the plan for the size of what is drawn from it, and would broadcast that.
     joined = parts.withColumn("words", held_words).join(drawn.hint("merge"), ["k", "block"], "left")
     found = joined.groupBy("id", "tie", "k", "size", "at").agg(F.sum(F.col("words") * F.coalesce("drawn", F.lit(0))).alias("taken"))

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -38,6 +39,8 @@ from .components import dealt_anew
 MAGIC = b"WARC/1.0\r\n"
 #: Header fields that reading needs.
 FIELDS = {"content-length", "warc-type", "warc-payload-digest", "warc-record-id", "warc-refers-to"}
+#: What a block's length may be: no file has more bytes than that, so whatever is longer is no record.
+LENGTH = re.compile("[0-9]{1,15}")
 #: Size of an archive, about.
 ARCHIVE_BYTES = 64 << 20
 #: Rows (repeated payloads, ranges, records that others refer to) that are sent to all tasks at most.
@@ -120,7 +123,7 @@ def _headers(data: bytes) -> Iterator[tuple[int, dict[str, str], int]]:
                 whole, stop = start, start - 2
         if at + len(MAGIC) >= whole:
             own = {key: value for key, (start, value) in fields.items() if start >= at + len(MAGIC)}
-            if own.get("content-length", "").isdecimal() and "warc-type" in own:
+            if LENGTH.fullmatch(own.get("content-length", "")) and "warc-type" in own:
                 yield at, own, end + 4
         at = data.find(MAGIC, at + 1)
 

@@ -4,23 +4,30 @@ from __future__ import annotations
 
 import numpy as np
 
-from .common import U64, _join, byte_codes, mix
+from .common import U64, _join, mix
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS = [np.ones(1, U64), np.ones(1, U64)]
+#: What is kept of eight bytes of which the first so many belong to the word.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    if len(_POWERS[0]) <= n:
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(n + 1, base, U64)
-            steps[0] = 1
-            _POWERS[k] = np.cumprod(steps, dtype=U64)
-    return _POWERS
+def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of finalised eights of bytes, each eight finalised with its own place; no polynomial, whose powers of two cancel in texts
+    like the Thue-Morse sequence."""
+    if not len(starts):
+        return np.zeros(0, U64)
+    sizes = ends - starts
+    eights = sizes + 7 >> 3
+    first = np.cumsum(eights) - eights
+    within = np.arange(eights.sum()) - np.repeat(first, eights)
+    at = np.repeat(starts, eights) + 8 * within
+    code = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(7, np.uint8)]), 8)[at].view(U64).ravel()
+    code &= _MASKS[np.minimum(np.repeat(ends, eights) - at, 8)]
+    salted = mix(code + mix((within + 1).astype(U64) * U64(0x9E3779B97F4A7C15)))
+    return mix(np.add.reduceat(salted, first) + sizes.astype(U64) * U64(0xD1342543DE82EF95))
 
 
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -36,10 +43,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
     last[:-1] &= ~solid[1:]
     last[inner - 1] = solid[inner - 1]
     starts, ends = np.flatnonzero(begin), np.flatnonzero(last) + 1
-    up, down = _powers(len(data))
-    sums = np.zeros(len(data) + 1, U64)
-    np.cumsum(byte_codes(_LOWER[data] if lower else data) * up[: len(data)], dtype=U64, out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
+    hashes = _word_hashes(_LOWER[data] if lower else data, starts, ends)
     return starts, ends, hashes, np.searchsorted(offsets, starts, "right") - 1
 
 
