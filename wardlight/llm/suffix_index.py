@@ -267,21 +267,37 @@ def _compare_blocks(pieces: DataFrame, match: int, tables: Tables) -> DataFrame:
     return spans
 
 
-def _removed(batches: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.RecordBatch]:
+def _merged(spans: list[dict]) -> list[tuple[int, int]]:
+    """Spans as maximal runs; those that touch are one."""
+    runs: list[tuple[int, int]] = []
+    for start, stop in sorted((s["start"], s["stop"]) for s in spans):
+        if runs and start <= runs[-1][1]:
+            runs[-1] = runs[-1][0], max(runs[-1][1], stop)
+        else:
+            runs.append((start, stop))
+    return runs
+
+
+def whole_words(text: bytes, start: int, stop: int) -> int:
+    """Words that lie in text[start:stop] with both their ends."""
+    inside = text[start:stop]
+    cut = lambda at: 0 < at < len(text) and not text[at - 1 : at].isspace() and not text[at : at + 1].isspace()  # noqa: E731  bytes' blanks are the six ASCII ones
+    parts = len(inside.split())
+    return max(0, parts - cut(start) - cut(stop)) if parts > 1 else int(parts == 1 and not cut(start) and not cut(stop))
+
+
+def _removed(batches: Iterator[pa.RecordBatch], keep_text: bool, least_words: int) -> Iterator[pa.RecordBatch]:
     for batch in (part for whole in batches for part in slices(whole)):
         out = [], [], [], []
         for text, spans in zip(_open(batch.column(1).to_pylist(), batch.column(2).to_pylist()), batch.column(3).to_pylist(), strict=True):
-            kept, at, n = [], 0, 0
-            stop = -1
-            for x in sorted((s["start"], s["stop"]) for s in spans or ()):
-                if x[0] > stop:
-                    kept.append(text[at : x[0]])
-                    n += 1
-                stop = max(stop, x[1])
+            runs = [r for r in _merged(spans or []) if not least_words or whole_words(text, *r) >= least_words]
+            kept, at = [], 0
+            for start, stop in runs:
+                kept.append(text[at:start])
                 at = stop
             kept.append(text[at:])
             left = b"".join(kept)
-            for to, value in zip(out, (len(text) - len(left), n, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if keep_text else None), strict=True):
+            for to, value in zip(out, (len(text) - len(left), len(runs), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if keep_text else None), strict=True):
                 to.append(value)
         columns = [batch.column(0), batch.column(2), *(pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True))]
         names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
@@ -325,10 +341,10 @@ def repeated_spans(docs: DataFrame, match: int, batches: int = 4, id_col: str =
     return whole.union(small).union(large)
 
 
-def remove_repeats(docs: DataFrame, match: int = 400, batches: int = 4, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, carried: str | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, match: int = 400, batches: int = 4, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, carried: str | None = None, least_words: int = 0) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with keep_text what is left (characters cut in two are dropped).
 
-    With `carried` that column, of any type, stands in the place of doc_id.
+    With `carried` that column, of any type, stands in the place of doc_id. With least_words only runs that hold as many whole words go.
     """
     tables = Tables(docs.sparkSession)
     spans = repeated_spans(docs, match, batches, id_col, text_col, tables)
@@ -341,7 +357,7 @@ def remove_repeats(docs: DataFrame, match: int = 400, batches: int = 4, id_col:
     schema = T.StructType().add("id", kind).add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string")
     if keep_text:
         schema = schema.add("kept_text", "string")
-    return joined.mapInArrow(tidied(lambda batches: _removed(batches, keep_text)), schema).withColumnRenamed("id", out)
+    return joined.mapInArrow(tidied(lambda batches: _removed(batches, keep_text, least_words)), schema).withColumnRenamed("id", out)
 
 
 def oracle(match: int = 400) -> str:
