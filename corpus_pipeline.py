@@ -12,9 +12,9 @@ from wardlight.llm.queries import piece_model_file
 
 #: A text this far from every language's profile is in none of them.
 LEAST_SCORE = 0.2
-#: Bytes of a passage that must not repeat. 51 words are 305 to 340 bytes at the median of four languages; 99 of 100 such
-#: passages have more than 240. Whatever is longer goes as well, so a passage of over 50 words is found with few exceptions.
-PASSAGE_BYTES = 240
+#: Words of a passage that must not repeat, and the bytes by which repeats are found: a passage of so many words is shorter only if
+#: its words have two letters on average; such ones stay.
+PASSAGE_WORDS, FOUND_BYTES = 51, 160
 #: Ids of dropped documents that are sent to all tasks at most.
 MOST_SENT = 200_000
 
@@ -58,10 +58,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the bytes of strings of PASSAGE_BYTES bytes that come twice or more."""
+    """All documents, without repeated passages: stretches of PASSAGE_WORDS whole words or more that are covered by strings of
+    FOUND_BYTES bytes that come twice or more. Texts without blanks have no such stretches and stay whole.
+    """
     rest = [c for c in docs.columns if c != "text"]
     rows = docs.select("doc_id", "text", F.struct(*rest).alias("row"))
-    left = suffix_index.remove_repeats(rows, match=PASSAGE_BYTES, keep_text=True, carried="row")
+    left = suffix_index.remove_repeats(rows, match=FOUND_BYTES, keep_text=True, carried="row", least_words=PASSAGE_WORDS)
     back = {c: F.col(f"row.`{c}`") for c in rest} | {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
     return left.select(*[back[c].alias(c) for c in docs.columns])
 
