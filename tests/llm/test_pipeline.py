@@ -1,9 +1,11 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from wardlight.llm import suffix_index
 
 
 def test_stages(spark, tmp_path):
@@ -45,11 +47,22 @@ def test_passages_of_over_fifty_words_go(spark, n_words):
     passages = [prose(rng, n_words) for _ in range(6)]
     rows = [(10 * k + i, f"{prose(rng, 80)} {p} {prose(rng, 80)}", "en", "s", 1) for k, p in enumerate(passages) for i in range(3)]
     clean = [(900 + i, prose(rng, 200), "en", "s", 1) for i in range(20)]
+    shorter = prose(rng, 46)  # found as a repeat, but no passage
+    clean += [(950 + i, f"{prose(rng, 80)} {shorter} {prose(rng, 80)}", "en", "s", 1) for i in range(3)]
     left = {r.doc_id: r.text for r in corpus_pipeline.suffix_dedup(spark, spark.createDataFrame(rows + clean, COLUMNS), "").collect()}
     assert len(left) == len(rows) + len(clean) and all(left[i] == t for i, t, *_ in clean)
     assert not any(p[20:-20] in left[10 * k + i] for k, p in enumerate(passages) for i in range(3))
 
 
+def test_whole_words():
+    text = "one two  three\tfour".encode()
+    for start, stop, n in ((0, len(text), 4), (1, len(text), 3), (0, 2, 0), (3, 8, 1), (4, 7, 1), (5, 7, 0), (4, 9, 1), (0, 0, 0), (3, 4, 0), (8, 9, 0)):
+        assert suffix_index.whole_words(text, start, stop) == n
+    cuts = range(len(text) + 1)
+    words = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", text)]
+    assert all(suffix_index.whole_words(text, a, b) == sum(a <= x and y <= b for x, y in words) for a in cuts for b in cuts if a <= b)
+
+
 def test_rows_that_share_an_id(spark):
     rng = random.Random(9)
     a, b, c = (prose(rng, 100) for _ in range(3))
