@@ -8,11 +8,11 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from wardlight.plans.requests import Request, id_key_of, plan, query_json, resolve_mode, without_broader_ids
+from wardlight.plans.requests import Request, id_key_of, narrowed, plan, query_json, resolve_mode, without_broader_ids
 from wardlight.plans.windows import NoWindow, bounds_of, periods, window_of
 from row_backend import RowBackend
 from wardlight.sources.datasource import dealt
-from wardlight.sources.fetch import fetch
+from wardlight.sources.fetch import fetch, scan_backend
 from wardlight.sources.protocol import Audit, CallEnd, FetchError, carry_out, halves
 
 D = date.fromisoformat
@@ -277,3 +277,56 @@ def test_fetch_reports_failures(spark):
     with warnings.catch_warnings():
         warnings.simplefilter("error")
         fetch(spark, request("audit"), FAKE, {"rows": data, "fails": ["L1"]})
+
+
+def test_narrowed():
+    r = Request("pmsi", query={"PATID": "P1 OR P2", "DATENT": ">2024-01-05"})
+    assert narrowed(r, {"PATID": {"P2", "P9"}}).query == {"PATID": ["P2"], "DATENT": ">2024-01-05"}
+    assert narrowed(r, {"PATID": {"P9"}}) is None and narrowed(r, {"ELTID": {"b", "a"}}).query["ELTID"] == ["a", "b"]
+    both = narrowed(r, {}, D("2024-01-01"), D("2024-01-31"))
+    assert (both.start, both.end, both.query["DATENT"]) == (D("2024-01-06"), D("2024-01-31"), ">2024-01-05")
+    assert narrowed(r, {}, high=D("2024-01-05")) is None
+    assert narrowed(Request("pmsi"), {}, low=D("2024-01-02")).query == {"DATENT": ">2024-01-01"}
+    assert narrowed(Request("pmsi"), {}, high=D("2024-01-02")).query == {"DATENT": "<2024-01-03"}
+    own = narrowed(Request("biol", start=D("2024-01-01"), end=D("2024-02-01")), {}, D("2024-01-10"), D("2024-03-01"))
+    assert (own.start, own.end) == (D("2024-01-10"), D("2024-02-01"))
+
+
+FILTERS = [
+    "ELTID IN ('L3', 'L40', 'none')",
+    "ELTID = 'L7' AND tag = 'row'",
+    "day >= DATE'2024-01-10' AND day < DATE'2024-01-20'",
+    "day > DATE'2024-03-25' AND PATID <> 'P85'",
+    "day = DATE'2024-02-02' OR ELTID = 'L1'",
+    "day BETWEEN DATE'2024-01-05' AND DATE'2024-01-06' AND ELTID IN ('L4', 'L5', 'L80')",
+    "ELTID = 'L1' AND ELTID = 'L2'",
+    "day IS NULL",
+]
+
+
+@pytest.mark.parametrize("pushed", [True, False])
+def test_filters_reach_the_backend(spark, tmp_path, pushed):
+    data = rows(90) + [{"ELTID": "L200", "PATID": "P", "DATENT": None}]
+    log = tmp_path / "log"
+    log.mkdir()
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", str(pushed).lower())
+    try:
+        request = Request("pmsi", start=D("2024-01-01"), end=D("2024-03-30"), mode="time")
+        scan = scan_backend(spark, request, FAKE, {"rows": data, "log": str(log)})
+        whole = spark.createDataFrame(scan.collect(), scan.schema)
+        for text in FILTERS:
+            for f in log.iterdir():
+                f.unlink()
+            got = scan.where(text)
+            assert sorted(map(str, got.select("tag", "ELTID", "day").collect())) == sorted(map(str, whole.where(text).select("tag", "ELTID", "day").collect())), text
+            asked = " ".join(f.read_text() for f in log.iterdir())
+            if pushed and text.startswith("ELTID IN"):
+                assert "L40" in asked and "ELTID IN" not in got._jdf.queryExecution().optimizedPlan().toString()
+            if pushed and text.startswith("day >="):  # strict bounds are Spark's to apply
+                assert "Filter (" in (shown := got._jdf.queryExecution().optimizedPlan().toString()) and "< 2024-01-20" in shown and ">= 2024-01-10" not in shown
+            if pushed and text.startswith("day >="):
+                assert "{2024-01-10,2024-01-20}" in asked and "2024-03" not in asked
+            if pushed and "'L1' AND" in text:
+                assert asked == ""
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import json
 import warnings
-from dataclasses import asdict, dataclass, field
-from datetime import date
+from dataclasses import asdict, dataclass, field, replace
+from datetime import date, timedelta
 
 from ..functions.text import LIMIT_WORDS, looks_like_id_list, split_ids
 from .windows import TIME_KEYS, Bounds, NoWindow, bounds_of, periods, window_of
@@ -152,3 +152,33 @@ def plan(request: Request) -> Plan:
     if request.single_first if request.single_first is not None else request.mode != "time":
         return made(Batch("single", query, periods=tuple(spans)))
     return made(*[Batch("period", query | {time_key: span_text(request, *span)}, periods=(span,)) for span in spans])
+
+
+def narrowed(request: Request, ids: dict[str, set[str]], low: date | None = None, high: date | None = None) -> Request | None:
+    """The request for rows of these identifiers, and of days from low to high, alone; None if there can't be any.
+
+    Ids and bounds that the request has itself stay in force. Bounds of one side are sent as strict ones of the day before or after.
+    """
+    query = dict(request.query)
+    for key, wanted in ids.items():
+        own = query.get(key)
+        left = [x for x in dict.fromkeys(split_ids(own)) if x in wanted] if own is not None else sorted(wanted)
+        if not left:
+            return None
+        query[key] = left
+    if low is None and high is None:
+        return replace(request, query=query)
+    key = request.time_key or TIME_KEYS[request.module]
+    own = Bounds(request.start, request.end) if request.start and request.end else bounds_of(query.get(key))
+    step = timedelta(days=1 if own.strict else 0)
+    lows, highs = [x for x in (low, own.low and own.low + step) if x], [x for x in (high, own.high and own.high - step) if x]
+    first, last = max(lows, default=None), min(highs, default=None)
+    if first and last:
+        return replace(request, query=query, start=first, end=last) if first <= last else None
+    query[key] = f">{(first - timedelta(days=1)).isoformat()}" if first else f"<{(last + timedelta(days=1)).isoformat()}"
+    return replace(request, query=query)
+
+
+def periods_between(request: Request, after: date, until: date) -> list[tuple[date, date]]:
+    """The request's periods that end after the one day and until the other."""
+    return [span for span in fallback_periods(request, "time") if after < span[1] <= until]

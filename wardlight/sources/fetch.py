@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators.labs import lab_table
 from ..operators.links import triplets
 from ..operators.stays import StayTables, stay_tables
-from ..plans.requests import Request, overlap_of, resolve_mode
+from ..plans.requests import ID_KEYS, Request, overlap_of, resolve_mode
 from .datasource import BackendSource
 from .protocol import TOO_LARGE, FetchError
 from .storage import stored
@@ -54,6 +54,20 @@ class Fetched:
         return lab_table(self.rows(schema), **how)
 
 
+def scan_backend(spark: SparkSession, request: Request, transport: str, transport_options: dict | None = None, **options: str) -> DataFrame:
+    """The lazy tagged scan of rows and audit records; each action asks the backend anew.
+
+    Filters on ELTID, EVTID, PATID and day narrow what is asked for, where spark.sql.python.filterPushdown.enabled is on;
+    where it is off, Spark applies them to all that comes.
+    """
+    spark.dataSource.register(BackendSource)
+    pushes = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    named = {"request": request.to_json(), "transport": transport, "transport_options": json.dumps(transport_options or {}), "pushdown": pushes} | options
+    scan = spark.read.format("ward_backend").options(**named).load()
+    # Spark keeps what a filter narrowed for later plans of the same scan unless they push filters of their own: so all do.
+    return scan.where("tag IS NOT NULL") if pushes == "true" else scan
+
+
 def fetch(spark: SparkSession, request: Request, transport: str, transport_options: dict | None = None, count: str | None = None) -> Fetched:
     """Carries the request out, batch by batch on the executors, and writes what came back once.
 
@@ -63,12 +77,8 @@ def fetch(spark: SparkSession, request: Request, transport: str, transport_optio
     large is planned anew: the periods that take its place are dealt to all tasks, most_calls of the request at a time,
     and the call itself isn't asked again.
     """
-    spark.dataSource.register(BackendSource)
-
-    def scanned(asked: Request) -> DataFrame:
-        reader = spark.read.format("ward_backend").option("request", asked.to_json()).option("transport", transport).option("transport_options", json.dumps(transport_options or {}))
-        return stored((reader.option("count", count) if count else reader).option("replan", "true").load())
-
+    more = {"replan": "true"} | ({"count": count} if count else {})
+    scanned = lambda asked: stored(scan_backend(spark, asked, transport, transport_options, **more).drop(*ID_KEYS, "day"))
     scan = scanned(request)
     if not scan.where(F.col("reason") == TOO_LARGE).isEmpty():
         scan = scanned(replace(request, mode="time", single_first=False))
@@ -88,3 +98,13 @@ def fetch(spark: SparkSession, request: Request, transport: str, transport_optio
         times = rows.groupBy("payload", "batch", "part").agg(F.count("*").alias("n")).groupBy("payload").agg(F.max("n").alias("n"))
         rows = times.select("payload", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
     return Fetched(request, rows.select("payload"), audit)
+
+
+def fetch_stream(spark: SparkSession, request: Request, transport: str, transport_options: dict | None = None, as_of: str | None = None) -> DataFrame:
+    """The tagged scan as a stream of the request's periods, each once it is over; rows and audit records, as the data source gives them.
+
+    write it with a checkpointLocation: a query that is started again goes on after the last period that is done.
+    """
+    spark.dataSource.register(BackendSource)
+    reader = spark.readStream.format("ward_backend").option("request", request.to_json()).option("transport", transport).option("transport_options", json.dumps(transport_options or {}))
+    return (reader.option("as_of", as_of) if as_of else reader).load()

@@ -83,7 +83,7 @@ def records(module: str, kind: str, value: object) -> list | None:
     return [v for v in value if v is not None] if isinstance(value, (list, tuple)) else None
 
 
-def _day(row: object, key: str) -> date | None:
+def day_of(row: object, key: str) -> date | None:
     try:
         return date.fromisoformat(str(row[key])[:10])
     except (KeyError, TypeError, ValueError):
@@ -95,7 +95,7 @@ def answered(request: Request, value: object) -> list | None:
     rows, strict = records(request.module, request.kind, value), strict_bounds(request.query)
     if not rows or not strict:
         return rows
-    return [r for r in rows if all((day := _day(r, k)) is None or b.holds(day) for k, b in strict.items())]
+    return [r for r in rows if all((day := day_of(r, k)) is None or b.holds(day) for k, b in strict.items())]
 
 
 #: The audit's reason for an answer that was dropped.
