@@ -1,3 +1,4 @@
+import random
 from datetime import date, datetime
 
 import pytest
@@ -5,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wardlight.functions.dates import clock_time, parse_wall_clock
 from wardlight.functions.text import id_list, is_id_list, is_limit_message, limit_message, looks_like_id_list, split_ids
-from wardlight.operators import batches, columns, labs, links, nested, stays
+from wardlight.operators import batches, columns, intervals, labs, links, nested, stays
 from wardlight.plans.windows import bounds_of
 from wardlight.operators.documents import distinct_with_null, document_rows, document_table, out_units
 
@@ -295,3 +296,27 @@ def test_table_batches(spark):
     days = spark.sql("SELECT explode(sequence(DATE'2024-01-31', DATE'2024-06-30')) AS day")
     closed = batches.period_rows(d, [], "s", "e")
     assert batches.assign_windows(days, "day", closed).count() == days.count()
+
+
+def test_rows_find_the_stay_that_holds_them(spark):
+    at = lambda text: datetime.fromisoformat(text) if text else None
+    rng = random.Random(1)
+    stays_ = [("P", "long", "2024-01-01 00:00", "2024-03-01 00:00"), ("P", "b", "2024-01-10 08:00", "2024-01-12 08:00"), ("P", "a", "2024-01-11 08:00", "2024-01-13 08:00"), ("P", "open", "2024-03-10 00:00", None)]
+    stays_ += [("P", None, "2024-01-01 00:00", "2024-01-02 00:00"), (None, "x", "2024-01-01 00:00", "2024-01-02 00:00"), ("P", "back", "2024-02-02 00:00", "2024-02-01 00:00"), ("P", "none", None, "2024-02-01 00:00")]
+    stays_ += [(f"R{i % 3}", f"s{i}", f"2024-01-{1 + i:02} 06:00", f"2024-01-{2 + i + i % 4:02} 06:00") for i in range(24)] + [("R0", "s0", "2024-01-01 06:00", "2024-01-02 06:00")]
+    rows = [("P", t, None) for t in ("2024-01-10 08:00", "2024-01-11 08:00", "2024-01-12 08:00", "2024-01-12 08:01", "2024-02-01 12:00", "2024-03-01 00:01", "2024-03-10 00:00", "2024-04-01 00:00", None)]
+    rows += [("P", "2024-01-10 09:00", "own"), (None, "2024-01-10 09:00", None), ("Q", "2024-01-10 09:00", None), ("P", "2024-01-12 08:00", None)]
+    rows += [(f"R{rng.randrange(4)}", f"2024-01-{rng.randint(1, 28):02} {rng.randrange(24):02}:00", None) for _ in range(200)]
+    exams = spark.createDataFrame([(i, p, at(t), e) for i, (p, t, e) in enumerate(rows)], "n int, PATID string, DATEXAM timestamp_ntz, EVTID string")
+    table = spark.createDataFrame([(p, e, at(a), at(b)) for p, e, a, b in stays_], "PATID string, EVTID string, DATENT timestamp_ntz, DATSORT timestamp_ntz")
+    last = max(t for _, t, e in rows if t and not e)
+
+    def best(p, t):
+        found = [(at(b or last) - at(a), e) for q, e, a, b in stays_ if p and t and q == p and e and a and a <= t <= (b or last)]
+        return min(found)[1] if found else None
+
+    for bin_days in (1, 7, 400):
+        got = {r.n: r.EVTID for r in intervals.with_stay_ids(exams, table, bin_days=bin_days).collect()}
+        assert got == {i: e or best(p, t) for i, (p, t, e) in enumerate(rows)}
+    assert intervals.with_stay_ids(exams.drop("EVTID"), table).columns == ["n", "PATID", "DATEXAM", "EVTID"]
+    assert intervals.with_stay_ids(exams, table.limit(0)).where("EVTID IS NOT NULL").count() == 1 and intervals.with_stay_ids(exams.limit(0), table).count() == 0

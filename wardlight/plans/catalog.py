@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import clock_time, parse_wall_clock
 from ..functions.text import id_list, is_id_list, is_limit_message
-from ..operators import batches, columns, documents, labs, links, nested, stays
+from ..operators import batches, columns, documents, intervals, labs, links, nested, stays
 from ..operators.acts import unpivot
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -156,6 +156,23 @@ SELECT user_id::VARCHAR AS "PATID", r.a AS "ANALYTE", r.v AS valeur, r.n::VARCHA
 """
 
 
+def stay_links(spark, sf_dir):
+    """Events, nine of ten without a stay's id, linked to stays made of orders: up to five days from a day of January 2024, some open."""
+    k = F.col("o_orderkey")
+    begins = F.timestamp_add("DAY", (k * 7 % 30).cast("int"), F.timestamp_add("HOUR", (k % 24).cast("int"), F.lit("2024-01-01").cast("timestamp_ntz")))
+    stay = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("PATID"), k.alias("EVTID"), begins.alias("DATENT"), F.when(k % 17 != 0, F.timestamp_add("DAY", (1 + k % 5).cast("int"), begins)).alias("DATSORT"))
+    exam = _t(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("PATID"), F.col("ts").alias("DATEXAM"), F.when(F.col("event_id") % 10 == 0, -F.col("event_id")).alias("EVTID"))
+    return intervals.with_stay_ids(exam, stay).select("event_id", "EVTID")
+
+
+STAY_LINKS = """
+WITH b AS (SELECT o_custkey AS p, o_orderkey AS k, TIMESTAMP '2024-01-01' + to_hours(o_orderkey % 24) + to_days((o_orderkey * 7 % 30)::INTEGER) AS f FROM orders),
+s AS (SELECT p, k, f, CASE WHEN k % 17 <> 0 THEN f + to_days((1 + k % 5)::INTEGER) ELSE (SELECT max(ts) FROM events WHERE event_id % 10 <> 0) END AS t FROM b)
+SELECT event_id, CASE WHEN event_id % 10 = 0 THEN -event_id ELSE k END AS "EVTID" FROM events LEFT JOIN s ON p = user_id AND ts BETWEEN f AND t
+QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY t - f, k) = 1
+"""
+
+
 def time_batches(spark, sf_dir):
     orders = _t(spark, sf_dir, "orders").withColumn("d", F.col("o_orderdate").cast("date"))
     span = orders.agg(F.min("d").alias("s"), F.max("d").alias("e"))
@@ -297,7 +314,7 @@ ID_KEY_PICK = "SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN o_o
 
 
 def queries() -> dict[str, Query]:
-    found = [diag_tokens, parse_dates, order_periods, act_unpivot, act_arrays, act_paths, json_shapes, lab_results, time_batches, stay_main, stack_missing, id_triplets, id_split, id_chunks, id_semi, range_bounds, limit_errors, out_units, json_flatten, id_key_pick]
+    found = [diag_tokens, parse_dates, order_periods, act_unpivot, act_arrays, act_paths, json_shapes, lab_results, stay_links, time_batches, stay_main, stack_missing, id_triplets, id_split, id_chunks, id_semi, range_bounds, limit_errors, out_units, json_flatten, id_key_pick]
     return {f.__name__: f for f in found}
 
 
