@@ -109,6 +109,41 @@ def test_quality_rules_keep_rare_languages(spark, monkeypatch, most_sent):
     assert got[99].kept and got[99].char_distance == got[99].word_distance == 0
 
 
+def js(p, q):
+    total = sum(x * np.log2(2 * x / (x + y)) for x, y in zip(p, q, strict=True) if x) + sum(y * np.log2(2 * y / (x + y)) for x, y in zip(p, q, strict=True) if y)
+    return max(0.0, total / 2) ** 0.5
+
+
+@pytest.mark.parametrize("many", [35_328, 7])
+def test_quality_rules_by_hand(spark, monkeypatch, many):
+    """Each language has bins of its own; words of several languages, and letters beyond the first plane, are told apart."""
+    monkeypatch.setattr(quality_rules, "_MANY", many)
+    rng = random.Random(4)
+    vocab = {lang: ["Und", "a🙂", *(f"{lang}{k}" for k in range(40))] for lang in ("aa", "bb", "cc", "dd")}
+    rows = [(i, " ".join(vocab[lang][min(int(rng.expovariate(0.2)), 41)] for _ in range(rng.choice([5, 90, 150]))), lang) for i in range(60) for lang in [rng.choice([*vocab])]]
+    rows += [(100, " ".join(f"new{k}" for k in range(200)), None), (101, "und " * 100, "aa"), (102, "x" * 500, "ee"), (103, "", "ff"), (104, None, "aa")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = {r.doc_id: r for r in quality_rules.quality_rules(df, n_common=9).collect()}
+    words = {i: [w.lower() for w in WORD.findall(t or "")] for i, t, _ in rows}
+    counted, total = {}, Counter()
+    for i, _, lang in rows:
+        if lang and words[i]:
+            counted.setdefault(lang, Counter()).update(words[i])
+            total[lang] += len(words[i])
+    own = {lang: [w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:9]] for lang, c in counted.items()}
+    shares = lambda c, n, lang: [c[w] / n for w in own[lang]] + [1 - sum(c[w] for w in own[lang]) / n]
+    for i, *_ in rows:
+        r, c = got[i], Counter(words[i])
+        if r.n_words < quality_rules.MIN_WORDS:
+            assert r.word_distance is None
+            continue
+        least = min(js(shares(c, r.n_words, lang), shares(counted[lang], total[lang], lang)) for lang in own)
+        if least <= quality_rules.MAX_WORD_DISTANCE:
+            assert r.word_distance == pytest.approx(least, abs=1e-6)
+        else:
+            assert not r.kept
+
+
 def brute_spans(texts, match):
     seen = Counter(t[i : i + match] for t in texts for i in range(len(t) - match + 1))
     out = []

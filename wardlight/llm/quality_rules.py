@@ -1,18 +1,19 @@
 """Quality rules: base counts, then how far a text's histograms lie from those of the languages. Native only.
 
-A reference is, per language, the summed character-class histogram and common-word histogram of all documents
-that carry that language. A document is kept if its base counts pass and if, for some one language, both its
-Jensen-Shannon distances (base 2, from 0 to 1) are within the limits. Histograms of too little text are not
-compared (minimum-length guards), so short texts face the base counts alone.
+A reference is, per language, the summed character-class histogram of all documents that carry that language, and the
+histogram of its own common words: the COMMON most frequent ones, lower-cased, of all its documents, a bin each, and one bin
+for the rest. A document is kept if its base counts pass and if, for some one language, both its Jensen-Shannon
+distances (base 2, from 0 to 1) are within the limits. Histograms of too little text are not compared (minimum-length
+guards), so short texts face the base counts alone.
 
-Common words are counted, not listed: the COMMON most frequent words of each language, lower-cased, over all its
-documents. Each of them is a bin of every word histogram; what is none of them falls in the rest bin. As many rows as
-languages times COMMON reach the driver.
+The cost is in proportion to a document's words and to the languages it meets, not to all of them: a word finds its bin by a hash
+table, a bin the languages that list it. A language none of whose common words a document has is as far from it as from
+any such document, so that distance is made once; only if it is within the limit is the language compared with all.
 
-Two passes over the texts: words are counted; then counts go to the checkpoint folder (about 400 bytes a document), references are
-summed from there, and the verdict is computed from the same rows. Every language that has words becomes a
-reference, however small its share is; all of them are one row (about 1 KB a language), broadcast behind a count
-(`MOST_SENT`). Without any reference no document is judged too far.
+Two passes over the texts: words are counted, and COMMON rows a language reach the driver; then counts go to the checkpoint
+folder (some hundred bytes a document), references are summed from there, and the verdict is computed from the same rows.
+Every language that has words becomes a reference, however small its share is; all of them are one row (about 1 KB a
+language), broadcast behind a count (`MOST_SENT`). Without any reference no document is judged too far.
 
 Rows: a null or blank text has no words and fails the base; a null language feeds no reference; rows with equal
 ids are judged one by one; an empty table gives an empty result. Other columns are ignored, whatever their names.
@@ -20,6 +21,8 @@ ids are judged one by one; an empty table gives an empty result. Other columns a
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,8 +34,8 @@ SYMBOLS = "#*$%&|<>"
 
 #: Most frequent words of a language that get a bin each.
 COMMON = 25
-#: Letters that stand for bins while a text's words are counted.
-_LETTERS = [chr(c) for c in range(0x21, 0x7F)] + [chr(c) for c in range(0xA1, 0xD800)]
+#: Bins stand as letters while a text's words are counted: the first so many from one code point on, the others from another.
+_FIRST, _MANY, _NEXT, _MOST = 0x4E00, 0xD800 - 0x4E00, 0x10000, 0x110000 - 0x10000
 
 #: Character classes of what is not blank, each with the pattern that counts it; the last bin is the rest.
 CHAR_CLASSES = {
@@ -66,48 +69,68 @@ def _words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, BLANKS + "+"))
 
 
-def common_words(docs: DataFrame, text_col: str = "text", lang_col: str | None = "lang", most: int = COMMON) -> list[str]:
-    """The most frequent words of each language, once each; of equally frequent ones the first by code points."""
-    if not lang_col:
-        return []
-    words = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.explode(_words(F.lower(text_col))).alias("word"))
+def common_words(docs: DataFrame, text_col: str = "text", lang_col: str | None = "lang", most: int = COMMON) -> DataFrame:
+    """(lang, word): the most frequent words of each language; of equally frequent ones the first by code points."""
+    lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
+    words = docs.select(lang.alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL").select("lang", F.explode(_words(F.lower("text"))).alias("word"))
     place = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    counted = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
-    found = counted.withColumn("place", place).where(F.col("place") <= most).select("word").distinct().orderBy("word").collect()
-    if len(found) > len(_LETTERS):
-        raise ValueError(f"{len(found)} common words of all languages together; {len(_LETTERS)} can be told apart, so take fewer of each")
-    return [r["word"] for r in found]
+    return words.groupBy("lang", "word").agg(F.count("*").alias("n")).withColumn("place", place).where(F.col("place") <= most).select("lang", "word")
+
+
+def _letter(bin_: int) -> str:
+    return chr(_FIRST + bin_ if bin_ < _MANY else _NEXT + bin_ - _MANY)
+
+
+class Bins:
+    """The common words of all languages, a bin each, and a hash table that finds a word's bin without looking through them."""
+
+    def __init__(self, common: DataFrame):
+        found = common.select("word").distinct().select("word", F.xxhash64("word").alias("h")).orderBy("word").collect()
+        if len(found) > _MANY + _MOST:
+            raise ValueError(f"{len(found)} common words of all languages together; {_MANY + _MOST} can be told apart, so take fewer of each")
+        self.words = [r["word"] for r in found]
+        n = max(1, len(found))
+        table: list[list[int]] = [[] for _ in range(n)]
+        for k, r in enumerate(found):
+            table[r["h"] % n].append(k)
+        # Each table is one text in the plan, however many words there are; Spark makes an array of it once.
+        literal = lambda x: F.from_json(F.lit(json.dumps(x, ensure_ascii=False)), "array<array<string>>")
+        self._n, self._held, self._letters = n, literal([[self.words[k] for k in x] for x in table]), literal([[_letter(k) for k in x] for x in table])
+
+    def letter(self, word: Column) -> Column:
+        """The letter of a word's bin, NULL if it has none."""
+        at = F.pmod(F.xxhash64(word), F.lit(self._n)).cast("int")
+        return F.get(F.get(self._letters, at), F.array_position(F.get(self._held, at), word).cast("int") - 1)
 
 
-def text_counts(docs: DataFrame, common: list[str], id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
-    """Base counts and both histograms of each document, in one narrow pass without Python."""
-    lang = F.col(lang_col).cast("string") if lang_col else F.lit("")
+def _bin(letter: str) -> str:
+    """A letter's bin, in SQL."""
+    return f"if(ascii({letter}) < {_NEXT}, ascii({letter}) - {_FIRST}, ascii({letter}) - {_NEXT - _MANY})"
+
+
+def text_counts(docs: DataFrame, bins: Bins, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
+    """Base counts and both histograms of each document, in one narrow pass without Python; of words the bins that it has."""
+    lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
     out = docs.select(F.col(id_col).alias("doc_id"), lang.alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     out = out.withColumn("words", _words(F.col("text")))
     out = out.withColumn("lines", F.expr(f"filter(split(text, '\\n', -1), l -> l rlike '[^\\\\x20\\\\x09-\\\\x0D]')"))
     out = out.select("doc_id", "lang", "words", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"))
 
     hashes, placed = _repeat_words("words", "windows")
-    listed = F.array(*[F.lit(w) for w in common]).cast("array<string>")
-    letters = F.array(*[F.lit(x) for x in _LETTERS[: len(common)]]).cast("array<string>")
-    letter = lambda w: F.get(letters, (F.array_position(listed, w) - 1).cast("int"))
-    low = F.filter(F.transform("words", lambda w: F.lower(w)), lambda w: w.isin(*common) if common else F.lit(False))
     out = out.withColumns({
         "solid": F.array_join("words", ""),
         "windows": hashes,
-        # Each common word becomes one letter of a code, so that counting a bin is a plain string function.
-        "code": F.array_join(F.transform(low, letter), ""),
+        # Each common word becomes a letter; sorted, the letters of a bin are a run, which is counted by its length.
+        "code": F.array_join(F.array_sort(F.array_compact(F.transform("words", lambda w: bins.letter(F.lower(w))))), ""),
     })
-    out = out.select("doc_id", "lang", F.size("words").cast("long").alias("n_words"), "n_dup_lines", "solid", "code", placed.alias("placed"))
+    out = out.select("doc_id", "lang", F.size("words").cast("long").alias("n_words"), "n_dup_lines", "solid", F.regexp_extract_all("code", F.lit("(?s)(.)\\1*"), F.lit(0)).alias("runs"), placed.alias("placed"))
     twice = F.expr("transform(filter(placed, (x, i) -> (i > 0 AND get(placed, i - 1).h = x.h) OR get(placed, i + 1).h <=> x.h), x -> x.i)")
     classes = [F.regexp_count("solid", F.lit(p)).cast("int") for p in CHAR_CLASSES.values()]
-    bins = [(F.length("code") - F.length(F.replace("code", F.lit(x), F.lit("")))).cast("int") for x in _LETTERS[: len(common)]]
     out = out.select(
         "doc_id", "lang", "n_words", "n_dup_lines",
         F.length("solid").cast("long").alias("word_chars"),
         F.array(*classes).alias("classes"),
-        (F.col("n_words").cast("int") - F.length("code")).alias("rest_words"),
-        F.array(*bins).cast("array<int>").alias("bins"),
+        F.expr(f"transform(runs, r -> struct({_bin('r')} AS bin, length(r) AS n))").alias("word_hist"),
         F.sort_array(twice).alias("twice"),
     )
     covered = F.expr("aggregate(zip_with(twice, slice(twice, 2, greatest(size(twice), 1)), (a, b) -> least(5, coalesce(b - a, 5))), 0L, (s, x) -> s + x)")
@@ -117,27 +140,37 @@ def text_counts(docs: DataFrame, common: list[str], id_col: str = "doc_id", text
         "n_dup_lines",
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.concat(F.col("classes"), F.array(F.expr("int(word_chars) - aggregate(classes, 0, (s, x) -> s + x)"))).alias("char_hist"),
-        F.concat(F.array("rest_words"), F.col("bins")).alias("word_hist"),
+        "word_hist",
     )
 
 
-def language_references(counts: DataFrame, n_common: int) -> DataFrame:
-    """(lang, chars, words): shares of the summed histograms of each language that has words."""
-    chars, words = len(CHAR_CLASSES) + 1, n_common + 1
-    sums = counts.where("lang IS NOT NULL").groupBy("lang").agg(
-        *[F.sum(F.col("char_hist")[i]).alias(f"c{i}") for i in range(chars)],
-        *[F.sum(F.col("word_hist")[i]).alias(f"w{i}") for i in range(words)],
-    )
-    sums = sums.select("lang", F.array(*[f"c{i}" for i in range(chars)]).alias("c"), F.array(*[f"w{i}" for i in range(words)]).alias("w"))
-    sums = cut(sums.withColumns({f"{k}_all": F.expr(f"aggregate({k}, 0L, (s, x) -> s + x)") for k in "cw"}))
-    share = lambda k: F.expr(f"transform({k}, x -> x / greatest({k}_all, 1L))")
-    return sums.where("w_all > 0").select("lang", share("c").alias("chars"), share("w").alias("words"))
+def language_references(counts: DataFrame, common: DataFrame, bins: Bins) -> DataFrame:
+    """(l, chars, rest, own): a number for each language that has words, shares of its classes and of its rest, and (bin, share) of its own words."""
+    known = counts.where("lang IS NOT NULL")
+    sums = known.groupBy("lang").agg(*[F.sum(F.col("char_hist")[i]).alias(f"c{i}") for i in range(len(CHAR_CLASSES) + 1)], F.sum("n_words").alias("n_words"))
+    letter = F.expr(_bin("letter")).alias("bin")
+    listed = common.withColumn("letter", bins.letter(F.col("word"))).select("lang", letter)
+    held = known.select("lang", F.inline("word_hist")).groupBy("lang", "bin").agg(F.sum("n").alias("n"))
+    own = held.join(listed, ["lang", "bin"]).groupBy("lang").agg(F.collect_list(F.struct("bin", "n")).alias("own"), F.sum("n").alias("n_own"))
+    numbered = sums.where("n_words > 0").join(own, "lang", "left").withColumn("l", F.row_number().over(W.orderBy("lang")) - 1)
+    chars = F.array(*[f"c{i}" for i in range(len(CHAR_CLASSES) + 1)])
+    rows = cut(numbered.select("l", "n_words", chars.alias("c"), F.coalesce("n_own", F.lit(0)).alias("n_own"), F.coalesce("own", F.array()).alias("own")))
+    return rows.select(
+        "l",
+        F.expr("transform(c, x -> x / greatest(aggregate(c, 0L, (s, y) -> s + y), 1L))").alias("chars"),
+        ((F.col("n_words") - F.col("n_own")) / F.col("n_words")).alias("rest"),
+        F.expr("transform(own, x -> struct(x.bin AS bin, x.n / n_words AS q))").alias("own"),
+    )
+
 
+def _part(p: str, q: str) -> str:
+    """What a bin adds to twice the squared distance, less the reference's share, so that bins that only the reference has add nothing."""
+    term = lambda x: f"if({x} > 0, {x} * log2(2 * {x} / ({p} + {q})), 0D)"
+    return f"({term(p)} + {term(q)} - {q})"
 
-def _distance(shares: str, reference: str) -> str:
-    """Jensen-Shannon distance of two share arrays, in SQL; empty bins add nothing."""
-    part = lambda x: f"if({x} > 0, {x} * log2(2 * {x} / (p + q)), 0D)"
-    return f"sqrt(greatest(0D, aggregate(zip_with({shares}, {reference}, (p, q) -> {part('p')} + {part('q')}), 0D, (s, x) -> s + x) / 2))"
+
+def _root(total: str) -> str:
+    return f"sqrt(greatest(0D, ({total} + 1) / 2))"
 
 
 def quality_rules(
@@ -151,25 +184,38 @@ def quality_rules(
     min_words: int = MIN_WORDS,
     n_common: int = COMMON,
 ) -> DataFrame:
-    """doc_id, base counts, base_failed, kept, and the least distances (null where too short, or without references)."""
-    common = common_words(docs, text_col, lang_col, n_common)
-    counts = cut(text_counts(docs, common, id_col, text_col, lang_col))
-    refs = language_references(counts, len(common))
+    """doc_id, base counts, base_failed, kept, and the least distances to the languages it was compared with.
+
+    Distances are null where the text is too short, or where there is no such language.
+    """
+    common = cut(common_words(docs, text_col, lang_col, n_common))
+    bins = Bins(common)
+    counts = cut(text_counts(docs, bins, id_col, text_col, lang_col))
+    refs = cut(language_references(counts, common, bins))
     few = refs.count() <= MOST_SENT
-    refs = refs.agg(F.collect_list(F.struct("chars", "words")).alias("refs"))
+    # For each bin the languages that list it: what a document's words are held against.
+    lists = refs.select("l", F.inline("own")).groupBy("bin").agg(F.collect_list(F.struct("l", "q")).alias("of")).agg(F.sort_array(F.collect_list(F.struct("bin", "of"))).alias("lists"))
+    alone = F.expr(f"{_root(_part('1D', 'rest'))} <= {max_word_distance}D")  # distance of a document without any of its words
+    of_lang = refs.agg(F.sort_array(F.collect_list(F.struct("l", "chars", "rest"))).alias("refs"), F.sort_array(F.collect_list(F.when(alone, F.col("l")))).alias("always"))
+    whole = of_lang.crossJoin(lists)
+
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     out = counts.withColumns({
         "base_failed": failed,
         "char_share": F.when(F.col("word_chars") >= min_chars, F.expr("transform(char_hist, x -> x / word_chars)")),
-        "word_share": F.when(F.col("n_words") >= min_words, F.expr("transform(word_hist, x -> x / n_words)")),
-    })
-    compared = f"transform(refs, r -> struct({_distance('char_share', 'r.chars')} AS c, {_distance('word_share', 'r.words')} AS w))"
-    out = out.crossJoin(F.broadcast(refs) if few else refs).withColumn("far", F.expr(compared)).drop("refs")
-    near = F.expr(f"size(far) = 0 OR exists(far, d -> coalesce(d.c, 0D) <= {max_char_distance}D AND coalesce(d.w, 0D) <= {max_word_distance}D)")
-    least = [F.expr("array_min(far.c)"), F.expr("array_min(far.w)")]
+        "enough": F.col("n_words") >= min_words,
+    }).crossJoin(F.broadcast(whole) if few else whole)
+    # Every bin is some language's, so the list of a bin stands at its number.
+    met = "flatten(transform(word_hist, h -> transform(get(lists, h.bin).of, x -> struct(x.l AS l, h.n / n_words AS p, x.q AS q))))"
+    out = out.withColumn("met", F.when(F.col("enough"), F.expr(met)))
+    out = out.withColumn("asked", F.expr("if(enough, array_union(array_distinct(met.l), always), refs.l)"))
+    chars = f"{_root('aggregate(zip_with(char_share, get(refs, l).chars, (p, q) -> ' + _part('p', 'q') + '), 0D, (s, x) -> s + x)')}"
+    words = f"aggregate(filter(met, x -> x.l = l), named_struct('s', 0D, 'p', 0D), (a, x) -> named_struct('s', a.s + {_part('x.p', 'x.q')}, 'p', a.p + x.p), a -> {_root('a.s + ' + _part('greatest(0D, 1D - a.p)', 'get(refs, l).rest'))})"
+    out = out.withColumn("far", F.expr(f"transform(asked, l -> struct({chars} AS c, {words} AS w))")).withColumn("none", F.size("refs") == 0).drop("refs", "lists", "always", "met", "asked")
+    near = F.col("none") | F.expr(f"exists(far, d -> coalesce(d.c, 0D) <= {max_char_distance}D AND coalesce(d.w, 0D) <= {max_word_distance}D)")
     return out.select(
         F.col("doc_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & near).alias("kept"), least[0].alias("char_distance"), least[1].alias("word_distance"),
+        (~F.col("base_failed") & near).alias("kept"), F.expr("array_min(far.c)").alias("char_distance"), F.expr("array_min(far.w)").alias("word_distance"),
     )
 
 
@@ -188,18 +234,19 @@ cls AS (SELECT doc_id, {char_counts} FROM (SELECT doc_id, array_to_string(ws, ''
 chist AS (SELECT doc_id, k, v FROM (SELECT doc_id, unnest([{', '.join(repr(c) for c in chars)}]) AS k,
     unnest([{', '.join(CHAR_CLASSES)}, word_chars - ({' + '.join(CHAR_CLASSES)})]) AS v FROM cls JOIN base USING (doc_id))),
 lows AS (SELECT doc_id, lang, lower(unnest(ws)) AS w FROM base),
-bins AS (SELECT DISTINCT w FROM (SELECT lang, w, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, w) AS r FROM lows WHERE lang IS NOT NULL GROUP BY lang, w) WHERE r <= {COMMON}),
-common AS (SELECT doc_id, w AS k, count(*) AS v FROM lows SEMI JOIN bins USING (w) GROUP BY ALL),
-whist AS (SELECT doc_id, k, v FROM common UNION ALL SELECT doc_id, '', n_words - coalesce(c, 0) FROM base LEFT JOIN (SELECT doc_id, sum(v) AS c FROM common GROUP BY 1) USING (doc_id)),
-hist AS (SELECT 'c' AS h, * FROM chist UNION ALL SELECT 'w', * FROM whist),
-refs AS (SELECT h, lang, k, sum(v) AS v FROM hist JOIN base USING (doc_id) WHERE lang IS NOT NULL GROUP BY ALL),
-share AS (SELECT lang FROM refs WHERE h = 'w' GROUP BY lang HAVING sum(v) > 0),
-q AS (SELECT h, lang, k, v / greatest(sum(v) OVER (PARTITION BY h, lang), 1) AS q FROM refs SEMI JOIN share USING (lang)),
-p AS (SELECT h, doc_id, k, v / CASE h WHEN 'c' THEN word_chars ELSE n_words END AS p FROM hist JOIN base USING (doc_id)
+bins AS (SELECT lang AS ref, w FROM (SELECT lang, w, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, w) AS r FROM lows WHERE lang IS NOT NULL GROUP BY lang, w) WHERE r <= {COMMON}),
+share AS (SELECT lang, sum(n_words) AS n FROM base WHERE lang IS NOT NULL GROUP BY lang HAVING sum(n_words) > 0),
+-- Each language has bins of its own: a document's words by the bins of each, and what is in none of them.
+common AS (SELECT doc_id, ref, w AS k, count(*) AS v FROM lows JOIN bins USING (w) GROUP BY ALL),
+whist AS (SELECT doc_id, ref, k, v FROM common UNION ALL SELECT base.doc_id, share.lang, '', n_words - coalesce(c, 0) FROM base JOIN share ON true LEFT JOIN (SELECT doc_id, ref, sum(v) AS c FROM common GROUP BY ALL) s ON s.doc_id = base.doc_id AND s.ref = share.lang),
+hist AS (SELECT 'c' AS h, doc_id, lang AS ref, k, v FROM chist JOIN share ON true UNION ALL SELECT 'w', * FROM whist),
+refs AS (SELECT h, ref AS lang, k, sum(v) AS v FROM hist JOIN base USING (doc_id) WHERE lang = ref GROUP BY ALL),
+q AS (SELECT h, lang, k, v / greatest(sum(v) OVER (PARTITION BY h, lang), 1) AS q FROM refs),
+p AS (SELECT h, doc_id, ref AS lang, k, v / CASE h WHEN 'c' THEN word_chars ELSE n_words END AS p FROM hist JOIN base USING (doc_id)
     WHERE CASE h WHEN 'c' THEN word_chars >= {MIN_CHARS} ELSE n_words >= {MIN_WORDS} END),
 -- Bins that only the reference has add q, so the sum starts from all of the reference's shares.
 d AS (SELECT p.h, doc_id, lang, sqrt(greatest(0, (sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) - q ELSE 0 END) + 1) / 2)) AS d
-    FROM (SELECT p.h, p.doc_id, x.lang, p.p, coalesce(q.q, 0) AS q FROM p JOIN share x ON true LEFT JOIN q ON q.h = p.h AND q.k = p.k AND q.lang = x.lang) p GROUP BY ALL),
+    FROM (SELECT p.h, p.doc_id, p.lang, p.p, coalesce(q.q, 0) AS q FROM p LEFT JOIN q ON q.h = p.h AND q.k = p.k AND q.lang = p.lang) p GROUP BY ALL),
 ok AS (SELECT doc_id, bool_or(coalesce(c.d, 0) <= {MAX_CHAR_DISTANCE} AND coalesce(w.d, 0) <= {MAX_WORD_DISTANCE}) AS near
     FROM (SELECT doc_id, share.lang FROM base JOIN share ON true) x LEFT JOIN (SELECT * FROM d WHERE h = 'c') c USING (doc_id, lang) LEFT JOIN (SELECT * FROM d WHERE h = 'w') w USING (doc_id, lang) GROUP BY doc_id)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
