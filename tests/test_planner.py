@@ -330,3 +330,31 @@ def test_filters_reach_the_backend(spark, tmp_path, pushed):
                 assert asked == ""
     finally:
         spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def halving_calls(request, backend, ids):
+    """Calls that halving alone takes."""
+    todo, calls = [ids], 0
+    while todo:
+        own = todo.pop()
+        got, calls = backend("pmsi", "data", json.dumps({"ELTID": " OR ".join(own)})), calls + 1
+        if len(own) > request.min_ids and (isinstance(got, dict) or len(got) > request.max_out):
+            todo += [own[len(own) // 2 :], own[: len(own) // 2]]
+    return calls
+
+
+@pytest.mark.parametrize("cap", [150, 10**6])
+def test_chunks_learn_from_answers(cap):
+    """Ids of one row each, then of 60: chunks are packed by what earlier ones brought, in fewer calls than halving takes."""
+    data = [{"ELTID": f"L{i}", "DATENT": "2024-01-01", "n": k} for i in range(240) for k in range(1 if i < 200 else 20)]
+    ids = [f"L{i}" for i in range(240)]
+    request = Request("pmsi", query={"ELTID": ids}, min_ids=5, max_out=150)
+    backend, calls = RowBackend({"rows": data, "cap": cap}), []
+
+    def counted(*asked):
+        calls.append(asked)
+        return backend(*asked)
+
+    got, audit = carried(request, counted)
+    assert len(got) == len(data) and sum(a.n_in for a in audit) == 240 and all(a.ok and a.n_out <= 150 for a in audit)
+    assert len(calls) < halving_calls(request, backend, ids) and len(calls) == len({q for *_, q in calls})

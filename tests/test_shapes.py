@@ -320,3 +320,10 @@ def test_rows_find_the_stay_that_holds_them(spark):
         assert got == {i: e or best(p, t) for i, (p, t, e) in enumerate(rows)}
     assert intervals.with_stay_ids(exams.drop("EVTID"), table).columns == ["n", "PATID", "DATEXAM", "EVTID"]
     assert intervals.with_stay_ids(exams, table.limit(0)).where("EVTID IS NOT NULL").count() == 1 and intervals.with_stay_ids(exams.limit(0), table).count() == 0
+
+
+def test_digits_with_the_day_first(spark):
+    cases = {"01022024": datetime(2024, 2, 1), "31122023 0915": datetime(2023, 12, 31, 9, 15), "20240102": datetime(2024, 1, 2), "32012024": None, "2024-01-02": datetime(2024, 1, 2), "19121912": datetime(1912, 12, 19)}
+    df = spark.createDataFrame([(x,) for x in cases], "raw string")
+    got = {r.raw: (r.a, r.b) for r in df.select("raw", parse_wall_clock(F.col("raw"), day_first_digits=True).alias("a"), parse_wall_clock(F.col("raw")).alias("b")).collect()}
+    assert {k: a for k, (a, _) in got.items()} == cases and got["01022024"][1] is None

@@ -18,17 +18,21 @@ def as_wall_clock(column: Column, kind: T.DataType, zone: str | None = None) ->
     return column.cast("timestamp_ntz") if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)) else parse_wall_clock(column, zone)
 
 
-def parse_wall_clock(raw: Column, zone: str | None = None) -> Column:
+def parse_wall_clock(raw: Column, zone: str | None = None, day_first_digits: bool = False) -> Column:
     """TIMESTAMP_NTZ of a date or date-time string: each layout is rewritten as ISO, and one cast checks the values.
 
-    With a zone, times that its daylight-saving change skips are NULL; without, any wall clock stands.
+    With a zone, times that its daylight-saving change skips are NULL; without, any wall clock stands. day_first_digits: eight
+    digits that are no date as year, month, day are read as day, month, year.
     """
     raw = raw.cast("string")
     day_first = F.regexp_replace(raw, r"^(\d+)/(\d+)/(\d+)", "$3-$2-$1")
-    dated = F.regexp_replace(raw, r"^(\d{4})(\d{2})(\d{2})", "$1-$2-$3")
-    compact = F.regexp_replace(F.regexp_replace(dated, r" (\d{2})(\d{2})$", " $1:$2"), r" (\d{2})(\d{2})(\d{2})$", " $1:$2:$3")
+    timed = lambda dated: F.regexp_replace(F.regexp_replace(dated, r" (\d{2})(\d{2})$", " $1:$2"), r" (\d{2})(\d{2})(\d{2})$", " $1:$2:$3")
+    compact = timed(F.regexp_replace(raw, r"^(\d{4})(\d{2})(\d{2})", "$1-$2-$3"))
     iso = F.when(raw.rlike(ISO), raw).when(raw.rlike(DAY_FIRST), day_first).when(raw.rlike(COMPACT), compact)
     ts = iso.try_cast("timestamp_ntz")
+    if day_first_digits:
+        turned = timed(F.regexp_replace(raw, r"^(\d{2})(\d{2})(\d{4})", "$3-$2-$1"))
+        ts = F.coalesce(ts, F.when(raw.rlike(COMPACT), turned).try_cast("timestamp_ntz"))
     if zone is None:
         return ts
     there_and_back = F.convert_timezone(F.lit("UTC"), F.lit(zone), F.convert_timezone(F.lit(zone), F.lit("UTC"), ts))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 #: Words by which a backend says that a request was too large.
 LIMIT_WORDS = r"(too many|limit|quota|max results|max rows|allowed size)"
+#: What stands between ids in one text.
 _SEPARATORS = r"[\s,;]+"
 _OR = r"\s+OR\s+"
 

@@ -9,6 +9,7 @@ from datetime import date, timedelta
 #: The date that each module is fetched by.
 TIME_KEYS = {"doceds": "RECDATE", "pmsi": "DATENT", "biol": "DATEXAM"}
 
+#: How bounds are written, `{day,day}`, `>day` and `<day`.
 _DAY = r"(\d{4}-\d{2}-\d{2})"
 
 

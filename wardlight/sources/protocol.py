@@ -225,29 +225,60 @@ def carry_out(batch: Batch, plan: Plan, transport: Transport, count: Counter | N
         yield Audit(1, False, None, "backend_error", got.error)
 
 
+class ChunkSizes:
+    """How many ids the next call gets, from what earlier ones of the batch brought.
+
+    An answer of n rows for k ids tells the rows to expect of an id, and the next chunk is packed to a share of what an answer may have.
+    A refusal tells nothing but that so many ids were too many: the next chunk is half as large, and later ones stay under what
+    was refused, coming nearer to it again with each answer.
+    """
+
+    PACKED = 0.9
+
+    def __init__(self, request: Request, least: int, first: int):
+        self.request, self.least, self.size, self.ceiling = request, least, first, float("inf")
+
+    def answered(self, ids: int, n_out: int | None) -> None:
+        wanted = self.PACKED * self.request.max_out * ids / n_out if n_out else 2 * ids
+        self.ceiling += self.ceiling / 8
+        self.size = int(max(self.least, min(wanted, self.request.max_ids, self.ceiling)))
+
+    def too_many_rows(self, ids: int, n_out: int) -> None:
+        self.size = int(max(self.least, min(ids - 1, self.PACKED * self.request.max_out * ids / n_out)))
+
+    def refused(self, ids: int) -> None:
+        self.size, self.ceiling = max(self.least, ids // 2), max(self.least, 3 * ids / 4)
+
+
 def _carry_out_ids(batch: Batch, plan: Plan, transport: Transport, units: Counter) -> Iterator[object]:
-    """Halves chunks that fail or return too much, down to the request's smallest chunk; a stack, not recursion.
+    """Goes through a batch's ids in chunks of sizes that earlier answers suggest (ChunkSizes); chunks that fail or return too
+    much are asked again as smaller ones, down to the request's smallest.
 
     A smallest chunk that is refused as too large is cut by periods and goes on as rectangles of ids and days; without a
-    window it is halved down to single ids.
+    window it is made smaller still, down to single ids.
     """
     request = plan.request
     try:
         spans = fallback_periods(request, "ids") if request.time_fallback else []
     except (NoWindow, ValueError):
         spans = []
-    todo = [batch.ids]
-    while todo:
-        ids = todo.pop()
+    sizes, at = ChunkSizes(request, request.min_ids, len(batch.ids)), 0
+    while at < len(batch.ids):
+        ids = batch.ids[at : at + sizes.size]
         query = batch.query | {plan.id_key: " OR ".join(ids)}
         got = ask(transport, request.module, request.kind, query)
         n_out = units(got.value) if got.ok else None
         limit = not got.ok and is_limit(got.error, request.limit_pattern)
-        least = 1 if limit and request.time_fallback and not spans else request.min_ids
-        if len(ids) > least and (not got.ok or (n_out is not None and n_out > request.max_out)):
-            half = len(ids) // 2
-            todo += [ids[half:], ids[:half]]
-        elif got.ok:
+        sizes.least = 1 if limit and request.time_fallback and not spans else request.min_ids
+        if len(ids) > sizes.least and not got.ok:
+            sizes.refused(len(ids))
+            continue
+        if len(ids) > sizes.least and n_out is not None and n_out > request.max_out:
+            sizes.too_many_rows(len(ids), n_out)
+            continue
+        at += len(ids)
+        if got.ok:
+            sizes.answered(len(ids), n_out)
             yield from _told(request, len(ids), got.value, n_out)
         elif limit and spans:
             pieces = [(ids, span) for span in spans] if not _asked(batch, plan, spans) else halves(ids, spans[0], request.min_ids, request.end_inclusive)
