@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, tidied
 
-#: Directions, and rows (of least id hash) among which they are chosen.
+#: Directions, and rows (of least hash) among which they are chosen.
 REFERENCES, SAMPLE = 8, 2000
 #: Vectors in a block of anchors and in a block of rows; rows of a shard, about, where the session's partitions would hold more.
 ANCHOR_BLOCK, ROW_BLOCK, SHARD_ROWS = 256, 4096, 1 << 17
@@ -330,15 +330,18 @@ def hard_negatives(
     """
     spark = vectors.sparkSession
     value = F.col(vector_col).cast("array<double>")
-    sound = F.col(vector_col).isNotNull() & F.col("id").isNotNull() & F.col("label").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    named = vectors.select(F.col(id_col).cast("long").alias("id"), (F.col("label") if label is None else label).cast("long").alias("label"), value.alias("v"), F.col(vector_col), F.coalesce(is_anchor, F.lit(False)).alias("asks"))
+    sound = F.col("v").isNotNull() & F.col("id").isNotNull() & F.col("label").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    named = vectors.select(F.col(id_col).cast("long").alias("id"), (F.col("label") if label is None else label).cast("long").alias("label"), value.alias("v"), F.coalesce(is_anchor, F.lit(False)).alias("asks"))
     rows = named.where(sound).select("id", F.xxhash64("label", "v").alias("tag"), "label", "v", "asks")
-    sample = rows.orderBy(F.xxhash64("id"), "id", "tag").limit(SAMPLE).select("v").toArrow().column(0).to_pylist()
+    n_rows = rows.count()
+    # A share of the rows by hash, about twice the sample, so that tasks don't send as many each.
+    few = rows.where(F.pmod(F.xxhash64("id", "tag"), F.lit(1 << 30)) <= int((1 << 30) * min(1.0, 2 * SAMPLE / max(n_rows, 1)))).dropDuplicates(["id", "tag"])
+    sample = few.orderBy(F.xxhash64("id", "tag"), "id", "tag").limit(SAMPLE).select("v").toArrow().column(0).to_pylist()
     directions = {n: reference_directions(np.array([v for v in sample if len(v) == n], float), references) for n in {len(v) for v in sample}}
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     measured = cut(rows.select("id", "tag", "label", "v").mapInArrow(tidied(_measured(scale, directions)), ROWS))
-    shards = max(n, -(-measured.count() // SHARD_ROWS))
+    shards = max(n, -(-n_rows // SHARD_ROWS))
     in_order = measured.repartition(shards).sortWithinPartitions("dim", "cell", "near")
     blocks = cut(in_order.mapInArrow(tidied(_blocks(ROW_BLOCK, False)), f"dim int, {PARTS}").withColumn("shard", F.pmod(F.spark_partition_id(), F.lit(shards))))
     asked = rows.where("asks").select("id", "tag").distinct()
