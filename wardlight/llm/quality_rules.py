@@ -108,8 +108,13 @@ def _bin(letter: str) -> str:
     return f"if(ascii({letter}) < {_NEXT}, ascii({letter}) - {_FIRST}, ascii({letter}) - {_NEXT - _MANY})"
 
 
+#: Bin and count of an entry h of a histogram, in SQL.
+_BIN_OF, _COUNT_OF = "int(shiftright(h, 32))", "(h & 4294967295L)"
+
+
 def text_counts(docs: DataFrame, bins: Bins, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
-    """Base counts and both histograms of each document, in one narrow pass without Python; of words the bins that it has."""
+    """Base counts and both histograms of each document, in one narrow pass without Python; of words the bins that it has, bin and
+    count in one long."""
     lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
     out = docs.select(F.col(id_col).alias("doc_id"), lang.alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     out = out.withColumn("words", _words(F.col("text")))
@@ -130,7 +135,7 @@ def text_counts(docs: DataFrame, bins: Bins, id_col: str = "doc_id", text_col: s
         "doc_id", "lang", "n_words", "n_dup_lines",
         F.length("solid").cast("long").alias("word_chars"),
         F.array(*classes).alias("classes"),
-        F.expr(f"transform(runs, r -> struct({_bin('r')} AS bin, length(r) AS n))").alias("word_hist"),
+        F.expr(f"transform(runs, r -> shiftleft(bigint({_bin('r')}), 32) + length(r))").alias("word_hist"),
         F.sort_array(twice).alias("twice"),
     )
     covered = F.expr("aggregate(zip_with(twice, slice(twice, 2, greatest(size(twice), 1)), (a, b) -> least(5, coalesce(b - a, 5))), 0L, (s, x) -> s + x)")
@@ -150,7 +155,7 @@ def language_references(counts: DataFrame, common: DataFrame, bins: Bins) -> Dat
     sums = known.groupBy("lang").agg(*[F.sum(F.col("char_hist")[i]).alias(f"c{i}") for i in range(len(CHAR_CLASSES) + 1)], F.sum("n_words").alias("n_words"))
     letter = F.expr(_bin("letter")).alias("bin")
     listed = common.withColumn("letter", bins.letter(F.col("word"))).select("lang", letter)
-    held = known.select("lang", F.inline("word_hist")).groupBy("lang", "bin").agg(F.sum("n").alias("n"))
+    held = known.select("lang", F.explode("word_hist").alias("h")).select("lang", F.expr(f"{_BIN_OF} AS bin"), F.expr(f"{_COUNT_OF} AS n")).groupBy("lang", "bin").agg(F.sum("n").alias("n"))
     own = held.join(listed, ["lang", "bin"]).groupBy("lang").agg(F.collect_list(F.struct("bin", "n")).alias("own"), F.sum("n").alias("n_own"))
     numbered = sums.where("n_words > 0").join(own, "lang", "left").withColumn("l", F.row_number().over(W.orderBy("lang")) - 1)
     chars = F.array(*[f"c{i}" for i in range(len(CHAR_CLASSES) + 1)])
@@ -206,7 +211,7 @@ def quality_rules(
         "enough": F.col("n_words") >= min_words,
     }).crossJoin(F.broadcast(whole) if few else whole)
     # Every bin is some language's, so the list of a bin stands at its number.
-    met = "flatten(transform(word_hist, h -> transform(get(lists, h.bin).of, x -> struct(x.l AS l, h.n / n_words AS p, x.q AS q))))"
+    met = "flatten(transform(word_hist, h -> transform(get(lists, " + _BIN_OF + ").of, x -> struct(x.l AS l, " + _COUNT_OF + " / n_words AS p, x.q AS q))))"
     out = out.withColumn("met", F.when(F.col("enough"), F.expr(met)))
     out = out.withColumn("asked", F.expr("if(enough, array_union(array_distinct(met.l), always), refs.l)"))
     chars = f"{_root('aggregate(zip_with(char_share, get(refs, l).chars, (p, q) -> ' + _part('p', 'q') + '), 0D, (s, x) -> s + x)')}"
