@@ -126,7 +126,7 @@ def text_counts(docs: DataFrame, bins: Bins, id_col: str = "doc_id", text_col: s
         "solid": F.array_join("words", ""),
         "windows": hashes,
         # Each common word becomes a letter; sorted, the letters of a bin are a run, which is counted by its length.
-        "code": F.array_join(F.array_sort(F.array_compact(F.transform("words", lambda w: bins.letter(F.lower(w))))), ""),
+        "code": F.array_join(F.sort_array(F.array_compact(F.transform("words", lambda w: bins.letter(F.lower(w))))), ""),
     })
     out = out.select("doc_id", "lang", F.size("words").cast("long").alias("n_words"), "n_dup_lines", "solid", F.regexp_extract_all("code", F.lit("(?s)(.)\\1*"), F.lit(0)).alias("runs"), placed.alias("placed"))
     twice = F.expr("transform(filter(placed, (x, i) -> (i > 0 AND get(placed, i - 1).h = x.h) OR get(placed, i + 1).h <=> x.h), x -> x.i)")
