@@ -209,6 +209,21 @@ def test_suffix_dedup_of_long_texts(spark):
     assert got[0].kept_text == texts[0][:-n] and got[1].kept_text == texts[1][n:] and got[2].kept_text == "x" and got[3].kept_text == ""
 
 
+def test_suffix_dedup_is_judged_in_bytes(spark, tmp_path):
+    """Passages of over 50 words go from 400 bytes on, not by their words; n_bytes is the input's size either way."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    words = lambda n: " ".join(word() for _ in range(n))
+    texts, sizes = [], (310, 399, 400, 401)
+    for size in sizes:
+        passage = words(80)[:size]
+        assert len(passage) == size and len(passage.split()) > 50
+        texts += [f"{words(30)} A{passage}B {words(30)}", f"{words(30)} C{passage}D {words(30)}"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op2_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert [(got[i].n_bytes, got[i].n_removed) for i in range(8)] == [(len(t), size if size >= 400 else 0) for t, size in zip(texts, [s for s in sizes for _ in "ab"], strict=True)]
+
+
 def brute_components(rows, width, percent):
     def shingles(t):
         w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
